@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import decontaminate, mixing, token_files, warc
+from gaugeworks.llm import decontaminate, language_id, licenses, mixing, ngram_join, quality, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_warc": warc.op2_warc,
+    "op3_licenses": licenses.op3_licenses,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_language_id": language_id.op5_language_id,
+    "op7_quality": quality.op7_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL = {"op2_warc": warc.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL = {"op2_warc": warc.ORACLE, "op4_ngram_join": ngram_join.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
