@@ -4,7 +4,8 @@ Sources (by code point, null last) get weights, repeating, and share ``share`` t
 stops at ``most`` times its source's size and the excess is shared again by weight until none is above. A document's
 expected copies are target / size of its source. The whole part is taken; the fractional rest is settled by pivotal
 rounding: two documents trade mass, measured in words so that the source's total stays as it is, until one of them is
-integral. Every document keeps its expectation, and a source misses its target by less than one document.
+integral. A document that is large beside all smaller ones together trades with each of them, in one draw. Every document
+keeps its expectation, and a source misses its target by less than one document, as a rule a small one.
 
 The tree: the documents of a source are dealt by a hash over chunks of about ``chunk`` rows, each chunk leaves at most one
 fractional document, and those meet in chunks of their own, level by level. No source is ever in one task, however large.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -55,6 +57,30 @@ def _draw(*key) -> float:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, key)).encode("utf-8", "surrogatepass"), seed=7) / 2**64
 
 
+def settle_dominant(ids: list[str], sizes: list[float], rest: list[float], seed: int, level: int, several: float = 64.0) -> None:
+    """Settle those documents, largest first, that are large beside all smaller ones together: no one partner could take their mass.
+
+    Such a document goes to 0 or 1 with one draw; each smaller one is its partner in a trade of part of the mass, in proportion to what it can
+    take in either direction, so that every expectation and the total of words stay. rest is changed in place; documents come by falling size.
+    """
+    s, x = np.array(sizes, float), np.array(rest, float)
+    for i in range(len(s) - 1):
+        if not 1e-9 < x[i] < 1 - 1e-9:
+            continue
+        sj, xj = s[i + 1 :], x[i + 1 :]
+        room = np.where((xj > 1e-9) & (xj < 1 - 1e-9), np.minimum((1 - xj) * sj / (x[i] * s[i]), xj * sj / ((1 - x[i]) * s[i])), 0.0)
+        total = room.sum()
+        if total >= several:
+            break
+        if total < 1:
+            continue
+        up = _draw(seed, level, "dominant", ids[i]) < x[i]
+        words = -(1 - x[i]) * s[i] if up else x[i] * s[i]
+        x[i + 1 :] = np.clip(xj + words * room / total / np.maximum(sj, 1e-300), 0, 1)
+        x[i] = 1.0 if up else 0.0
+    rest[:] = x.tolist()
+
+
 def pivot(ids: list[str], sizes: list[float], rest: list[float], seed: int, level: int) -> tuple[list[int], int]:
     """One pass over fractional rests in (0, 1): 0 or 1 for each, and the place of the one left fractional (-1: none); rest holds its mass.
 
@@ -117,6 +143,7 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
             pdf = pdf.sort_values(["size", "doc_id", "row_hash", "row_number"], ascending=[False, True, True, True], ignore_index=True)  # large ones first: what is left over at the end is small
             ids = [f"{a}/{b}/{c}" for a, b, c in zip(pdf["doc_id"], pdf["row_hash"], pdf["row_number"])]
             rest = pdf["rest"].tolist()
+            settle_dominant(ids, pdf["size"].tolist(), rest, seed, level)
             got, left = pivot(ids, pdf["size"].tolist(), rest, seed, level)
             if left >= 0 and level == levels - 1:  # the last one of its source
                 got[left], left = int(_draw(seed, "last", ids[left]) < rest[left]), -1

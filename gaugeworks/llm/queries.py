@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import decontaminate, language_id, licenses, mixing, ngram_join, quality, token_files, warc
+from gaugeworks.llm import decontaminate, fingerprints, language_id, licenses, mixing, ngram_join, quality, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_language_id": language_id.op5_language_id,
     "op7_quality": quality.op7_quality,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mixing": mixing.op10_mixing,
 }
