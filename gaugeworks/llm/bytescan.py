@@ -85,3 +85,19 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     hashes = (sums[ends] - sums[starts]) * powers(INVERSE, n)[starts]
     per_row = np.searchsorted(starts, at[1:]) - np.searchsorted(starts, at[:-1])
     return mixed(hashes), per_row
+
+
+def joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The packed arrays of a binary column, end to end."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), kind)
+
+
+def by_bucket(bucket_of: np.ndarray, doc_of: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bucket that has entries: its number, its documents, the number of entries of each and the entries' places, grouped by document."""
+    order = np.argsort(bucket_of.astype(np.uint16) if buckets <= 1 << 16 else bucket_of, kind="stable")
+    edge = np.searchsorted(bucket_of[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edge)):
+        mine = order[edge[b] : edge[b + 1]]
+        d = doc_of[mine]
+        start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        yield int(b), d[start], np.diff(np.append(start, len(d))), mine

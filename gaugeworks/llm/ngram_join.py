@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.bytescan import mixed, runs, text_buffer, word_hashes
+from gaugeworks.llm.bytescan import by_bucket, joined, mixed, runs, text_buffer, word_hashes
 from gaugeworks.llm.shared import components, written
 
 SIZE, THRESHOLD = 5, 80
@@ -82,25 +82,10 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), kind)
-
-
 BLOB = "keys binary, ids binary, sizes binary, counts binary, tokens binary"
 BLOB_SCHEMA = [pa.field(n, pa.binary()) for n in ("keys", "ids", "sizes", "counts", "tokens")]
 
 
-def _by_bucket(bucket_of: np.ndarray, doc_of: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each bucket that has entries: its number, its documents, the number of entries of each and the entries' places, grouped by document."""
-    order = np.argsort(bucket_of.astype(np.uint16) if buckets <= 1 << 16 else bucket_of, kind="stable")
-    edge = np.searchsorted(bucket_of[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edge)):
-        mine = order[edge[b] : edge[b + 1]]
-        d = doc_of[mine]
-        start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        yield int(b), d[start], np.diff(np.append(start, len(d))), mine
-
-
 def _set_rows(bits: int, size: int):
     """doc_id, n_shingles, set_key of each row."""
 
@@ -130,7 +115,7 @@ def _deal(bits: int, size: int):
                 doc_of = np.repeat(np.arange(hi - lo, dtype=np.int32), counts)
                 chosen = keep[doc_of]
                 tokens, doc_of = tokens[chosen], doc_of[chosen]
-                rows = [(b, keys[d].tobytes(), mine[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), _packed(tokens[at_])) for b, d, n, at_ in _by_bucket((tokens >> np.uint64(LOW)).astype(np.int64), doc_of, 1 << (bits - LOW))]
+                rows = [(b, keys[d].tobytes(), mine[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), _packed(tokens[at_])) for b, d, n, at_ in by_bucket((tokens >> np.uint64(LOW)).astype(np.int64), doc_of, 1 << (bits - LOW))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["bucket", "keys", "ids", "sizes", "counts", "tokens"])
 
@@ -143,7 +128,7 @@ def _shared_shingles(bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys, ids, sizes, counts = (_joined(table.column(c), k) for c, k in (("keys", "<u8"), ("ids", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
+        keys, ids, sizes, counts = (joined(table.column(c), k) for c, k in (("keys", "<u8"), ("ids", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
         tokens = np.concatenate([_unpacked(x.as_py()) for x in table.column("tokens")])
         doc_of = np.repeat(np.arange(len(ids), dtype=np.uint64), counts)
         order = np.lexsort((ids, keys))
@@ -168,7 +153,7 @@ def _shared_shingles(bits: int):
         o = np.argsort(doc_of, kind="stable")
         doc_of, order_key = doc_of[o], order_key[o]
         group = (mixed(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-        rows = [(g, ids[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), order_key[at].tobytes()) for g, d, n, at in _by_bucket(group[doc_of], doc_of, groups)]
+        rows = [(g, ids[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), order_key[at].tobytes()) for g, d, n, at in by_bucket(group[doc_of], doc_of, groups)]
         columns = list(zip(*rows)) if rows else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4)], ["bucket", "ids", "sizes", "counts", "tokens"])
 
@@ -179,7 +164,7 @@ def _candidates(threshold: int):
     """A group of documents: those with enough shared shingles: doc_id, n, how many of the first ones are prefix, order keys ascending."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, sizes, counts, keys = (_joined(table.column(c), k) for c, k in (("ids", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("tokens", "<u8")))
+        ids, sizes, counts, keys = (joined(table.column(c), k) for c, k in (("ids", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("tokens", "<u8")))
         names, doc_of = np.unique(ids, return_inverse=True)
         size_of = np.zeros(len(names), np.int64)
         size_of[doc_of] = sizes
@@ -203,7 +188,7 @@ def _deal_prefixes(buckets: int):
             ids = np.array(batch.column("doc_id"), np.int64)
             parts = [np.frombuffer(t.as_py(), "<u8")[: p.as_py()] for t, p in zip(batch.column("tokens"), batch.column("prefix"))]
             tokens, doc_of = np.concatenate(parts), np.repeat(np.arange(len(ids)), [len(p) for p in parts])
-            rows = [(b, ids[d].tobytes(), n.astype("<u4").tobytes(), tokens[at].tobytes()) for b, d, n, at in _by_bucket((mixed(tokens) % np.uint64(buckets)).astype(np.int64), doc_of, buckets)]
+            rows = [(b, ids[d].tobytes(), n.astype("<u4").tobytes(), tokens[at].tobytes()) for b, d, n, at in by_bucket((mixed(tokens) % np.uint64(buckets)).astype(np.int64), doc_of, buckets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 3)], ["bucket", "ids", "counts", "tokens"])
 
     return run
@@ -211,7 +196,7 @@ def _deal_prefixes(buckets: int):
 
 def _ties(table: pa.Table) -> pa.Table:
     """Documents that share a prefix shingle, each tied to the smallest one that it reaches within this bucket."""
-    ids, counts, tokens = (_joined(table.column(c), k) for c, k in (("ids", "<i8"), ("counts", "<u4"), ("tokens", "<u8")))
+    ids, counts, tokens = (joined(table.column(c), k) for c, k in (("ids", "<i8"), ("counts", "<u4"), ("tokens", "<u8")))
     names, doc_of = np.unique(ids, return_inverse=True)
     doc_of = np.repeat(doc_of, counts)
     o = np.lexsort((doc_of, tokens))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import decontaminate, fingerprints, language_id, licenses, mixing, ngram_join, quality, token_files, warc
+from gaugeworks.llm import decontaminate, fingerprints, language_id, licenses, mixing, ngram_join, quality, repeats, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_licenses": licenses.op3_licenses,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_language_id": language_id.op5_language_id,
+    "op6_repeats": repeats.op6_repeats,
     "op7_quality": quality.op7_quality,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_decontaminate": decontaminate.op9_decontaminate,

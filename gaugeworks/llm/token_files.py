@@ -34,7 +34,7 @@ from gaugeworks.llm.shared import new_folder, open_file, put_file, written
 
 MAGIC, BLOCK, END_ID = b"GWIDS001", 1 << 14, 1
 TOKENIZER = "word_bpe_49k.json"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 700_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -116,7 +116,7 @@ class Encoder:
     """Ids of whole texts, as the tokenizer gives them, by way of the ids of their words.
 
     Only for a tokenizer whose pre-tokens never hold white space and which drops it: then the ids of a text are those of its
-    white-space words, one after the other. Ids of words are kept (at most KEPT_WORDS, then dropped); for other tokenizers
+    white-space words, one after the other. Ids of words are kept (about KEPT_WORDS, then dropped); for other tokenizers
     every text is encoded as it is. Lower-casing and parting a final full stop or comma off letters, which such a
     tokenizer does by itself, only makes kept words fewer.
     """
@@ -127,22 +127,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kept: dict[str, bytes] = {}
+        self.bodies: dict[str, bytes] = {}
         probe = [" One two,\n three. 4th\t it's  ", "Äb cd. x"]
         self.by_word = all(self._plain(t) == [i for w in t.split() for i in self._plain(w)] for t in probe) and self._plain("Ab.") == self._plain("ab") + self._plain(".")
+        letters = ["a", "zq", "the", "inthe", "tionandering", "abcdefghijklmnopqrstuvwxyz"]
+        self.by_model = all([x.id for x in self.tokenizer.model.tokenize(w)] == self._plain(w) for w in letters)
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: set[str]) -> None:
-        parts = {}
+        bodies, kept, model = self.bodies, self.kept, self.tokenizer.model
+        if len(bodies) > KEPT_WORDS:
+            bodies.clear()
         for w in words:
             body, tail = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "")
-            parts[w] = (body.lower() if body.isascii() and body.isalpha() else body, tail)
-        new = sorted({x for p in parts.values() for x in p if x and x not in self.kept})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.kept[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (body, tail) in parts.items():
-            self.kept[w] = self.kept[body] + (self.kept[tail] if tail else b"")
+            plain = body.isascii() and body.isalpha()
+            body = body.lower() if plain else body
+            for x in (body, tail) if tail else (body,):
+                if x not in bodies:
+                    # the model alone has the ids of a run of small ASCII letters, which no other step of such a tokenizer changes
+                    ids = [t.id for t in model.tokenize(x)] if plain and self.by_model and x is body else self._plain(x)
+                    bodies[x] = b"".join([i.to_bytes(4, "little") for i in ids])
+            kept[w] = bodies[body] + bodies[tail] if tail else bodies[body]
 
     def __call__(self, text: str) -> np.ndarray:
         if not self.by_word:
