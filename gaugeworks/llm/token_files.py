@@ -20,6 +20,7 @@ are ignored. A retried task writes a new file under another name; only files of
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -130,6 +131,9 @@ class Encoder:
         self.bodies: dict[str, bytes] = {}
         probe = [" One two,\n three. 4th\t it's  ", "Äb cd. x"]
         self.by_word = all(self._plain(t) == [i for w in t.split() for i in self._plain(w)] for t in probe) and self._plain("Ab.") == self._plain("ab") + self._plain(".")
+        spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+        # what Python parts words at and the tokenizer does not: texts with such a character are encoded as they are
+        self.odd = re.compile("|".join(re.escape(c) for c in spaces if self._plain(f"ab{c}cd") != self._plain("ab") + self._plain("cd")) or "(?!)")
         letters = ["a", "zq", "the", "inthe", "tionandering", "abcdefghijklmnopqrstuvwxyz"]
         self.by_model = all([x.id for x in self.tokenizer.model.tokenize(w)] == self._plain(w) for w in letters)
 
@@ -152,7 +156,7 @@ class Encoder:
             kept[w] = bodies[body] + bodies[tail] if tail else bodies[body]
 
     def __call__(self, text: str) -> np.ndarray:
-        if not self.by_word:
+        if not self.by_word or self.odd.search(text):
             return np.array(self._plain(text), np.uint32)
         words = text.split()
         try:
