@@ -2,7 +2,7 @@
 
 Words are runs of ASCII letters and digits and of any non-ASCII characters, A-Z lowered. A block of a template of m words
 is a window of 2m words of a text, one every m words, so that any run of m words lies within a block. A block is found when it
-holds at least ``threshold`` of the template's distinct words. The tokens of templates are put in one global order, rarest first by the number of
+holds at least ``threshold`` of the template's distinct words (all of them where the template has fewer than SHORT). The tokens of templates are put in one global order, rarest first by the number of
 documents that hold them, counted over all documents. A block can only reach the threshold if it holds one of the first |T| - a + 1
 tokens of a template T that needs a of them (prefix filter), if it has a tokens itself (length filter), and if enough tokens are left on
 both sides after the first common one (positional filter). What passes is counted exactly, so the join is exact.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.bytescan import WORDS
 
-THRESHOLD = 0.8
+THRESHOLD, SHORT = 0.8, 16
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Wording of public license notices and their labels.
@@ -67,7 +67,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def template_set(base: Sequence[tuple[str, str]] = BASE, notices: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
-    return [Template(tuple(words_of(t)), label, True, 1.0) for t, label in base] + [Template(tuple(words_of(t)), label, False, threshold) for t, label in notices]
+    """Short notices need all their words: such ones differ in a single word, as in a version."""
+    share = lambda t: 1.0 if len(set(words_of(t))) < SHORT else threshold
+    return [Template(tuple(words_of(t)), label, True, 1.0) for t, label in base] + [Template(tuple(words_of(t)), label, False, share(t)) for t, label in notices]
 
 
 def token_order(docs: DataFrame, templates: Sequence[Template]) -> dict[bytes, tuple[int, bytes]]:
