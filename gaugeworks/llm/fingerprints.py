@@ -20,6 +20,7 @@ The only document is its own next one. Other columns are ignored; an empty table
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,8 +85,11 @@ def _group_of(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull(), F.lit(-1)).otherwise(number)
 
 
-def with_next(rows: DataFrame, columns: list[str], in_group: int = IN_GROUP) -> DataFrame:
-    """rows (doc_id bigint, _tie, columns...) with next_<column> of the next row in descending doc_id, the first one's for the last."""
+def with_next(rows: DataFrame, columns: list[str], in_group: int = IN_GROUP, add: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """add(rows) (doc_id bigint, _tie, columns...) with next_<column> of the next row in descending doc_id, the first one's for the last.
+
+    add, which gives more columns, is only applied to rows that are sent on.
+    """
     n = rows.select(F.count("*")).first()[0]
     groups = min(MOST_GROUPS, max(1, n // in_group))
     bounds: list[int] = []
@@ -99,7 +103,7 @@ def with_next(rows: DataFrame, columns: list[str], in_group: int = IN_GROUP) ->
     table = rows.sparkSession.createDataFrame(ghosts, "_top long, _into int, _wrap int")
     # the rows of a group's top doc_id stand at the end of the group above it, or (the very first) of the last one
     extra = rows.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("_top"))).select(*[c for c in rows.columns if c != "_group"], F.col("_into").alias("_group"), F.col("_wrap"), F.lit(True).alias("_ghost"))
-    both = rows.withColumn("_wrap", F.lit(0)).withColumn("_ghost", F.lit(False)).unionByName(extra)
+    both = add(rows.withColumn("_wrap", F.lit(0)).withColumn("_ghost", F.lit(False))).unionByName(add(extra))
     near = W.partitionBy("_group").orderBy("_wrap", F.col("doc_id").desc_nulls_last(), "_tie")
     for c in columns:
         both = both.withColumn(f"next_{c}", F.lead(c).over(near))
@@ -109,7 +113,7 @@ def with_next(rows: DataFrame, columns: list[str], in_group: int = IN_GROUP) ->
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
-    rows = with_next(with_fingerprint(rows, "text", "print"), ["text", "print"])
+    rows = with_next(rows, ["text", "print"], add=lambda df: with_fingerprint(df, "text", "print"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
