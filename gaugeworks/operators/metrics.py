@@ -31,13 +31,24 @@ def _by(df: DataFrame, keys: Sequence[str]):
     return df.groupBy(*keys)
 
 
+def _curve(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """risk_curve() with c, the rows of each block.
+
+    Running sums in two steps: over 4096 ranges of confidence (few rows), then within each range, so no task sorts a whole key.
+    """
+    blocks = _by(rows, [*keys, "conf"]).agg(F.count("*").alias("c"), F.sum((~F.col("ok")).cast("long")).alias("e")).withColumn("_range", F.floor(F.col("conf") * 4096))
+    down = W.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    ranges = _by(blocks, [*keys, "_range"]).agg(F.sum("c").alias("_c"), F.sum("e").alias("_e"))
+    ranges = ranges.select(*keys, "_range", F.coalesce(F.sum("_c").over(down), F.lit(0)).alias("_above"), F.coalesce(F.sum("_e").over(down), F.lit(0)).alias("_wrong"), F.sum("_c").over(W.partitionBy(*keys)).alias("n"))
+    within = W.partitionBy(*keys, "_range").orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, 0)
+    out = blocks.withColumn("accepted", F.sum("c").over(within)).withColumn("errors", F.sum("e").over(within)).join(ranges, [*keys, "_range"])
+    out = out.select(*keys, F.col("conf").alias("threshold"), "c", (F.col("accepted") + F.col("_above")).alias("accepted"), (F.col("errors") + F.col("_wrong")).alias("errors"), "n")
+    return out.withColumn("coverage", F.col("accepted") / F.col("n")).withColumn("risk", F.col("errors") / F.col("accepted"))
+
+
 def risk_curve(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, threshold, accepted, errors, n, coverage, risk: a row for each distinct confidence, from the highest on."""
-    blocks = _by(rows, [*keys, "conf"]).agg(F.count("*").alias("c"), F.sum((~F.col("ok")).cast("long")).alias("e"))
-    down = W.partitionBy(*keys).orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, 0)
-    all_ = W.partitionBy(*keys)
-    out = blocks.select(*keys, F.col("conf").alias("threshold"), F.sum("c").over(down).alias("accepted"), F.sum("e").over(down).alias("errors"), F.sum("c").over(all_).alias("n"))
-    return out.withColumn("coverage", F.col("accepted") / F.col("n")).withColumn("risk", F.col("errors") / F.col("accepted"))
+    return _curve(rows, keys).drop("c")
 
 
 def coverage_at_error(rows: DataFrame, budgets: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
@@ -48,9 +59,7 @@ def coverage_at_error(rows: DataFrame, budgets: Sequence[float], keys: Sequence[
 
 def area_under_risk(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sum of the steps of coverage times the risk at their end."""
-    curve = risk_curve(rows, keys)
-    before = F.lag("accepted", 1, 0).over(W.partitionBy(*keys).orderBy(F.desc("threshold")))
-    return _by(curve.withColumn("step", F.col("accepted") - before), keys).agg((F.sum(F.col("step") * F.col("risk")) / F.max("n")).alias("aurc"))
+    return _by(_curve(rows, keys), keys).agg((F.sum(F.col("c") * F.col("risk")) / F.max("n")).alias("aurc"))
 
 
 def expected_calibration_error(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
