@@ -9,7 +9,9 @@ from gaugeworks.plans.queries_metrics import WITH, both, rounded, scored
 from gaugeworks.plans.registry import query
 from gaugeworks.sources.fixtures import prediction_rows
 
-KEYS = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: k.cast("string"))
+
+def option_names():
+    return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: k.cast("string"))
 
 
 @query("a23_release_candidates", "WITH t AS (SELECT o_custkey % 200 AS recipe, o_orderkey % 4 AS seed, o_totalprice > 20000 AS g1, o_orderstatus <> 'P' AS g2 FROM orders WHERE o_orderkey % 17 = 1) SELECT recipe, count(DISTINCT seed) AS seeds, bool_and(g1 AND g2) AND count(DISTINCT seed) >= 2 AS candidate FROM t GROUP BY recipe")
@@ -80,7 +82,7 @@ def soft_targets(spark, sf):
 @query("u02_rotation_average", f"{WITH}, z AS (SELECT id, list_transform(list_zip(p, p_b), lambda x: (ln(greatest(x[1], 1e-12)) + ln(greatest(x[2], 1e-12))) / 2) AS z FROM preds), e AS (SELECT id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z) SELECT id, round(list_max(e) / list_sum(e), 6) AS conf, CAST(list_position(e, list_max(e)) - 1 AS VARCHAR) AS said FROM e")
 def rotation_average(spark, sf):
     """Two turns of each question, the second answered with its options rotated by one."""
-    r = prediction_rows(spark, sf).withColumn("keys", KEYS)
+    r = prediction_rows(spark, sf).withColumn("keys", option_names())
     one = r.select("id", "question", F.lit(0).alias("turn"), "keys", "p")
     turned = reports.rotations(r.select("id", "question", "keys", "label"), 2).where("turn = 1").join(r.select("id", "p_b"), "id")
     two = turned.select("id", "question", "turn", "keys", F.transform("keys", lambda k: F.get("p_b", k.cast("int"))).alias("p"))
