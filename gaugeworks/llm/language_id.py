@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.bytescan import runs, text_buffer
 
-BITS, PER_LANGUAGE, MOST_LANGUAGES, STEPS, RIDGE = 13, 1000, 200, 150, 1e-4
+BITS, PER_LANGUAGE, MOST_LANGUAGES, STEPS, RIDGE = 12, 600, 200, 150, 1e-4
 UNKNOWN = "und"
 #: Families of closely related languages.
 FAMILIES = {
