@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.bytescan import IS_SPACE, powers, runs, text_buffer
 from gaugeworks.llm.language_id import held_out
 
-BITS, DIM, EPOCHS, RATE, SAMPLE, CUT = 17, 8, 5, 2.0, 6000, 0.3
+BITS, DIM, EPOCHS, RATE, SAMPLE, CUT = 17, 8, 5, 2.0, 4000, 0.3
 GRAMS = (3, 4, 5)
 _STEP = 0xD6E8FEB86659FD93
 
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
             yield pa.RecordBatch.from_pydict({"quality": [g[0] for g in got], "ids": [g[1] for g in got], "share": [g[2] for g in got]}, pa.schema([("quality", pa.int32()), ("ids", pa.binary()), ("share", pa.binary())]))
 
     got = sorted(rows.mapInArrow(run, "quality int, ids binary, share binary").toLocalIterator(), key=lambda r: (bytes(r["ids"]), r["quality"]))
-    return train([(np.frombuffer(r["ids"], "<u4").astype(np.int32), np.frombuffer(r["share"], "<f4"), r["quality"]) for r in got], bits, **options)
+    return train([(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["share"], "<f4"), r["quality"]) for r in got], bits, **options)
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, float] | None, bits: int = BITS) -> DataFrame:
