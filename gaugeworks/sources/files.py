@@ -154,3 +154,68 @@ def request_digest(columns: list[str]):
 
 def file_digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def read_tar(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """file, member, text of the members of (compressed) tar archives whose name ends with suffix; one member in memory at a time."""
+    import tarfile
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+                    for m in t:
+                        if m.isfile() and m.name.endswith(suffix):
+                            yield pd.DataFrame([(name, m.name, t.extractfile(m).read().decode("utf-8", "replace"))], columns=["file", "member", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, member string, text string")
+
+
+def literal_list(cell):
+    """A column of Python list literals of strings or numbers as arrays of text; null where it is none."""
+    import ast
+
+    @F.pandas_udf("array<string>")
+    def of(x: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                got = ast.literal_eval(v)
+                return [str(i) for i in got] if isinstance(got, (list, tuple)) else None
+            except (ValueError, SyntaxError, TypeError):
+                return None
+
+        return pd.Series([one(v) for v in x], dtype=object)
+
+    return of(cell)
+
+
+#: Statuses of a remote predictor: refused rows are kept as rejected; others are tried again.
+REFUSED, AGAIN = (400, 413, 422), (408, 429, 500, 502, 503, 504)
+
+
+def asked(requests: DataFrame, send, tries: int = 4, wait: float = 0.5) -> DataFrame:
+    """id, status, answer of each request through send(text) -> (status, answer), on the executors, with bounded retries and doubling waits.
+
+    A refused request has its status and no answer; one that fails to the end, or with any other status, raises, and Spark runs the task again.
+    """
+    import time
+
+    def one(text: str) -> tuple[int, str | None]:
+        status = 0
+        for k in range(tries):
+            status, answer = send(text)
+            if status == 200:
+                return status, answer
+            if status in REFUSED:
+                return status, None
+            if status not in AGAIN:
+                break
+            time.sleep(wait * 2**k)
+        raise ConnectionError(f"status {status}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [one(t) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "status": [g[0] for g in got], "answer": [g[1] for g in got]})
+
+    return requests.select("id", "text").mapInPandas(run, "id string, status int, answer string")
