@@ -11,7 +11,7 @@ with fewer words the whole sequence is the one shingle. Two documents link when
 4. Each family is joined on its own: its sets, most frequent shingle first, form a path-compressed trie. A set is held against those that share a prefix
    shingle with it; they are followed along the trie, overlaps of shared paths are counted once, and a subtree goes when what is left on both sides can't
    reach the overlap that its lengths need. Sets that are already in one group aren't compared, so a group of near copies costs about a comparison a member.
-   Small families are packed together; a large one is cut into blocks, and every pair of blocks is a task, so no task holds more than two blocks.
+   Small families are packed together; a large one is cut into blocks, see _links().
 5. Links of all families make the groups (components).
 
 Hashes have 40 bits and those of the range's number: a wrong match within a pair of documents has odds of about |A| |B| / 2**45 and less for more data.
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gaugeworks.llm.bytescan import by_bucket, joined, mixed, runs, text_buffer, word_hashes
 from gaugeworks.llm.shared import components, written
@@ -300,8 +301,11 @@ class Trie:
         return overlap
 
 
-def join_family(ids: list[int], sizes: np.ndarray, prefixes: list[int], keys: list[np.ndarray], side: np.ndarray | None, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Pairs (smallest id of a linked group, member) of a family. With side (0 or 1), only sets of different sides are compared."""
+def join_family(ids: list[int], sizes: np.ndarray, prefixes: list[int], keys: list[np.ndarray], side: np.ndarray | None, threshold: int = THRESHOLD, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs (smallest id of a linked group, member) of a family. With side (0 or 1), only sets of different sides are compared.
+
+    Sets of one known group count as linked, and are not compared.
+    """
     n = len(ids)
     values, flat = np.unique(np.concatenate(keys), return_inverse=True)
     edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
@@ -317,6 +321,13 @@ def join_family(ids: list[int], sizes: np.ndarray, prefixes: list[int], keys: li
     o = np.lexsort((place[entry_doc], entry_rank))
     posting, at = entry_doc[o], np.searchsorted(entry_rank[o], np.arange(len(values) + 1))
     groups, mark = _Groups(n), np.zeros(len(values), bool)
+    if known is not None:
+        o = np.argsort(known, kind="stable")
+        for same in np.split(o, np.flatnonzero(known[o][1:] != known[o][:-1]) + 1):
+            groups.label[same] = same[0]
+            for k in same.tolist():
+                groups.members[k] = []
+            groups.members[int(same[0])] = same.tolist()
     for x in order.tolist():
         mine = rank[edge[x] : edge[x] + prefixes[x]]
         found = np.unique(np.concatenate([posting[at[r] : at[r + 1]] for r in mine.tolist()]))
@@ -345,21 +356,67 @@ def join_family(ids: list[int], sizes: np.ndarray, prefixes: list[int], keys: li
 
 def _family_task(threshold: int):
     def run(table: pa.Table) -> pa.Table:
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         family = np.array(table.column("family"))
         o = np.argsort(family, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], family[o][1:] != family[o][:-1]]))
-        ids, sizes, prefix, block = (np.array(table.column(c)) for c in ("doc_id", "n", "prefix", "block"))
+        ids, sizes, prefix, side, known = (np.array(table.column(c)) for c in ("doc_id", "n", "prefix", "side", "known"))
         tokens, links = table.column("tokens").combine_chunks(), []
         for mine in np.split(o, cut[1:]):
             if len(mine) > 1:
                 keys = [np.frombuffer(tokens[int(k)].as_py(), "<u8") for k in mine]
-                links += join_family(ids[mine].tolist(), sizes[mine].astype(np.int64), prefix[mine].tolist(), keys, block[mine] == lo if lo != hi else None, threshold)
+                links += join_family(ids[mine].tolist(), sizes[mine].astype(np.int64), prefix[mine].tolist(), keys, side[mine] if side[mine[0]] >= 0 else None, threshold, known[mine])
         return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _links(members: DataFrame, in_family: int, threshold: int) -> DataFrame:
+    """a, b: links of families (family, doc_id, n, prefix, tokens), enough to connect each group.
+
+    Families of up to in_family shingles are packed together, some to a task. A larger one is cut into blocks by a hash of doc_id:
+
+    - each block is joined on its own;
+    - two documents of each group that holds a 16th of its block stand for it and are joined across blocks, by this same function;
+    - what is then outside the family's largest group is held against all of the family, block by block. Documents of that group are not compared
+      with each other again, so a family of near copies, however large, takes work in proportion to its size.
+    """
+    weight = members.groupBy("family").agg((F.sum(F.length("tokens")) / 8).alias("weight"))
+    cut = weight.select(F.col("family").alias("of"), F.ceil(F.col("weight") / in_family).cast("int").alias("blocks")).where("blocks > 1")
+    cut = written(cut, "jaccard-large")
+    packs = max(64, int((weight.agg(F.sum("weight")).first()[0] or 0) / in_family * 4))
+    task = lambda df: df.groupBy("pack", "lo", "hi").applyInArrow(_family_task(threshold), "a long, b long")
+    columns = ["family", "doc_id", "n", "prefix", "tokens"]
+    placed = members.join(cut, members["family"] == cut["of"], "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    first = placed.select(*columns, F.lit(-1).alias("side"), F.col("doc_id").alias("known"), F.col("block").alias("lo"), F.lit(0).alias("hi"), F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(-1 - F.col("family")).alias("pack"))
+    links = written(task(first), "jaccard-links")
+    if not cut.limit(1).count():
+        return links
+    large = placed.where(F.col("blocks").isNotNull())
+
+    def grouped(links: DataFrame) -> DataFrame:
+        now = components(links, "jaccard-blocks").select(F.col("node").alias("doc_id"), "component")
+        return large.join(now, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    now = grouped(links)
+    in_block, in_group = W.partitionBy("family", "block"), W.partitionBy("family", "block", "component")
+    stand = now.withColumn("_all", F.count("*").over(in_block)).withColumn("_same", F.count("*").over(in_group)).withColumn("_k", F.row_number().over(in_group.orderBy("doc_id")))
+    stand = written(stand.where("_k <= 2 and 16 * _same >= _all and _same > 2").select(*columns), "jaccard-standing")
+    fewer = members.count() > 2 * stand.count()
+    if fewer and stand.limit(1).count():
+        links = written(links.union(_links(stand, in_family, threshold)), "jaccard-links")
+        now = grouped(links)
+    now = written(now.select(*columns, "block", "blocks", "component"), "jaccard-grouped")
+    sizes = now.groupBy("family", "component").agg(F.count("*").alias("n"), (F.sum(F.length("tokens")) / 8).alias("weight"))
+    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("weight").alias("all"), F.max_by("weight", F.struct("n", "component")).alias("own"))
+    main = written(main.where("all > own").select(F.col("family").alias("of"), "main", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("own")) / in_family)).cast("int").alias("parts")), "jaccard-main")
+    left = now.join(main, now["family"] == main["of"])
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int")
+    outside = left.where("component <> main").select(*columns, F.lit(0).alias("side"), "component", part.alias("lo"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("hi"))
+    all_ = left.select(*columns, F.lit(1).alias("side"), "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("lo"), F.col("block").alias("hi"))
+    rest = outside.union(all_).withColumnRenamed("component", "known").withColumn("pack", -1 - F.col("family"))
+    return links.union(written(task(rest), "jaccard-rest"))
+
+
 def jaccard_groups(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, in_range: int = RANGE, in_family: int = FAMILY) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -373,17 +430,7 @@ def jaccard_groups(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD
     ties = found.mapInArrow(_deal_prefixes(buckets), "bucket int, ids binary, counts binary, tokens binary").groupBy("bucket").applyInArrow(_ties, "a long, b long")
     families = components(ties, "jaccard-families")
     found = found.join(families.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "family")
-    found = written(found, "jaccard-members")
-    weight = found.groupBy("family").agg((F.sum(F.length("tokens")) / 8).alias("weight"))
-    cut = weight.select("family", F.ceil(F.col("weight") / in_family).cast("int").alias("blocks")).where("blocks > 1")
-    total = weight.agg(F.sum("weight")).first()[0] or 0
-    packs = max(8, int(total / in_family * 4))
-    cut = written(cut.withColumnRenamed("family", "of"), "jaccard-large")
-    dealt = found.join(cut, found["family"] == cut["of"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", "doc_id", "n", "prefix", "tokens", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(-1 - F.col("family")).alias("pack"))
-    links = dealt.groupBy("pack", "lo", "hi").applyInArrow(_family_task(threshold), "a long, b long")
-    groups = components(written(links, "jaccard-links"), "jaccard-groups")
+    groups = components(_links(written(found, "jaccard-members"), in_family, threshold), "jaccard-groups")
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("class"))
     classes = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").select(F.col("set_key").alias("key"), F.coalesce("component", "class").alias("component"))
     classes = written(classes, "jaccard-classes")
