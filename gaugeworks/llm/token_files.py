@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -136,23 +137,35 @@ class Encoder:
         self.odd = re.compile("|".join(re.escape(c) for c in spaces if self._plain(f"ab{c}cd") != self._plain("ab") + self._plain("cd")) or "(?!)")
         letters = ["a", "zq", "the", "inthe", "tionandering", "abcdefghijklmnopqrstuvwxyz"]
         self.by_model = all([x.id for x in self.tokenizer.model.tokenize(w)] == self._plain(w) for w in letters)
+        # a byte-level tokenizer shows the model each byte as a character: printable ones as they are, the others from U+0100 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = [b for b in range(256) if b not in shown]
+        self.bytes_shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(rest)}
+        self.by_bytes = self.by_model and all(self._by_model(w) == self._plain(w) for w in ["é", "straße", "Ñandú", "êtreÉau", "日本", "Привет", "ǅ"])
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _by_model(self, letters: str) -> list[int]:
+        """The ids of a run of letters, lowered, from the model alone."""
+        if letters.isascii():
+            return [t.id for t in self.tokenizer.model.tokenize(letters.lower())]
+        shown = letters.lower().encode("utf-8").decode("latin-1").translate(self.bytes_shown)
+        return [t.id for t in self.tokenizer.model.tokenize(shown)]
+
     def _learn(self, words: set[str]) -> None:
-        bodies, kept, model = self.bodies, self.kept, self.tokenizer.model
+        bodies, kept = self.bodies, self.kept
         if len(bodies) > KEPT_WORDS:
             bodies.clear()
         for w in words:
             body, tail = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "")
-            plain = body.isascii() and body.isalpha()
-            body = body.lower() if plain else body
+            letters = body.isalpha()
+            body = body.lower() if letters and body.isascii() else body
             for x in (body, tail) if tail else (body,):
                 if x not in bodies:
-                    # the model alone has the ids of a run of small ASCII letters, which no other step of such a tokenizer changes
-                    ids = [t.id for t in model.tokenize(x)] if plain and self.by_model and x is body else self._plain(x)
-                    bodies[x] = b"".join([i.to_bytes(4, "little") for i in ids])
+                    # the model alone has the ids of a run of letters that case and composition leave no choice about
+                    alone = letters and x is body and (self.by_model if x.isascii() else self.by_bytes and "\u03a3" not in x and "\u0130" not in x and unicodedata.is_normalized("NFC", x))
+                    bodies[x] = b"".join([i.to_bytes(4, "little") for i in (self._by_model(x) if alone else self._plain(x))])
             kept[w] = bodies[body] + bodies[tail] if tail else bodies[body]
 
     def __call__(self, text: str) -> np.ndarray:
