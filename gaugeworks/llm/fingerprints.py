@@ -1,12 +1,17 @@
 """Document fingerprints (8): consistent weighted sampling, with DataFrame functions only.
 
-A document's weighted terms are its words (runs of characters that are not white space) and their counts. For a term x of weight w three
-random variables come from hashes of x alone: r and c of a gamma distribution with shape 2, b uniform. The consistent sample
-is t = floor(ln w / r + b), and its rank is ln a = ln c - r (t - b) - r; of a set of terms, the (x, t) of least rank is drawn, and
-two documents draw the same one with a chance equal to their generalised Jaccard similarity (sum of least over sum of greatest weights).
+A document's weighted terms are its words (runs of characters that are not white space) and their counts. A term x of count w stands for the
+occurrences (x, 0) to (x, w - 1), each with a hash of its own; the occurrence of least hash is the consistent sample of the document, and two documents draw the
+same one with a chance equal to their generalised Jaccard similarity (sum of least over sum of greatest counts), as they share the least count of each term's occurrences.
 
-Terms are parted by 6 bits of their hash over 64 bins and each bin draws its own sample, so that a term is sampled once, not 64 times: the share of equal samples among bins
-that either document fills estimates the similarity. A fingerprint is a text of six hexadecimal digits for each filled bin: the bin and 16 bits of a hash of (x, t).
+Occurrences are parted by 6 bits of their hash over 64 bins, so a frequent term is spread over the bins in proportion to its count, and each bin draws its own sample. The
+occurrences of a bin are a random part of all, therefore a bin that either document fills agrees with a chance of that similarity too, whatever the counts: the share of
+equal samples among such bins is an estimate of it without bias (but for 16-bit hashes, 1 in 65536). A fingerprint is a text of six hexadecimal digits for each filled bin: the bin and
+16 bits of the sample's hash.
+
+``with_fingerprint`` is the earlier scheme: whole terms are parted over the bins and each bin draws one by gamma variables (for a term x of weight w hashes of x alone give
+r and c of a gamma distribution with shape 2 and b uniform; t = floor(ln w / r + b), the rank is ln a = ln c - r (t - b) - r, the (x, t) of least rank is drawn). A count then only
+weighs within its own bin, and the share of equal samples is the mean of the bins' similarities, which is not the documents' where counts are skewed. op8 does not use it.
 
 Everything is a projection (arrays and higher-order functions) but for one shuffle of the texts, which brings neighbours together: documents are ranged by quantiles of
 doc_id into groups of about ``in_group`` rows (at most MOST_GROUPS groups, so their bounds are small), a window looks one row ahead within a group, and the first row
@@ -64,6 +69,18 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, F.transform(first, lambda v: bin_of(v) * (1 << 16) + v.bitwiseAND(F.lit(0xFFFF)))).drop("_samples")
 
 
+def with_whole_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with a column name: an ascending array of bin * 2**16 + sample, of samples over all occurrences of all words."""
+    df = df.withColumn("_words", _hashes(F.col(text)))
+    words, starts, got = F.col("_words"), F.col("_starts"), F.col("_drawn")
+    df = df.withColumn("_starts", F.filter(F.transform(words, lambda x, i: F.when((i == 0) | (x != F.get(words, i - 1)), i + 1)), lambda i: i.isNotNull()))
+    count = lambda s, k: F.coalesce(F.get(starts, k + 1), F.size(words) + 1) - s
+    df = df.withColumn("_drawn", F.sort_array(F.flatten(F.transform(starts, lambda s, k: F.transform(F.slice(words, s, count(s, k)), lambda x, i: F.xxhash64(x, i)))))).drop("_words", "_starts")
+    bin_of = lambda v: F.shiftright(v, 58)
+    first = F.filter(got, lambda v, i: (i == 0) | (bin_of(v) != bin_of(F.get(got, i - 1))))
+    return df.withColumn(name, F.transform(first, lambda v: (bin_of(v) + 32) * (1 << 16) + v.bitwiseAND(F.lit(0xFFFF)))).drop("_drawn")
+
+
 def as_text(print_: Column) -> Column:
     return F.array_join(F.transform(print_, lambda v: F.lpad(F.hex(v), 6, "0")), "")
 
@@ -113,9 +130,9 @@ def with_next(rows: DataFrame, columns: list[str], in_group: int = IN_GROUP, add
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
-    rows = with_next(rows, ["text", "print"], add=lambda df: with_fingerprint(df, "text", "print"))
+    rows = with_next(rows, ["text", "print"], add=lambda df: with_whole_fingerprint(df, "text", "print"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
-    rows = with_fingerprint(rows, "edited", "edited_print")
+    rows = with_whole_fingerprint(rows, "edited", "edited_print")
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))

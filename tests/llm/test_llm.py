@@ -302,6 +302,18 @@ def test_fingerprint_likeness_estimates_jaccard(spark):
     assert abs(np.mean(np.array(got) - truth)) < 0.03 and np.sqrt(np.mean((np.array(got) - truth) ** 2)) < 0.09
 
 
+def test_op8_likeness_is_unbiased_under_skewed_counts(spark, tmp_path):
+    """near_next of rows 2k + 1 and 2k: a heavy shared word, heavy differing words, half of a heavy word."""
+    name = lambda k, part, n: [f"{part}{k}_{j}" for j in range(n)]
+    kinds = [lambda k: (["the"] * 100 + name(k, "a", 100), ["the"] * 100 + name(k, "b", 100)), lambda k: (name(k, "s", 100) + [f"x{k}"] * 400, name(k, "s", 100) + [f"y{k}"] * 400), lambda k: (name(k, "s", 100) + [f"x{k}"] * 400, name(k, "s", 100) + [f"x{k}"] * 200)]
+    for n, (kind, want) in enumerate(zip(kinds, (1 / 3, 1 / 9, 3 / 5))):
+        pairs = [kind(k) for k in range(60)]
+        assert all(abs(sum((collections.Counter(a) & collections.Counter(b)).values()) / sum((collections.Counter(a) | collections.Counter(b)).values()) - want) < 1e-9 for a, b in pairs)
+        spark.createDataFrame([(2 * k + m, " ".join(pair[1 - m])) for k, pair in enumerate(pairs) for m in (0, 1)], "doc_id long, text string").write.parquet(str(tmp_path / f"{n}/documents.parquet"))
+        got = [r["near_next"] for r in fingerprints.op8_fingerprints(spark, str(tmp_path / str(n))).collect() if r["doc_id"] % 2]
+        assert len(got) == 60 and abs(np.mean(got) - want) < 0.04
+
+
 @pytest.mark.parametrize("in_group", [2, 7, 1000])
 def test_next_rows(spark, docs, in_group):
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
