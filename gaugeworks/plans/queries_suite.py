@@ -82,6 +82,13 @@ def connected(spark, sf):
     return graph.min_label_components(o.select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_orderkey") % 500 + 1000000).cast("long").alias("b")))
 
 
+@query("d11_components_all_orders", "WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey % 500 + 1000000 AS b FROM orders), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM x UNION SELECT x.b, r.c FROM r JOIN x ON r.node = x.a WHERE r.c < x.b) SELECT node, min(c) AS component FROM r GROUP BY node")
+def connected_all_orders(spark, sf):
+    """Over every order."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return graph.min_label_components(o.select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_orderkey") % 500 + 1000000).cast("long").alias("b")))
+
+
 @query("d15_unanimous_votes", "WITH v AS (SELECT o_orderkey AS item, l_linenumber AS judge, CASE WHEN l_quantity > 5 THEN 'yes' WHEN l_quantity > 2 THEN 'no' END AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3), s AS (SELECT item, count(label) AS n, min(label) AS a, max(label) AS b FROM v GROUP BY item) SELECT item, CASE WHEN n = 3 AND a = b THEN a END AS label, CASE WHEN n = 3 AND a = b THEN 'agreed' ELSE 'split' END AS how FROM s")
 def unanimous_votes(spark, sf):
     v = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("item"), F.when(F.col("l_quantity") > 5, "yes").when(F.col("l_quantity") > 2, "no").alias("label"))
