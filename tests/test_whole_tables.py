@@ -2,7 +2,7 @@
 
 import random
 
-from gaugeworks.plans import queries_suite
+from gaugeworks.plans import queries_reports, queries_suite
 
 
 def test_components_all_orders(spark, tmp_path):
@@ -22,3 +22,16 @@ def test_components_all_orders(spark, tmp_path):
         parent[max(a, b)] = min(a, b)
     got = {x["node"]: x["component"] for x in queries_suite.connected_all_orders(spark, str(tmp_path)).collect()}
     assert got == {x: root(x) for x in parent} and len(set(got.values())) > 5
+
+
+def test_release_candidates_all_orders(spark, tmp_path):
+    """No order key is 1 modulo 17; the failing gates and the second seeds are among the others."""
+    r = random.Random(8)
+    rows = [(17 * k + r.randrange(2, 17), r.randrange(80), r.choice("OFOFOFP"), r.uniform(15_000, 90_000)) for k in range(200)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    want = {}
+    for o, c, status, price in rows:
+        seeds, good = want.get(c, (set(), True))
+        want[c] = seeds | {o % 4}, good and status != "P" and price > 20_000
+    got = {x["recipe"]: (x["seeds"], x["candidate"]) for x in queries_reports.release_candidates_all_orders(spark, str(tmp_path)).collect()}
+    assert got == {c: (len(s), good and len(s) >= 2) for c, (s, good) in want.items()} and len({v[1] for v in got.values()}) == 2
