@@ -124,6 +124,13 @@ def business_days(spark, sf):
     return o.select("o_orderkey", logic.business_day_after(day, 5, ["1995-12-25"]).alias("due"), logic.whole_months(day, F.lit("1998-08-15").cast("date")).cast("int").alias("months"))
 
 
+@query("l24_business_days_all_orders", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), w AS (SELECT day, (SELECT CAST(d AS DATE) FROM (SELECT unnest(generate_series(CAST(day AS TIMESTAMP) + INTERVAL 1 DAY, CAST(day AS TIMESTAMP) + INTERVAL 18 DAY, INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (DATE '1995-12-25') ORDER BY d OFFSET 4 LIMIT 1) AS due FROM d) SELECT o_orderkey, due, CAST(date_diff('month', CAST(o_orderdate AS DATE), DATE '1998-08-15') - CASE WHEN 15 < day(o_orderdate) THEN 1 ELSE 0 END AS INTEGER) AS months FROM orders LEFT JOIN w ON w.day = CAST(o_orderdate AS DATE)")
+def business_days_all_orders(spark, sf):
+    """Over every order; its SQL finds due dates of distinct days."""
+    day = F.col("o_orderdate").cast("date")
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", logic.business_day_after(day, 5, ["1995-12-25"]).alias("due"), logic.whole_months(day, F.lit("1998-08-15").cast("date")).cast("int").alias("months"))
+
+
 @query("l25_exact_rates", "SELECT p_partkey, CAST(floor(x * 1000 + 0.5) AS BIGINT) AS mille, round(x * 0.9 / (x * 0.9 + (1 - x) * 0.05), 6) AS ppv FROM (SELECT p_partkey, (p_partkey % 997) / 997.0::DOUBLE AS x FROM part)")
 def exact_rates(spark, sf):
     x = (F.col("p_partkey") % 997) / F.lit(997.0)

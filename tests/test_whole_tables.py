@@ -1,8 +1,9 @@
 """Queries over whole tables, on small made-up rows, against brute force."""
 
+import datetime
 import random
 
-from gaugeworks.plans import queries_reports, queries_suite
+from gaugeworks.plans import queries_reports, queries_suite, queries_traces
 
 
 def test_components_all_orders(spark, tmp_path):
@@ -35,3 +36,20 @@ def test_release_candidates_all_orders(spark, tmp_path):
         want[c] = seeds | {o % 4}, good and status != "P" and price > 20_000
     got = {x["recipe"]: (x["seeds"], x["candidate"]) for x in queries_reports.release_candidates_all_orders(spark, str(tmp_path)).collect()}
     assert got == {c: (len(s), good and len(s) >= 2) for c, (s, good) in want.items()} and len({v[1] for v in got.values()}) == 2
+
+
+def test_business_days_all_orders(spark, tmp_path):
+    """No order key is 1 modulo 10; days around the holiday, a month's ends, and none."""
+    days = [datetime.date(1995, 12, 10) + datetime.timedelta(k) for k in range(40)] + [datetime.date(1998, 8, k) for k in (14, 15, 16)] + [None]
+    rows = [(10 * k + 2 + k % 8, d and datetime.datetime(d.year, d.month, d.day, 13)) for k, d in enumerate(days)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    want = {}
+    for o, at in rows:
+        due, left, months = at and at.date(), 5, None
+        while at and left:
+            due += datetime.timedelta(1)
+            left -= due.weekday() < 5 and due != datetime.date(1995, 12, 25)
+        if at:
+            months = (1998 - at.year) * 12 + 8 - at.month - (at.day > 15)
+        want[o] = due, months
+    assert {x["o_orderkey"]: (x["due"], x["months"]) for x in queries_traces.business_days_all_orders(spark, str(tmp_path)).collect()} == want
