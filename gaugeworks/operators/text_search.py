@@ -17,17 +17,18 @@ def gram_table(docs: DataFrame, key: str, text: str, size: int = 8) -> DataFrame
     return g.select(key, F.size("g").alias("n"), F.explode("g").alias("gram"))
 
 
-def gram_overlap(records: DataFrame, items: DataFrame, size: int = 8, most_items: int | None = None) -> DataFrame:
+def gram_overlap(records: DataFrame, items: DataFrame, size: int = 8, most_items: int | None = None, least_grams: int = 0) -> DataFrame:
     """doc_id, item_id, shared, jaccard, containment of pairs that share a gram: an inverted-index join.
 
     Grams that more than most_items items have are dropped first (a stop-gram filter on the item side, before the join). Only grams of
-    items take part, so the record side is reduced by a semi join before anything is grouped.
+    items take part, so the record side is reduced by a semi join before anything is grouped. Items of fewer than least_grams grams,
+    before or after that filter, are left out; before it, they do not count towards most_items.
     """
-    r, i = gram_table(records, "doc_id", "text", size), gram_table(items, "item_id", "text", size)
+    r, i = gram_table(records, "doc_id", "text", size), gram_table(items, "item_id", "text", size).where(F.col("n") >= least_grams)
     if most_items is not None:
         rare = i.groupBy("gram").count().where(F.col("count") <= most_items).select("gram")
         i = i.join(rare, "gram")
-        i = i.withColumn("n", F.count("*").over(W.partitionBy("item_id")))
+        i = i.withColumn("n", F.count("*").over(W.partitionBy("item_id"))).where(F.col("n") >= least_grams)
     pairs = r.withColumnRenamed("n", "n_doc").join(i.withColumnRenamed("n", "n_item"), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.first("n_doc").alias("n_doc"), F.first("n_item").alias("n_item"))
     return pairs.select("doc_id", "item_id", "shared", (F.col("shared") / (F.col("n_doc") + F.col("n_item") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.col("n_item")).alias("containment"))
 

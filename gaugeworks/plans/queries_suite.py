@@ -43,6 +43,13 @@ def containment_screen(spark, sf):
     return got.where("containment >= 0.5").select("doc_id", "item_id", F.round("containment", 6).alias("containment"))
 
 
+@query("j21_containment_screen_common", f"WITH {GRAMS}, i1 AS (SELECT * FROM ig WHERE item_id IN (SELECT item_id FROM ig GROUP BY 1 HAVING count(*) >= 10)), rare AS (SELECT g FROM i1 GROUP BY g HAVING count(*) <= 50), i2 AS (SELECT * FROM i1 WHERE g IN (SELECT g FROM rare)), ni AS (SELECT item_id, count(*) AS n FROM i2 GROUP BY 1 HAVING count(*) >= 10) SELECT doc_id, item_id, round(count(*) / any_value(ni.n), 6) AS containment FROM dg JOIN i2 USING (g) JOIN ni USING (item_id) GROUP BY ALL HAVING count(*) / any_value(ni.n) >= 0.5")
+def containment_screen_common(spark, sf):
+    """The bounds of the reference's screen: a gram of more than 50 items is common, items of fewer than 10 grams are left out."""
+    got = text_search.gram_overlap(docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"), most_items=50, least_grams=10)
+    return got.where("containment >= 0.5").select("doc_id", "item_id", F.round("containment", 6).alias("containment"))
+
+
 @query("d05_overlap_report", f"WITH {GRAMS}, ni AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1), j AS (SELECT doc_id, max(shared / (dn.n + ni.n - shared)) AS most FROM pr JOIN dn USING (doc_id) JOIN ni USING (item_id) GROUP BY 1), b AS (SELECT DISTINCT {NORM} AS t FROM benchmark) SELECT doc_id, b.t IS NOT NULL AS exact, round(coalesce(most, 0), 6) AS most, b.t IS NOT NULL OR coalesce(most, 0) > 0.2 AS offends FROM documents LEFT JOIN b ON b.t = {NORM.replace('text', 'documents.text')} LEFT JOIN j USING (doc_id)")
 def overlap_report(spark, sf):
     return text_search.overlap_report(docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")).withColumn("most", F.round("most", 6))

@@ -1,5 +1,6 @@
 """Queries over whole tables, on small made-up rows, against brute force."""
 
+import collections
 import datetime
 import random
 
@@ -53,3 +54,21 @@ def test_business_days_all_orders(spark, tmp_path):
             months = (1998 - at.year) * 12 + 8 - at.month - (at.day > 15)
         want[o] = due, months
     assert {x["o_orderkey"]: (x["due"], x["months"]) for x in queries_traces.business_days_all_orders(spark, str(tmp_path)).collect()} == want
+
+
+def test_containment_screen_common(spark, tmp_path):
+    """Twins, a passage of 50 items and one of 51, items of 9 and 10 grams, an item left with 9: against the reference's rule in plain Python."""
+    name = lambda part, n: [f"{part}{j}" for j in range(n)]
+    twin, fifty, more = name("twin", 30), name("fifty", 20), name("more", 20)
+    items = [twin, twin, *[fifty + name(f"f{k}_", 5) for k in range(50)], *[more + name(f"m{k}_", 30) for k in range(50)], more + name("left", 9), name("nine", 16), name("ten", 17)]
+    records = [twin, fifty, more, more + name("left", 9), name("m7_", 30), name("nine", 16), name("ten", 17), twin[:19], twin[:18], name("other", 40)]
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(records)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    grams = lambda w: {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+    sets = {k: grams(w) for k, w in enumerate(items) if len(grams(w)) >= 10}
+    seen = collections.Counter(g for s in sets.values() for g in s)
+    sets = {k: {g for g in s if seen[g] <= 50} for k, s in sets.items()}
+    shares = {(d, k): len(grams(w) & s) / len(s) for d, w in enumerate(records) for k, s in sets.items() if len(s) >= 10}
+    want = {x: round(v, 6) for x, v in shares.items() if v >= 0.5}
+    got = {(x["doc_id"], x["item_id"]): x["containment"] for x in queries_suite.containment_screen_common(spark, str(tmp_path)).collect()}
+    assert got == want and {(0, 0), (0, 1), (6, 104)} <= set(got) and max(seen.values()) == 51 and not {d for d, _ in got} & {2, 3, 5}
