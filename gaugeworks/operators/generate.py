@@ -56,13 +56,16 @@ def perturbed(records: DataFrame, additions: dict[str, str]) -> DataFrame:
 def buried(records: DataFrame, pool: DataFrame, budget: int, seed: int = 0) -> DataFrame:
     """id, n, state: each record among texts of its source's pool, in hash order, while they fit the budget of characters; its place is by hash.
 
-    Only the 32 first pool texts of a source by hash stand for it (a documented bound): they are one small array to each record of the source.
+    A text that fits is taken, one that does not is passed over. Where a text is taken, all before it of its length were, so of each length only the
+    first budget / length texts of a source can be and only they are joined to its records: about budget times its logarithm at most, whatever the
+    pool's size (empty texts, which always fit, are all taken). A record whose source has no pool stands alone.
     """
     from pyspark.sql import Window as W
 
-    some = pool.withColumn("_k", F.row_number().over(W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "text")))).where("_k <= 32")
-    arrays = some.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("_k", "text"))).alias("p"))
-    r = records.join(arrays, "source")
+    hashed = pool.withColumn("_h", F.xxhash64(F.lit(seed), "text")).withColumn("_n", F.length("text"))
+    some = hashed.withColumn("_k", F.row_number().over(W.partitionBy("source", "_n").orderBy("_h", "text"))).where(F.col("_k").cast("long") * F.col("_n") <= budget)
+    arrays = some.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("_h", "text"))).alias("p"))
+    r = records.join(arrays, "source", "left").withColumn("p", F.coalesce("p", F.array().cast("array<struct<_h:bigint,text:string>>")))
     fits = lambda p: F.aggregate(p, F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("t")), lambda a, x: F.when(a["used"] + F.length(x["text"]) + F.length("state") <= budget, F.struct((a["used"] + F.length(x["text"])).alias("used"), F.concat(a["t"], F.array(x["text"])).alias("t"))).otherwise(a), lambda a: a["t"])
     r = r.withColumn("t", fits(F.col("p"))).withColumn("n", F.size("t"))
     at = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("n") + 1).cast("int")

@@ -4,6 +4,9 @@ import collections
 import datetime
 import random
 
+from pyspark.sql import functions as F
+
+from gaugeworks.operators import generate
 from gaugeworks.plans import queries_reports, queries_suite, queries_traces
 
 
@@ -72,3 +75,22 @@ def test_containment_screen_common(spark, tmp_path):
     want = {x: round(v, 6) for x, v in shares.items() if v >= 0.5}
     got = {(x["doc_id"], x["item_id"]): x["containment"] for x in queries_suite.containment_screen_common(spark, str(tmp_path)).collect()}
     assert got == want and {(0, 0), (0, 1), (6, 104)} <= set(got) and max(seen.values()) == 51 and not {d for d, _ in got} & {2, 3, 5}
+
+
+def test_buried_fills_the_budget(spark):
+    """More than 32 texts, one without a pool, and the greedy choice over the whole pool in plain Python."""
+    r = random.Random(9)
+    texts = {"a": [f"{k:04d}" for k in range(300)], "b": [f"{k:03d}" + "x" * r.choice([0, 1, 5, 30, 90, 200, 2000]) for k in range(400)]}
+    pool = spark.createDataFrame([(s, t) for s, ts in texts.items() for t in ts], "source string, text string")
+    order = {x["text"]: x["h"] for x in pool.select("text", F.xxhash64(F.lit(3), "text").alias("h")).collect()}
+    records = [("1", "a", "NEEDLE"), ("2", "b", "NEEDLE"), ("3", "b", "N" * 700), ("4", "none", "NEEDLE"), ("5", None, "NEEDLE")]
+    got = {x["id"]: (x["n"], x["state"].split("\n\n")) for x in generate.buried(spark.createDataFrame(records, "id string, source string, state string"), pool, 1000, seed=3).collect()}
+    for i, source, state in records:
+        taken, used = [], len(state)
+        for t in sorted(texts.get(source, []), key=order.get):
+            if used + len(t) <= 1000:
+                taken.append(t)
+                used += len(t)
+        n, parts = got[i]
+        assert n == len(taken) and parts.count(state) == 1 and [x for x in parts if x != state] == taken
+    assert got["1"][0] == 248 and len(got) == 5
