@@ -39,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it (case ignored)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lowered(text: Column) -> Column:
     """A-Z to a-z and nothing else; null gives an empty text."""
     return F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)

@@ -13,7 +13,8 @@ One file (a shard) holds the ids of a run of documents in ascending doc_id order
 strided columns at a time, and any id, document or block is read by itself (``Shard``).
 
 Documents are range-partitioned by doc_id (null first; rows with one doc_id stand in the order of their text); a task
-encodes one range and writes one shard. A null text is an empty one: only the end id. Ids over the vocabulary are an
+encodes one range and writes shards of about ``shard_ids`` ids, one after the other: it holds the ids of one shard, whatever the range's
+size, and rows of one doc_id may lie over several. Shards are ordered by range and by their number within it. A null text is an empty one: only the end id. Ids over the vocabulary are an
 error. Repeated rows are written again. An empty table gives no shard and an empty result. Columns other than doc_id and text
 are ignored. A retried task writes a new file under another name; only files of tasks that ended are listed.
 """
@@ -25,18 +26,22 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gaugeworks.llm.shared import new_folder, open_file, put_file, written
 
 MAGIC, BLOCK, END_ID = b"GWIDS001", 1 << 14, 1
 TOKENIZER = "word_bpe_49k.json"
-KEPT_WORDS = 700_000
+#: Ids of a shard; bytes of kept words (two generations of so many); characters of a word that is kept.
+SHARD_IDS, KEPT_BYTES, KEPT_CHARS = 8 << 20, 40 << 20, 64
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -118,9 +123,10 @@ class Encoder:
     """Ids of whole texts, as the tokenizer gives them, by way of the ids of their words.
 
     Only for a tokenizer whose pre-tokens never hold white space and which drops it: then the ids of a text are those of its
-    white-space words, one after the other. Ids of words are kept (about KEPT_WORDS, then dropped); for other tokenizers
-    every text is encoded as it is. Lower-casing and parting a final full stop or comma off letters, which such a
-    tokenizer does by itself, only makes kept words fewer.
+    white-space words, one after the other; for other tokenizers every text is encoded as it is. Ids of words are kept in two
+    generations: when the young one holds KEPT_BYTES it becomes the old one, and a word found in the old one moves back, so
+    frequent words stay and memory is bounded. Lower-casing and parting a final full stop or comma off letters is what such a
+    tokenizer does by itself; the model alone has the ids of a run of letters.
     """
 
     def __init__(self, path: str):
@@ -128,8 +134,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.kept: dict[str, bytes] = {}
-        self.bodies: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+        self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         probe = [" One two,\n three. 4th\t it's  ", "Äb cd. x"]
         self.by_word = all(self._plain(t) == [i for w in t.split() for i in self._plain(w)] for t in probe) and self._plain("Ab.") == self._plain("ab") + self._plain(".")
         spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
@@ -137,6 +145,7 @@ class Encoder:
         self.odd = re.compile("|".join(re.escape(c) for c in spaces if self._plain(f"ab{c}cd") != self._plain("ab") + self._plain("cd")) or "(?!)")
         letters = ["a", "zq", "the", "inthe", "tionandering", "abcdefghijklmnopqrstuvwxyz"]
         self.by_model = all([x.id for x in self.tokenizer.model.tokenize(w)] == self._plain(w) for w in letters)
+        self.tails = {x: self._plain(x) for x in ("", ".", ",")}
         # a byte-level tokenizer shows the model each byte as a character: printable ones as they are, the others from U+0100 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in shown]
@@ -153,32 +162,47 @@ class Encoder:
         shown = letters.lower().encode("utf-8").decode("latin-1").translate(self.bytes_shown)
         return [t.id for t in self.tokenizer.model.tokenize(shown)]
 
-    def _learn(self, words: set[str]) -> None:
-        bodies, kept = self.bodies, self.kept
-        if len(bodies) > KEPT_WORDS:
-            bodies.clear()
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.kind.char, ids).tobytes()
+
+    def _fresh(self, word: str) -> bytes:
+        body, tail = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+        if body.isalpha():
+            # the model alone has the ids of a run of letters that case and composition leave no choice about
+            if self.by_model if body.isascii() else self.by_bytes and "\u03a3" not in body and "\u0130" not in body and unicodedata.is_normalized("NFC", body):
+                return self._bytes(self._by_model(body) + self.tails[tail])
+        return self._bytes(self._plain(word))
+
+    def _learn(self, words: list[str]) -> None:
+        """Put all of words into the young generation, but for those too long to be kept."""
+        young, old = self.young, self.old
         for w in words:
-            body, tail = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "")
-            letters = body.isalpha()
-            body = body.lower() if letters and body.isascii() else body
-            for x in (body, tail) if tail else (body,):
-                if x not in bodies:
-                    # the model alone has the ids of a run of letters that case and composition leave no choice about
-                    alone = letters and x is body and (self.by_model if x.isascii() else self.by_bytes and "\u03a3" not in x and "\u0130" not in x and unicodedata.is_normalized("NFC", x))
-                    bodies[x] = b"".join([i.to_bytes(4, "little") for i in (self._by_model(x) if alone else self._plain(x))])
-            kept[w] = bodies[body] + bodies[tail] if tail else bodies[body]
+            if w not in young:
+                ids = old.get(w)
+                if ids is None:
+                    ids = self._fresh(w)
+                young[w] = ids
+                self.held += 200 + len(ids)
 
     def __call__(self, text: str) -> np.ndarray:
+        """Ids, 16 bits wide where the vocabulary fits, else 32."""
         if not self.by_word or self.odd.search(text):
-            return np.array(self._plain(text), np.uint32)
+            return np.array(self._plain(text), self.kind)
         words = text.split()
+        young = self.young
         try:
-            return np.frombuffer(b"".join([self.kept[w] for w in words]), "<u4")
+            return np.frombuffer(b"".join([young[w] for w in words]), self.kind)
         except KeyError:
-            if len(self.kept) > KEPT_WORDS:
-                self.kept.clear()
-            self._learn({w for w in words if w not in self.kept})
-            return np.frombuffer(b"".join([self.kept[w] for w in words]), "<u4")
+            pass
+        out = []
+        for lo in range(0, len(words), 1 << 16):  # a very long text is taken in steps, so that what is held stays bounded
+            part = words[lo : lo + (1 << 16)]
+            long = {w: self._fresh(w) for w in part if len(w) > KEPT_CHARS}
+            self._learn([w for w in part if len(w) <= KEPT_CHARS])
+            out.append(b"".join([long[w] if len(w) > KEPT_CHARS else self.young[w] for w in part]))
+            if self.held > KEPT_BYTES:
+                self.old, self.young, self.held = self.young, {}, 0
+        return np.frombuffer(b"".join(out), self.kind)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -200,40 +224,53 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _writer(folder: str, find_path: Callable[[], str], end_id: int, block: int):
+FILES = "path string, range int, number int, n_docs long, n_ids long"
+
+
+def _writer(folder: str, find_path: Callable[[], str], end_id: int, block: int, shard_ids: int):
+    schema = pa.schema([("path", pa.string()), ("range", pa.int32()), ("number", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(find_path())
         bits = max(1, max(encode.vocabulary - 1, end_id).bit_length())
-        kind = np.uint16 if bits <= 16 else np.uint32
-        end = np.array([end_id], kind)
+        end = np.array([end_id], "<u2" if bits <= 16 else "<u4")
         keys: list[int | None] = []
-        ids: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        number = held = 0
+
+        def shard() -> pa.RecordBatch:
+            path = put_file(folder, f"{uuid.uuid4().hex}.ids", shard_bytes(keys, parts, bits, block))
+            return pa.RecordBatch.from_pydict({"path": [path], "range": [TaskContext.get().partitionId()], "number": [number], "n_docs": [len(keys)], "n_ids": [held]}, schema)
+
         for batch in batches:
-            keys += batch.column(0).to_pylist()
-            ids += [np.concatenate([encode(t.as_py() or "").astype(kind), end]) for t in batch.column(1)]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.concatenate([encode(text.as_py() or ""), end])
+                keys.append(key)
+                parts.append(ids)
+                held += len(ids)
+                if held >= shard_ids:
+                    yield shard()
+                    keys, parts, number, held = [], [], number + 1, 0
         if keys:
-            name = f"{uuid.uuid4().hex}.ids"
-            path = put_file(folder, name, shard_bytes(keys, ids, bits, block))
-            row = {"path": [path], "first_id": [keys[0]], "n_docs": [len(keys)], "n_ids": [sum(map(len, ids))]}
-            yield pa.RecordBatch.from_pydict(row, pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield shard()
 
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer: Callable[[], str] = tokenizer_path, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
-    """Write the ids of all documents; the list of files: path, first_id, n_docs, n_ids, start (ids in the files before it).
+def write_shards(docs: DataFrame, tokenizer: Callable[[], str] = tokenizer_path, end_id: int = END_ID, block: int = BLOCK, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Write the ids of all documents; the list of files: FILES and start (ids in the files before it).
 
-    tokenizer is called on the executors and gives the path of a tokenizer file there. The list has a row for each file, not for each document.
+    tokenizer is called on the executors and gives the path of a tokenizer file there. The list has a row for each file; starts are
+    running sums over ranges (a row for each task), then within a range.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    files = written(dealt.mapInArrow(_writer(new_folder(spark, "ids"), tokenizer, end_id, block), "path string, first_id long, n_docs long, n_ids long"), "id-files")
-    start, out = 0, []
-    for r in sorted(files.collect(), key=lambda r: (r["first_id"] is not None, r["first_id"] or 0)):
-        out.append((*r, start))
-        start += r["n_ids"]
-    return spark.createDataFrame(out, "path string, first_id long, n_docs long, n_ids long, start long")
+    files = written(dealt.mapInArrow(_writer(new_folder(docs.sparkSession, "ids"), tokenizer, end_id, block, shard_ids), FILES), "id-files")
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    ranges = files.groupBy(F.col("range").alias("of")).agg(F.sum("n_ids").alias("ids"))
+    ranges = ranges.select("of", F.coalesce(F.sum("ids").over(before.orderBy("of")), F.lit(0)).alias("earlier"))
+    within = F.coalesce(F.sum("n_ids").over(before.partitionBy("range").orderBy("number")), F.lit(0))
+    return written(files.withColumn("within", within).join(ranges, F.col("range") == F.col("of")).select(*files.columns, (F.col("earlier") + F.col("within")).alias("start")), "id-places")
 
 
 def read_shards(files: DataFrame) -> DataFrame:
@@ -258,8 +295,7 @@ def _read(files: DataFrame, digest: Callable[[np.ndarray], object], kind: pa.Dat
                         yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[lo:hi], pa.int64()), pa.array(s.starts[lo:hi] + start), pa.array(np.diff(s.starts[lo : hi + 1])), pa.array([digest(x) for x in cut], kind)], schema=schema)
                         lo = hi
 
-    n = max(1, files.count())
-    return files.select("path", "start").repartition(min(n, 10_000)).mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return files.select("path", "start").repartition(max(1, files.count())).mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def token_digests(docs: DataFrame, **options) -> DataFrame:
