@@ -2,8 +2,8 @@
 
 An archive is a ``.warc.zst`` file: a leading skippable frame (magic 0x184D2A5D) with a Zstandard dictionary, then each
 record compressed as a frame of its own with that dictionary, so that a record is read alone by its offset. The dictionary
-is trained on records of the archive itself: up to ``sample_bytes`` of them, taken evenly from all the task's records (a
-documented bound; it only changes how small records become). Where too few records are there to train on, the frame holds an empty dictionary.
+is trained on records of the archive itself: up to ``sample_bytes`` of them, taken evenly from all the task's records, and of each at most
+its first ``SAMPLE_PIECE`` bytes, the most that the trainer looks at (documented bounds of the training alone: every record is archived whole). Where too few records are there to train on, the frame holds an empty dictionary.
 
 Of records with equal payloads of at least ``least_bytes`` bytes, the one with the largest page_id is the response and the
 others are revisits, which carry its id and no payload; smaller ones are all responses. A null html is an empty payload.
@@ -29,7 +29,7 @@ from gaugeworks.llm.shared import new_folder, open_file, put_file, written
 
 SKIPPABLE = (0x184D2A5D).to_bytes(4, "little")
 LEAST_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 1000, 64 << 10, 4 << 20, 3
-ARCHIVE_BYTES = 64 << 20
+ARCHIVE_BYTES, SAMPLE_PIECE = 64 << 20, 128 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -60,7 +60,7 @@ def trained(records: list[bytes], dictionary_bytes: int = DICTIONARY_BYTES, samp
     import zstandard
 
     step = max(1, -(-sum(map(len, records)) // sample_bytes))
-    sample = [r[:131072] for r in records[::step]]
+    sample = [r[:SAMPLE_PIECE] for r in records[::step]]
     total = sum(map(len, sample))
     if len(sample) < 16 or total < 16 << 10:
         return None
@@ -184,7 +184,7 @@ def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("path").repartition(max(1, min(files.count(), 10_000))).mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+    return files.select("path").repartition(max(1, files.count())).mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
