@@ -12,8 +12,10 @@ fractional document, and those meet in chunks of their own, level by level. No s
 Only doc_id, source, size and a fraction travel. Draws come from hashes of seed, level and the two documents: reruns agree.
 
 Null texts and texts without words have size 0 and are taken 0 words (one copy of each when the target share of their
-source is at least 1, so that no source loses its empty rows by chance). Rows that repeat are documents of their own. An empty
-table gives an empty result. Source totals, one row for each source, come to the driver; over ``most_sources`` is an error.
+source is at least 1, so that no source loses its empty rows by chance). Null doc_ids are documents as others are. Rows alike in doc_id, text and
+source are documents of their own, told apart by a number; where the mix takes some of them once more than others, those that are first by a hash of all columns are taken.
+An empty table gives an empty result. Columns of any other name are passed through as they are. Sources stay a table: their targets are found by
+a few grouped sums, and no number of sources is too large.
 """
 
 from __future__ import annotations
@@ -21,36 +23,37 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from gaugeworks.llm.shared import written
+from gaugeworks.llm.shared import spare, written
 
-WEIGHTS, SHARE, MOST, SEED, CHUNK, MOST_SOURCES = (5.0, 2.0, 1.0), 1.5, 2.0, 20240917, 4096, 1_000_000
+WEIGHTS, SHARE, MOST, SEED, CHUNK = (5.0, 2.0, 1.0), 1.5, 2.0, 20240917, 4096
 
 
-def allocate(sizes: Sequence[float], weights: Sequence[float], total: float, most: float = MOST) -> list[float]:
-    """Targets in proportion to weights that sum to total, none over most times its size; the excess goes round until none is above."""
-    free, out, left = list(range(len(sizes))), [0.0] * len(sizes), float(total)
-    while free:
-        per = left / sum(weights[k] for k in free)
-        over = [k for k in free if per * weights[k] > most * sizes[k]]
-        if not over:
-            for k in free:
-                out[k] = per * weights[k]
-            break
-        for k in over:
-            out[k] = float(most * sizes[k])
-            left -= out[k]
-        free = [k for k in free if k not in set(over)]
-    return out
-
+def with_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """sources (source, source_size, ...) with target.
 
-def code_points(source: str) -> list[int]:
-    return [ord(c) for c in source]
+    Targets are in proportion to the weights and sum to share times all sizes; those over most times their size are set to it and the rest is
+    shared by the others, until none is above. A source is held at its bound when most * size / weight is below the level of words a unit of
+    weight; the level only rises from one round to the next, and a round is one grouped sum.
+    """
+    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source: already grouped
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))))
+    sources = written(sources.withColumn("weight", weight).withColumn("level", most * F.col("source_size") / F.col("weight")), "mix-sources")
+    total, level, held = None, 0.0, -1
+    while True:
+        low = F.col("level") < level
+        r = sources.agg(F.sum("source_size").alias("all"), F.sum(F.when(low, F.col("source_size"))).alias("bound"), F.sum(F.when(~low, F.col("weight"))).alias("free"), F.count_if(low).alias("held")).first()
+        total = share * (r["all"] or 0)
+        if r["held"] == held or not r["free"]:
+            break
+        held, level = r["held"], (total - most * (r["bound"] or 0)) / r["free"]
+    return sources.withColumn("target", F.least(most * F.col("source_size"), level * F.col("weight")) if r["free"] else most * F.col("source_size").cast("double")).drop("weight", "level")
 
 
 def _draw(*key) -> float:
@@ -111,68 +114,81 @@ def pivot(ids: list[str], sizes: list[float], rest: list[float], seed: int, leve
     return out, open_
 
 
-def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, chunk: int = CHUNK, most_sources: int = MOST_SOURCES) -> DataFrame:
-    """doc_id, row_hash, row_number, source, size, source_size, target, copies: one row for each row of docs.
+def row_key(docs: DataFrame) -> list[Column]:
+    """Two hashes (128 bits) of doc_id, text and source that tell null from empty and a text from a source."""
+    parts = [x for c in ("doc_id", "text", "source") for x in (docs[c], docs[c].isNull())]
+    return [F.xxhash64(*parts, F.lit("first")), F.xxhash64(F.lit("second"), *reversed(parts))]
+
+
+def _settle(level: int, last: bool, seed: int, chunk: int, schema: pa.Schema):
+    """A chunk of a source's fractional documents: those that are settled, and one that is left open."""
 
-    (doc_id, row_hash, row_number) tells rows apart: row_hash is of text and source, row_number counts rows alike in all three.
+    def run(table: pa.Table) -> pa.Table:
+        size, rest, taken = (table.column(c).to_numpy() for c in ("size", "rest", "copies"))
+        names = [np.array(table.column(c), np.int64) for c in ("key", "also", "number")]
+        o = np.lexsort((*reversed(names), -size))  # large ones first: what is left over at the end is small
+        ids = [f"{a}/{b}/{c}" for a, b, c in zip(*(x[o].tolist() for x in names))]
+        sizes, mass = size[o].tolist(), rest[o].tolist()
+        settle_dominant(ids, sizes, mass, seed, level)
+        got, left = pivot(ids, sizes, mass, seed, level)
+        if left >= 0 and last:  # the last one of its source
+            got[left], left = int(_draw(seed, "last", ids[left]) < mass[left]), -1
+        table = table.take(pa.array(o))
+        new = {"copies": pa.array(taken[o] + np.maximum(got, 0), pa.int32()), "rest": pa.array([mass[k] if k == left else 0.0 for k in range(len(got))], pa.float64()), "open": pa.array([k == left for k in range(len(got))], pa.bool_()), "slot": pa.array(table.column("slot").to_numpy() // chunk, pa.int64())}
+        return pa.table([new.get(f.name, table.column(f.name)) for f in schema], schema=schema)
+
+    return run
+
+
+def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, key, also, number, source, size, source_size, target, copies: one row for each row of docs.
+
+    (key, also) is row_key(), number counts rows alike in it from 1.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text", "source").alias("row_hash"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
-    same = W.partitionBy("doc_id", "row_hash").orderBy("size")
-    rows = written(rows.withColumn("row_number", F.row_number().over(same)), "mix-sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    found = totals.limit(most_sources + 1).collect()
-    if len(found) > most_sources:
-        raise ValueError(f"over {most_sources} sources")
-    found.sort(key=lambda r: (r[0] is None, code_points(r[0] or "")))
-    targets = allocate([r[1] for r in found], [weights[k % len(weights)] for k in range(len(found))], share * sum(r[1] for r in found), most)
-    table = docs.sparkSession.createDataFrame([(r[0], r[1], t, max(1, -(-r[2] // chunk))) for r, t in zip(found, targets)], "of string, source_size long, target double, chunks long")
-    x = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["of"])).drop("of")  # at most most_sources rows
-    share_of = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    x = x.withColumn("expected", share_of).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("expected") + 1e-12)).otherwise(F.when(F.col("expected") >= 1, 1).otherwise(0)).cast("int"))
-    x = x.withColumn("rest", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("expected") - F.col("copies"))).otherwise(F.lit(0.0))).drop("expected")
-    x = x.withColumn("slot", F.pmod(F.xxhash64("doc_id", "row_hash", "row_number", F.lit(seed)), F.col("chunks"))).withColumn("open", F.lit(True))
-    columns = f"doc_id {kind}, row_hash long, source string, size long, row_number int, source_size long, target double, chunks long, copies int, rest double, slot long, open boolean"
-    x = x.select(*[c.strip().split(" ")[0] for c in columns.split(",")])
-    levels, n = 1, max([1, *(-(-r[2] // chunk) for r in found)])
+    kind = docs.schema["doc_id"].dataType
+    key, also = row_key(docs)
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    rows = docs.select(docs["doc_id"].alias("doc_id"), key.alias("key"), also.alias("also"), docs["source"].cast("string").alias("source"), size.alias("size"))
+    # rows alike are counted before they are numbered: no window, and a row that is repeated very often is one row until here
+    rows = written(rows.groupBy("key", "also").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("n")), "mix-sizes")
+    sources = with_targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows")), weights, share, most)
+    table = sources.select(F.col("source").alias("of"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("rows") / chunk)).cast("long").alias("chunks"))
+    x = rows.join(table, rows["source"].eqNullSafe(table["of"])).drop("of").withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
+    x = x.withColumn("expected", expected).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("expected") + 1e-12)).otherwise(F.when(F.col("expected") >= 1, 1).otherwise(0)).cast("int"))
+    x = x.withColumn("rest", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("expected") - F.col("copies"))).otherwise(F.lit(0.0)))
+    x = x.withColumn("slot", F.pmod(F.xxhash64("key", "also", "number", F.lit(seed)), F.col("chunks"))).withColumn("open", F.lit(True))
+    columns = ["doc_id", "key", "also", "number", "source", "size", "source_size", "target", "copies", "rest", "slot", "open"]
+    schema, arrow = x.select(*columns).schema, to_arrow_schema(x.select(*columns).schema)
+    levels, n = 1, sources.agg(F.max(F.ceil(F.col("rows") / chunk))).first()[0] or 1
     while n > 1:
         levels, n = levels + 1, -(-n // chunk)
-
-    def settle(level: int):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "doc_id", "row_hash", "row_number"], ascending=[False, True, True, True], ignore_index=True)  # large ones first: what is left over at the end is small
-            ids = [f"{a}/{b}/{c}" for a, b, c in zip(pdf["doc_id"], pdf["row_hash"], pdf["row_number"])]
-            rest = pdf["rest"].tolist()
-            settle_dominant(ids, pdf["size"].tolist(), rest, seed, level)
-            got, left = pivot(ids, pdf["size"].tolist(), rest, seed, level)
-            if left >= 0 and level == levels - 1:  # the last one of its source
-                got[left], left = int(_draw(seed, "last", ids[left]) < rest[left]), -1
-            pdf["copies"] += [max(0, g) for g in got]
-            pdf["open"] = [k == left for k in range(len(got))]
-            pdf["rest"] = [rest[k] if k == left else 0.0 for k in range(len(got))]
-            pdf["slot"] //= chunk
-            return pdf
-
-        return run
-
-    done = []
+    done, x = [], x.select(*columns)
     for level in range(levels):
-        x = written(x.groupBy("source", "slot").applyInPandas(settle(level), columns), f"mix-{level}")
+        x = written(x.groupBy("source", "slot").applyInArrow(_settle(level, level == levels - 1, seed, chunk, arrow), schema), f"mix-{level}")
         done.append(x.where("not open"))
         x = x.where("open")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("chunks", "rest", "slot", "open")
+    return out.drop("rest", "slot", "open").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as many times as it is taken; all columns of docs."""
-    got = copies(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("row_number").alias("_number"), F.col("copies").alias("_copies"))
-    same = W.partitionBy("doc_id", "_row_hash").orderBy(F.lit(0))
-    mine = docs.withColumn("_row_hash", F.xxhash64("text", "source")).withColumn("_row_number", F.row_number().over(same))
-    hit = mine["doc_id"].eqNullSafe(got["_id"]) & (mine["_row_hash"] == got["_hash"]) & (mine["_row_number"] == got["_number"])
-    return mine.join(got, hit).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[mine[c] for c in docs.columns])
+    key, also, order, place, many = (spare(docs.columns, c) for c in ("key", "also", "order", "place", "many"))
+    by_key = copies(docs, **options).groupBy("key", "also").agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count("*").alias("n"))
+    by_key = written(by_key.select(F.col("key").alias("_key"), F.col("also").alias("_also"), "least", (F.col("all") - F.col("least") * F.col("n")).alias("more")).where("least > 0 or more > 0"), "mix-copies")
+    # one shuffle of the texts, by two columns that are never null; both branches read the same one
+    keyed = docs.withColumns(dict(zip((key, also), row_key(docs))))
+    got = keyed.join(by_key, (keyed[key] == by_key["_key"]) & (keyed[also] == by_key["_also"]))
+    rows = got.select(*[keyed[c] for c in docs.columns], keyed[key], keyed[also], by_key["least"].alias(many), by_key["more"].alias(place))
+    out = rows.where(F.col(place) == 0).select(*docs.columns, many)
+    if by_key.where("more > 0").limit(1).count():
+        plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+        few = rows.where(F.col(place) > 0).withColumn(order, F.row_number().over(W.partitionBy(key, also).orderBy(F.xxhash64(*plain))))
+        out = out.union(few.select(*docs.columns, (F.col(many) + (F.col(order) <= F.col(place)).cast("int")).alias(many)))
+    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(many))).alias(order)).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
