@@ -3,21 +3,23 @@
 A document's set holds its distinct ``size``-word shingles (words: runs of characters that are not white space, A-Z lowered);
 with fewer words the whole sequence is the one shingle. Two documents link when 100 * intersection >= 100 * threshold * union.
 
-1. One pass over the texts gives a row for each document: its number of shingles and a key of its set. Documents with equal sets are one class.
-2. A second pass deals out shingle hashes of each class (copies within a batch are dropped before the shuffle) by ranges of the hash, as packed arrays. A range
-   counts in how many sets each shingle occurs, and sends back, by document, only shingles that two sets share. A set in which these are fewer than the threshold needs is alone.
+1. One pass over the texts gives a row for each document: its number of shingles and a key of its set (two hashes, 128 bits). Documents with equal sets are one class.
+2. A second pass deals out shingle hashes of each set (copies within a batch are dropped before the shuffle) by ranges of the hash, as packed arrays. A range
+   counts in how many sets each shingle occurs, and sends back, by set, only shingles that two sets share. A set in which these are fewer than the threshold needs is alone.
+   Ranges grow in number with the text. A shingle that holds more of a range than its share (the first pass counts those that many texts of a batch have) is
+   known to be shared: it skips its range and goes to the sets at once, last in the order.
 3. The global order is (number of sets, hash). Sets that link share one of their first c - a + 1 shared shingles (c shared ones, a needed), so
-   sets are tied to the smallest document of each such prefix shingle, and connected components of these ties (families) hold all links.
+   sets are tied to the smallest document of each such prefix shingle (within a batch first, so a frequent one sends a row a batch), and connected components of these ties (families) hold all links.
 4. Each family is joined on its own: its sets, most frequent shingle first, form a path-compressed trie. A set is held against those that share a prefix
    shingle with it; they are followed along the trie, overlaps of shared paths are counted once, and a subtree goes when what is left on both sides can't
    reach the overlap that its lengths need. Sets that are already in one group aren't compared, so a group of near copies costs about a comparison a member.
    Small families are packed together; a large one is cut into blocks, see _links().
 5. Links of all families make the groups (components).
 
-Hashes have 40 bits and those of the range's number: a wrong match within a pair of documents has odds of about |A| |B| / 2**45 and less for more data.
+Shingle hashes have 52 bits at any size: a wrong match within a pair of documents has odds of |A| |B| / 2**52.
 
 Null and empty texts and texts without words have an empty set and link with nothing. A null doc_id is given its n_shingles and a null component_id,
-and takes no part. Rows that repeat a doc_id are one document of the groups, each row by its own text. Other columns are ignored; an empty table gives an empty result.
+and takes no part. Rows that repeat a doc_id are one document of the groups; each of their texts is compared as a set of its own. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,17 +34,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gaugeworks.llm.bytescan import by_bucket, joined, mixed, runs, text_buffer, word_hashes
-from gaugeworks.llm.shared import components, written
+from gaugeworks.llm.shared import SPACE, components, lowered, spare, written
 
 SIZE, THRESHOLD = 5, 80
 #: Text bytes of a numpy step; shingles of a hash range; shingles of a family task.
-STEP, RANGE, FAMILY = 2 << 20, 2_500_000, 2_000_000
-LOW = 40
+STEP, RANGE, FAMILY = 2 << 20, 2_500_000, 300_000
+#: Bits of a shingle's hash, and texts of a step (their number takes the other bits of a word).
+BITS, ROWS = 52, 4096
 _C = 0xD1342543DE82EF95
 
 
-def shingles(data: np.ndarray, at: np.ndarray, bits: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle tokens (bits wide, ascending within each row), their number and the key of the set, by row. At most 2**(64-bits) rows."""
+def shingles(data: np.ndarray, at: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle tokens (BITS wide, ascending within each row), their number and the key of the set (two numbers), by row. At most ROWS rows."""
+    bits = BITS
     n = len(at) - 1
     words, per_row = word_hashes(data, at)
     first = np.concatenate([[0], np.cumsum(per_row)])
@@ -66,142 +70,155 @@ def shingles(data: np.ndarray, at: np.ndarray, bits: int, size: int = SIZE) -> t
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     tokens = both & np.uint64((1 << bits) - 1)
     edge = np.searchsorted(both >> np.uint64(bits), np.arange(n + 1, dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens + np.uint64(_C)))])
     counts = np.diff(edge)
-    return tokens, counts, mixed(sums[edge[1:]] - sums[edge[:-1]] + counts.astype(np.uint64))
+    keys = []
+    for salt in (_C, _C * 3 % (1 << 64)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens + np.uint64(salt)))])
+        keys.append(mixed(sums[edge[1:]] - sums[edge[:-1]] + counts.astype(np.uint64)))
+    return tokens, counts, np.stack(keys, 1)
 
 
 def _packed(tokens: np.ndarray) -> bytes:
-    """The low 5 bytes of each."""
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """The low 6 bytes of each: a range's number needs no place, as there are 16 ranges at least."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
+    out[:, :6] = raw
     return out.view("<u8").reshape(-1)
 
 
-BLOB = "keys binary, ids binary, sizes binary, counts binary, tokens binary"
-BLOB_SCHEMA = [pa.field(n, pa.binary()) for n in ("keys", "ids", "sizes", "counts", "tokens")]
+def _first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows come first with their key, and each row's first row."""
+    _, first, of = np.unique(np.ascontiguousarray(keys).view("V16").reshape(-1), return_index=True, return_inverse=True)
+    keep = np.zeros(len(keys), bool)
+    keep[first] = True
+    return keep, first[of.reshape(-1)]
 
 
-def _set_rows(bits: int, size: int):
-    """doc_id, n_shingles, set_key of each row."""
+BLOB = "keys binary, sizes binary, counts binary, tokens binary"
+NAMES = ["bucket", "keys", "sizes", "counts", "tokens"]
+
+
+def _blobs(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, [pa.int32()] + [pa.binary()] * 4)]
+
+
+def _set_rows(size: int):
+    """doc_id, n_shingles, key, also of each row; on the first row of a step the shingles that a 64th of its sets have, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_buffer(batch.column("text"))
-            for lo, hi in runs(at, STEP, 4096):
-                _, counts, keys = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], bits, size)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(keys.view(np.int64))], ["doc_id", "n_shingles", "set_key"])
+            for lo, hi in runs(at, STEP, ROWS):
+                tokens, counts, keys = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], size)
+                keep, _ = _first_of(keys)
+                of = np.sort(tokens[keep[np.repeat(np.arange(hi - lo), counts)]])
+                start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+                n = np.diff(np.append(start, len(of)))
+                often = n >= max(2, keep.sum() // 64)
+                hot = [np.stack([of[start[often]], n[often].astype(np.uint64)], 1).astype("<u8").tobytes() if often.any() else None] + [None] * (hi - lo - 1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(counts, pa.int64()), *(pa.array(k.view(np.int64)) for k in np.ascontiguousarray(keys.T)), pa.array(hot, pa.binary())], ["doc_id", "n_shingles", "key", "also", "hot"])
 
     return run
 
 
-def _deal(bits: int, size: int):
-    """Rows (bucket, packed arrays) of the shingles of all distinct sets of each step."""
+def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column(0):
+            pairs = np.frombuffer(x.as_py(), "<u8").reshape(-1, 2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["token", "n"])
+
+
+def _deal(low: int, size: int, hot: np.ndarray, groups: int, only_hot: bool):
+    """Rows (bucket, packed arrays) of the shingles of all distinct sets of each step: by range without the hot ones, or the hot ones by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_buffer(batch.column("text"))
-            ids = np.array(batch.column("doc_id"), np.int64)
-            for lo, hi in runs(at, STEP, 4096):
-                tokens, counts, keys = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], bits, size)
-                mine, sizes = ids[lo:hi], counts.astype("<u4")
-                first = np.lexsort((mine, keys))
-                keep = np.zeros(hi - lo, bool)
-                keep[first[np.concatenate([[True], keys[first][1:] != keys[first][:-1]])]] = True
-                doc_of = np.repeat(np.arange(hi - lo, dtype=np.int32), counts)
-                chosen = keep[doc_of]
+            for lo, hi in runs(at, STEP, ROWS):
+                tokens, counts, keys = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], size)
+                sizes, doc_of = counts.astype("<u4"), np.repeat(np.arange(hi - lo, dtype=np.int32), counts)
+                chosen = _first_of(keys)[0][doc_of]
+                if len(hot):
+                    chosen &= np.isin(tokens, hot) == only_hot
                 tokens, doc_of = tokens[chosen], doc_of[chosen]
-                rows = [(b, keys[d].tobytes(), mine[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), _packed(tokens[at_])) for b, d, n, at_ in by_bucket((tokens >> np.uint64(LOW)).astype(np.int64), doc_of, 1 << (bits - LOW))]
+                bucket = (keys[doc_of, 0] % np.uint64(groups) if only_hot else tokens >> np.uint64(low)).astype(np.int64)
+                pack = (lambda t: (np.uint64(4095 << BITS) | t).astype("<u8").tobytes()) if only_hot else _packed
+                rows = [(b, keys[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), pack(tokens[e])) for b, d, n, e in by_bucket(bucket, doc_of, groups)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["bucket", "keys", "ids", "sizes", "counts", "tokens"])
+                    yield pa.RecordBatch.from_arrays(_blobs(rows), NAMES)
 
     return run
 
 
-def _shared_shingles(bits: int):
-    """A hash range: of the shingles that two or more sets have, (document, order key) dealt out by document."""
-    groups = 1 << (bits - LOW)
+def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return joined(table.column("keys"), "<u8").reshape(-1, 2), joined(table.column("sizes"), "<u4"), joined(table.column("counts"), "<u4")
+
+
+def _shared_shingles(low: int, groups: int):
+    """A hash range: of the shingles that two or more sets have, (set, order key) dealt out by set."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        keys, ids, sizes, counts = (joined(table.column(c), k) for c, k in (("keys", "<u8"), ("ids", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
+        keys, sizes, counts = _sets(table)
         tokens = np.concatenate([_unpacked(x.as_py()) for x in table.column("tokens")])
-        doc_of = np.repeat(np.arange(len(ids), dtype=np.uint64), counts)
-        order = np.lexsort((ids, keys))
-        same = np.concatenate([[False], (keys[order][1:] == keys[order][:-1]) & (counts[order][1:] == counts[order][:-1])])
-        keep = np.ones(len(ids), bool)
-        keep[order[same]] = False
-        chosen = keep[doc_of.astype(np.int64)]
+        top = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(low)
+        tokens = (tokens & np.uint64((1 << low) - 1)) | top
+        doc_of = np.repeat(np.arange(len(keys)), counts)
+        chosen = _first_of(keys)[0][doc_of]
         tokens, doc_of = tokens[chosen], doc_of[chosen]
-        width = max(1, int(len(ids) - 1).bit_length())
-        if width + LOW <= 64:
-            both = np.sort((tokens << np.uint64(width)) | doc_of)
-            tokens, doc_of = both >> np.uint64(width), (both & np.uint64((1 << width) - 1)).astype(np.int64)
-            del both
-        else:
-            o = np.argsort(tokens, kind="stable")
-            tokens, doc_of = tokens[o], doc_of[o].astype(np.int64)
+        o = np.argsort(tokens)
+        tokens, doc_of = tokens[o], doc_of[o]
         start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        df = np.repeat(np.diff(np.append(start, len(tokens))), np.diff(np.append(start, len(tokens))))
+        n = np.diff(np.append(start, len(tokens)))
+        df = np.repeat(n, n)
         shared = df > 1
-        order_key = (np.minimum(df[shared], 4095).astype(np.uint64) << np.uint64(52)) | np.uint64(bucket << LOW) | tokens[shared]
+        order_key = (np.minimum(df[shared], 4095).astype(np.uint64) << np.uint64(BITS)) | tokens[shared]
         doc_of = doc_of[shared]
         o = np.argsort(doc_of, kind="stable")
         doc_of, order_key = doc_of[o], order_key[o]
-        group = (mixed(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-        rows = [(g, ids[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), order_key[at].tobytes()) for g, d, n, at in by_bucket(group[doc_of], doc_of, groups)]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4)], ["bucket", "ids", "sizes", "counts", "tokens"])
+        group = (keys[:, 0] % np.uint64(groups)).astype(np.int64)
+        rows = [(g, keys[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), order_key[e].tobytes()) for g, d, n, e in by_bucket(group[doc_of], doc_of, groups)]
+        return pa.table(_blobs(rows), NAMES)
 
     return run
 
 
 def _candidates(threshold: int):
-    """A group of documents: those with enough shared shingles: doc_id, n, how many of the first ones are prefix, order keys ascending."""
+    """A group of sets: those with enough shared shingles: key, also, n, how many of the first ones are prefix, order keys ascending."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, sizes, counts, keys = (joined(table.column(c), k) for c, k in (("ids", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("tokens", "<u8")))
-        names, doc_of = np.unique(ids, return_inverse=True)
-        size_of = np.zeros(len(names), np.int64)
-        size_of[doc_of] = sizes
-        entry = np.repeat(doc_of, counts)
-        o = np.lexsort((keys, entry))
-        keys, entry = keys[o], entry[o]
-        edge = np.searchsorted(entry, np.arange(len(names) + 1))
+        keys, sizes, counts = _sets(table)
+        tokens = joined(table.column("tokens"), "<u8")
+        first, of = np.unique(_first_of(keys)[1], return_inverse=True)
+        entry = np.repeat(of.reshape(-1), counts)
+        o = np.lexsort((tokens, entry))
+        tokens, entry = tokens[o], entry[o]
+        new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (entry[1:] != entry[:-1])]) if len(tokens) else np.zeros(0, bool)
+        tokens, entry = tokens[new], entry[new]
+        edge = np.searchsorted(entry, np.arange(len(first) + 1))
+        size_of = sizes[first].astype(np.int64)
         shared, needed = np.diff(edge), -(-threshold * size_of // 100)
-        rows = [(int(names[k]), int(size_of[k]), int(shared[k] - needed[k] + 1), keys[edge[k] : edge[k + 1]].tobytes()) for k in np.flatnonzero(shared >= needed)]
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.binary()])], ["doc_id", "n", "prefix", "tokens"])
+        rows = [(*keys[first[k]].view(np.int64).tolist(), int(size_of[k]), int(shared[k] - needed[k] + 1), tokens[edge[k] : edge[k + 1]].tobytes()) for k in np.flatnonzero(shared >= needed)]
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])], ["key", "also", "n", "prefix", "tokens"])
 
     return run
 
 
-def _deal_prefixes(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.array(batch.column("doc_id"), np.int64)
-            parts = [np.frombuffer(t.as_py(), "<u8")[: p.as_py()] for t, p in zip(batch.column("tokens"), batch.column("prefix"))]
-            tokens, doc_of = np.concatenate(parts), np.repeat(np.arange(len(ids)), [len(p) for p in parts])
-            rows = [(b, ids[d].tobytes(), n.astype("<u4").tobytes(), tokens[at].tobytes()) for b, d, n, at in by_bucket((mixed(tokens) % np.uint64(buckets)).astype(np.int64), doc_of, buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 3)], ["bucket", "ids", "counts", "tokens"])
-
-    return run
+def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct document ids of a batch, and prefix tokens with the places of their documents among them, by token, then document."""
+    ids, of = np.unique(np.array(batch.column("doc_id"), np.int64), return_inverse=True)
+    parts = [np.frombuffer(t.as_py(), "<u8")[: p.as_py()] for t, p in zip(batch.column("tokens"), batch.column("prefix"))]
+    tokens, doc_of = np.concatenate(parts), np.repeat(of.reshape(-1), [len(p) for p in parts])
+    o = np.lexsort((doc_of, tokens))
+    return ids, tokens[o], doc_of[o]
 
 
-def _ties(table: pa.Table) -> pa.Table:
-    """Documents that share a prefix shingle, each tied to the smallest one that it reaches within this bucket."""
-    ids, counts, tokens = (joined(table.column(c), k) for c, k in (("ids", "<i8"), ("counts", "<u4"), ("tokens", "<u8")))
-    names, doc_of = np.unique(ids, return_inverse=True)
-    doc_of = np.repeat(doc_of, counts)
-    o = np.lexsort((doc_of, tokens))
-    tokens, doc_of = tokens[o], doc_of[o]
+def _tied(names: np.ndarray, tokens: np.ndarray, doc_of: np.ndarray) -> pa.RecordBatch:
+    """Documents that share a token, each tied to the smallest one that it reaches by these; sorted by token, then document."""
     start = np.concatenate([[True], tokens[1:] != tokens[:-1]])
     least = doc_of[np.flatnonzero(start)][np.cumsum(start) - 1]
     a, b = doc_of[~start], least[~start]
@@ -216,7 +233,36 @@ def _ties(table: pa.Table) -> pa.Table:
             break
         label = new
     tied = np.flatnonzero(label != np.arange(len(names)))
-    return pa.table({"a": names[label[tied]], "b": names[tied]})
+    return pa.RecordBatch.from_arrays([pa.array(names[label[tied]]), pa.array(names[tied])], ["a", "b"])
+
+
+def _ties_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield _tied(*_prefixes(batch))
+
+
+def _deal_prefixes(buckets: int):
+    """By token the smallest document of a batch that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, tokens, doc_of = _prefixes(batch)
+                start = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+                tokens, doc_of = tokens[start], doc_of[start]
+                rows = [(b, ids[d].tobytes(), n.astype("<u4").tobytes(), tokens[at].tobytes()) for b, d, n, at in by_bucket((mixed(tokens) % np.uint64(buckets)).astype(np.int64), doc_of, buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 3)], ["bucket", "ids", "counts", "tokens"])
+
+    return run
+
+
+def _ties(table: pa.Table) -> pa.Table:
+    ids, counts, tokens = (joined(table.column(c), k) for c, k in (("ids", "<i8"), ("counts", "<u4"), ("tokens", "<u8")))
+    names, of = np.unique(ids, return_inverse=True)
+    doc_of = np.repeat(of.reshape(-1), counts)
+    o = np.lexsort((doc_of, tokens))
+    return pa.Table.from_batches([_tied(names, tokens[o], doc_of[o])])
 
 
 class _Groups:
@@ -417,31 +463,59 @@ def _links(members: DataFrame, in_family: int, threshold: int) -> DataFrame:
     return links.union(written(task(rest), "jaccard-rest"))
 
 
-def jaccard_groups(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, in_range: int = RANGE, in_family: int = FAMILY) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def _sets_and_groups(docs: DataFrame, size: int, threshold: int, in_range: int, in_family: int, hot: int | None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, key, also) of each row, and (key, also, component) of each set that is not empty."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = LOW + min(12, max(3, math.ceil(math.log2(max(1, letters / 5.5 / in_range)))))
-    buckets = 1 << (bits - LOW)
-    sets = written(rows.mapInArrow(_set_rows(bits, size), "doc_id long, n_shingles long, set_key long"), "jaccard-sets")
-    dealt = rows.where("doc_id is not null and text is not null").mapInArrow(_deal(bits, size), f"bucket int, {BLOB}")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared_shingles(bits), "bucket int, ids binary, sizes binary, counts binary, tokens binary")
-    found = written(shared.groupBy("bucket").applyInArrow(_candidates(threshold), "doc_id long, n int, prefix int, tokens binary"), "jaccard-candidates")
+    letters, texts = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    ranges = max(4, math.ceil(math.log2(max(1, (letters or 0) / 5.5 / in_range))))
+    buckets, low = 1 << ranges, BITS - ranges
+    sets = written(rows.mapInArrow(_set_rows(size), "doc_id long, n_shingles long, key long, also long, hot binary"), "jaccard-sets")
+    often = sets.where("hot is not null").select("hot").mapInArrow(_hot_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    # a shingle in a 256th of all texts, and in many for a range: there are at most 256 times as many of these as shingles in a mean text
+    most = max(in_range // 8, texts // 256) if hot is None else hot
+    often = np.sort(np.array([r[0] for r in often.where(F.col("n") >= most).select("token").collect()], np.uint64))
+    texts_ = rows.where("doc_id is not null and text is not null")
+    dealt = texts_.mapInArrow(_deal(low, size, often, buckets, False), f"bucket int, {BLOB}")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared_shingles(low, buckets), f"bucket int, {BLOB}")
+    if len(often):
+        shared = shared.union(texts_.mapInArrow(_deal(low, size, often, buckets, True), f"bucket int, {BLOB}"))
+    found = shared.groupBy("bucket").applyInArrow(_candidates(threshold), "key long, also long, n int, prefix int, tokens binary")
+    classes = written(sets.where("n_shingles > 0 and doc_id is not null").groupBy("key", "also").agg(F.min("doc_id").alias("class")), "jaccard-classes")
+    found = written(found.join(classes, ["key", "also"]).select(F.col("class").alias("doc_id"), "n", "prefix", "tokens"), "jaccard-candidates")
     ties = found.mapInArrow(_deal_prefixes(buckets), "bucket int, ids binary, counts binary, tokens binary").groupBy("bucket").applyInArrow(_ties, "a long, b long")
-    families = components(ties, "jaccard-families")
+    families = components(ties.union(found.mapInArrow(_ties_in_batch, "a long, b long")), "jaccard-families")
     found = found.join(families.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "family")
     groups = components(_links(written(found, "jaccard-members"), in_family, threshold), "jaccard-groups")
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("class"))
-    classes = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").select(F.col("set_key").alias("key"), F.coalesce("component", "class").alias("component"))
-    classes = written(classes, "jaccard-classes")
-    out = sets.join(classes, (sets["set_key"] == classes["key"]) & (sets["n_shingles"] > 0) & sets["doc_id"].isNotNull(), "left")
+    classes = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").select("key", "also", F.coalesce("component", "class").alias("component"))
+    return sets.drop("hot"), written(classes, "jaccard-components")
+
+
+def jaccard_groups(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, in_range: int = RANGE, in_family: int = FAMILY, hot: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs. hot: a shingle in so many sets skips its range (None: by in_range and the number of texts)."""
+    sets, classes = _sets_and_groups(docs, size, threshold, in_range, in_family, hot)
+    classes = classes.select(F.col("key").alias("_key"), F.col("also").alias("_also"), "component")
+    out = sets.join(classes, (sets["key"] == classes["_key"]) & (sets["also"] == classes["_also"]) & (sets["n_shingles"] > 0) & sets["doc_id"].isNotNull(), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, less those of each group but its smallest doc_id's; of rows that repeat that doc_id one stays. Null doc_ids stay."""
-    keep = jaccard_groups(docs, **options).where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+def one_of_each_group(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD, in_range: int = RANGE, in_family: int = FAMILY, hot: int | None = None) -> DataFrame:
+    """The rows of docs, all columns, less those of each group but its smallest doc_id's.
+
+    Rows that repeat that doc_id with texts of different sets all stay (a doc_id is one document); of those with equal words the first by a hash of its text stays.
+    Null doc_ids stay. The ids to keep are found on light rows; the texts are joined with them once.
+    """
+    sets, classes = _sets_and_groups(docs, size, threshold, in_range, in_family, hot)
+    labelled = sets.join(classes, ["key", "also"], "left").where("doc_id is not null").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    keep = written(labelled.where("doc_id = component").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")), "jaccard-kept")
+    twin, rank, word = (spare(docs.columns, c) for c in ("twin", "rank", "set"))
+    got = docs.join(keep, docs["doc_id"] == keep["_keep"]).select(*[docs[c] for c in docs.columns], keep["_rows"].alias(twin))
+    out = got.where(F.col(twin) == 1).drop(twin)
+    if keep.where("_rows > 1").limit(1).count():
+        # few rows as a rule: those of ids that occur more than once
+        words = F.array_join(F.filter(F.split(lowered(F.col("text")), SPACE), lambda w: w != ""), " ")
+        some = got.where(F.col(twin) > 1).withColumn(word, F.xxhash64(words)).withColumn(rank, F.row_number().over(W.partitionBy("doc_id", word).orderBy(F.xxhash64("text"))))
+        out = out.unionByName(some.where(F.col(rank) == 1).select(*docs.columns))
+    return out.unionByName(docs.where("doc_id is null"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
