@@ -6,20 +6,26 @@ parted by single spaces, and scanned once, whole; offsets of a match map back to
 
 Null and empty texts have no words and no hits. Items without words, or a null item_id, never match (a null item_id is
 left out). Items that share a window are all reported. Repeated rows give repeated results; other columns are ignored
-or, in ``kept``, passed through. Windows of items are held by each task in blocks of at most ``block_chars`` characters:
-a larger benchmark is scanned block by block, with one automaton in memory at a time, and gives the same rows.
+or, in ``without_contaminated``, passed through; an empty table of documents gives an empty result, an empty benchmark no hit.
+
+Tasks write the items to the shared folder, in blocks of about ``block_chars`` characters, and other tasks read them there: neither the driver nor
+a plan ever holds the benchmark. A benchmark of up to one block is one automaton and one scan; a larger one is
+scanned block by block, with one automaton in memory at a time, and gives the same rows.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.bytescan import WORDS
+from gaugeworks.llm.shared import new_folder, open_file, put_file, written
 
 WINDOW = 10
 BLOCK_CHARS = 32 << 20
@@ -81,47 +87,48 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     if not spans:
         return []
     raw = text.encode("utf-8", "replace")
-    norm = raw.translate(WORDS)
-    starts, ends, k = [], [], 0
-    for w in norm.split():
-        k = norm.index(w, k)
-        starts.append(k)
-        k += len(w)
-        ends.append(k)
-    to_char = lambda b: len(raw[:b].decode("utf-8", "replace"))
-    return [(to_char(starts[a]), to_char(ends[b - 1])) for a, b in spans]
-
-
-def item_blocks(benchmark: DataFrame, block_chars: int) -> list[bytes]:
-    """The items, pickled, in blocks: rows come to the driver one by one, and a block is as large as one automaton may be."""
-    blocks, now, chars = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null").toLocalIterator():
-        if now and chars + len(r[1] or "") > block_chars:
-            blocks.append(pickle.dumps(now))
-            now, chars = [], 0
-        now.append((r[0], r[1]))
-        chars += len(r[1] or "")
-    return [*blocks, pickle.dumps(now)]
+    norm = np.frombuffer(raw.translate(WORDS), np.uint8) != 32
+    edge = np.diff(np.concatenate([[False], norm, [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+    return [(int(chars[starts[a]]), int(chars[ends[b - 1]])) for a, b in spans]
+
+
+def item_blocks(benchmark: DataFrame, block_chars: int) -> list[str]:
+    """Files of the items in the shared folder; each of about block_chars characters, the most that one automaton takes."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    folder, n = new_folder(benchmark.sparkSession, "items"), max(1, -(-chars // block_chars))
+
+    def write(table: pa.Table) -> pa.Table:
+        rows = list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()))
+        return pa.table({"path": [put_file(folder, f"{uuid.uuid4().hex}.items", pickle.dumps(rows))]})
+
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).groupBy("block").applyInArrow(write, "path string")
+    return [r[0] for r in written(blocks, "item-blocks").collect()]
 
 
 SPAN = ("from_word", "to_word", "from_char", "to_char")
 RESULT = "n_words long, spans array<struct<from_word: int, to_word: int, from_char: int, to_char: int>>, items array<string>"
 
 
-def _scanner(blobs: list[bytes], window: int, only_clean: bool):
+def _scanner(paths: list[str], window: int, only_clean: bool):
     """A mapInArrow function over rows with a text: what contamination() returns, or the clean rows as they came.
 
     One automaton is built once; of many blocks, one automaton at a time goes over a batch, and a row's hits are joined.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        build = lambda blob: automaton(windows_of(pickle.loads(blob), window))
-        only = build(blobs[0]) if len(blobs) == 1 else None
+        def build(path: str):
+            with open_file(path) as file:
+                return automaton(windows_of(pickle.loads(file.read()), window))
+
+        only = build(paths[0]) if len(paths) == 1 else None
         for batch in batches:
             texts = batch.column("text")
             found: list[tuple[int, list[tuple[int, int]], set[str]]] = [(0, [], set())] * len(texts)
-            for blob in blobs:
-                a = only if only is not None else build(blob)
+            for path in paths:
+                a = only if only is not None else build(path)
                 for k, t in enumerate(texts):
                     n, hits, items = scan(t.as_py(), a)
                     found[k] = (n, found[k][1] + hits, found[k][2] | items)
