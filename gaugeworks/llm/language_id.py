@@ -4,11 +4,12 @@ Features are hashed byte n-grams (1 to 3) of the whole text, A-Z lowered and all
 text's vector is the square roots of its counts, scaled to length 1. Both steps are one-versus-one linear machines (squared hinge loss,
 accelerated gradient descent in numpy); votes decide, then the sum of margins, then the name.
 
-The machines are fitted on at most about ``per_language`` labelled rows a language (a documented bound; rows are taken by a hash of
-doc_id, evenly over all rows). Only text and label of rows that are not held out are learned from. Everything else covers all rows.
+The machines are fitted on about ``per_language`` labelled rows a language (a documented bound; rows are taken by a hash of doc_id and text, evenly over
+all rows, repeated ones once), fewer where there are so many languages that this would be over ``most_rows`` in all; every language is learned. A machine sees at most
+``per_machine`` rows of each of its two classes. Only text and label of rows that are not held out are learned from. Everything else covers all rows.
 
 A null text or one without any letter is ``und`` with score 0. Null labels are not learned from. A language outside FAMILIES is a family
-of its own. With no labelled rows every prediction is ``und``. A null doc_id counts as not held out but is never learned
+of its own. With no labelled rows every prediction is ``und``, and ``accepted`` keeps each text that has a letter. A null doc_id counts as not held out but is never learned
 from. Repeated rows give repeated results, other columns are ignored, an empty table gives an empty result.
 """
 
@@ -24,8 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.bytescan import runs, text_buffer
+from gaugeworks.llm.shared import written
 
-BITS, PER_LANGUAGE, MOST_LANGUAGES, STEPS, RIDGE = 12, 600, 200, 150, 1e-4
+BITS, PER_LANGUAGE, MOST_ROWS, PER_MACHINE, STEPS, RIDGE = 13, 600, 20_000, 1500, 150, 1e-4
 UNKNOWN = "und"
 #: Families of closely related languages.
 FAMILIES = {
@@ -82,6 +84,24 @@ def machine(x: np.ndarray, y: np.ndarray, steps: int = STEPS, ridge: float = RID
     return w.astype(np.float32), float(b)
 
 
+@dataclass
+class Sparse:
+    """Rows of float32: places of what is not 0, and values."""
+
+    at: list[np.ndarray]
+    value: list[np.ndarray]
+    width: int
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.width), np.float32)
+        for k, r in enumerate(rows.tolist()):
+            out[k, self.at[r]] = self.value[r]
+        return out
+
+    def part(self, rows: np.ndarray) -> Sparse:
+        return Sparse([self.at[r] for r in rows.tolist()], [self.value[r] for r in rows.tolist()], self.width)
+
+
 @dataclass
 class OneVersusOne:
     classes: list[str]
@@ -90,13 +110,15 @@ class OneVersusOne:
     bias: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> OneVersusOne:
+    def fit(cls, x: Sparse, labels: np.ndarray, steps: int = STEPS, per_machine: int = PER_MACHINE) -> OneVersusOne:
+        """Rows are made dense for one pair of classes at a time."""
         self = cls(sorted(set(labels.tolist())))
         self.pairs = list(combinations(range(len(self.classes)), 2))
-        got = []
+        rows, got = [np.flatnonzero(labels == c) for c in self.classes], []
+        rows = [r[np.linspace(0, len(r) - 1, min(len(r), per_machine)).astype(int)] for r in rows]
         for a, b in self.pairs:
-            mine = np.isin(labels, [self.classes[a], self.classes[b]])
-            got.append(machine(x[mine], np.where(labels[mine] == self.classes[a], 1, -1).astype(np.float32), steps))
+            y = np.repeat(np.array([1, -1], np.float32), [len(rows[a]), len(rows[b])])
+            got.append(machine(x.dense(np.concatenate([rows[a], rows[b]])), y, steps))
         if got:
             self.weights, self.bias = np.stack([w for w, _ in got], 1), np.array([b for _, b in got])
         return self
@@ -128,9 +150,9 @@ class LanguageModel:
     bits: int = BITS
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: np.ndarray, bits: int = BITS) -> LanguageModel:
+    def fit(cls, x: Sparse, langs: np.ndarray, bits: int = BITS) -> LanguageModel:
         family = np.array([FAMILY_OF.get(s, f"own:{s}") for s in langs])
-        return cls(OneVersusOne.fit(x, family), {f: OneVersusOne.fit(x[family == f], langs[family == f]) for f in sorted(set(family.tolist()))}, bits)
+        return cls(OneVersusOne.fit(x, family), {f: OneVersusOne.fit(x.part(np.flatnonzero(family == f)), langs[family == f]) for f in sorted(set(family.tolist()))}, bits)
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
         n = len(at) - 1
@@ -154,20 +176,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, most_labels: int) -> DataFrame:
-    """Of rows (doc_id, label, ...) about per_label of each label, by a hash of doc_id; at most most_labels labels, by count."""
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for value, n in counts:
-        keep = keep | ((F.col(label) == value) & (draw < min(1.0, per_label / n)))
-    return rows.where(keep).limit(2 * per_label * max(1, len(counts)))
+def labelled_sample(rows: DataFrame, label: str, per_label: int, most_rows: int) -> DataFrame:
+    """Of rows (doc_id, label, text) about per_label of each label, fewer where that were over most_rows in all; repeated rows once."""
+    counts = written(rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n")), "label-counts")  # of known size, so Spark broadcasts it only where it is small
+    labels = counts.count()
+    share = max(1, min(per_label, most_rows // max(1, labels))) / F.col("_n")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    return rows.join(counts, rows[label] == counts["_label"]).where(draw < share).select("doc_id", label, "text").dropDuplicates()
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS, most_languages: int = MOST_LANGUAGES) -> LanguageModel | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS, most_rows: int = MOST_ROWS) -> LanguageModel | None:
     """A model from the rows that are not held out; features of the bounded sample come to the driver."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = labelled_sample(rows.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string")), "lang", per_language, most_languages)
+    sample = labelled_sample(rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), "lang", per_language, most_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +204,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS, mos
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
-    x = np.zeros((len(got), 1 << bits), np.float32)
-    for k, r in enumerate(got):
-        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], "<f4")
+    x = Sparse([np.frombuffer(r["at"], "<u2") for r in got], [np.frombuffer(r["value"], "<f4") for r in got], 1 << bits)
     return LanguageModel.fit(x, np.array([r["lang"] for r in got], object), bits)
 
 
@@ -196,6 +215,9 @@ def _predictor(model: LanguageModel | None, keep: tuple[str, ...] | None, least_
         for batch in batches:
             if model is None:
                 langs, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+                if keep is not None:
+                    yield batch.filter(pa.array(has_letter(*text_buffer(batch.column("text")))))
+                    continue
             else:
                 langs, score = model.predict(*text_buffer(batch.column("text")))
             if keep is not None:
