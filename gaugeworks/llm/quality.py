@@ -1,21 +1,21 @@
 """Quality classifier (7): supervised subword embeddings.
 
-Each text is the average of learned vectors of its hashed words, of its word pairs (by whether a word repeats the one before) and of its byte
-n-grams (3 to 5, white space included); a softmax layer gives the
-probability of label 1. Vectors and layer are trained by stochastic gradient descent in numpy, one document a step, with a
+Each text is the average of learned vectors of its hashed words and of its hashed runs of 3 to 5 characters (code points, white space included); a
+softmax layer gives the probability of label 1. Vectors and layer are trained by stochastic gradient descent in numpy, one document a step, with a
 linearly falling rate. For scoring the layer is folded into the vectors: one number for each bucket, so a text's score is a sum of table look-ups.
 
-The model is fitted on about ``sample`` labelled rows (a documented bound), taken by a hash of doc_id from the rows that are not held out;
-only their text and label are learned from. Everything else covers all rows.
+The model is fitted on about ``sample`` labelled rows (a documented bound), taken by a hash of doc_id and text from the rows that are not held out;
+only their text and label are learned from. Their features are written to the shared folder in a random order and come to the driver a part at a time,
+in every epoch anew, so the driver never holds them all. Everything else covers all rows.
 
 A null text is an empty one; an empty text has no features and gets the layer's bias. Null labels and a null doc_id are not learned
-from; a doc_id with several labels gives an example for each. With no labelled rows every score is 0.5. Repeated rows give
+from; a doc_id with several labels gives an example for each, a repeated row counts once. With no labelled rows every score is 0.5. Repeated rows give
 repeated results, other columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +24,32 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.bytescan import IS_SPACE, powers, runs, text_buffer
 from gaugeworks.llm.language_id import held_out
+from gaugeworks.llm.shared import written
 
 BITS, DIM, EPOCHS, RATE, SAMPLE, CUT = 17, 8, 5, 2.0, 4000, 0.3
 GRAMS = (3, 4, 5)
 _STEP = 0xD6E8FEB86659FD93
+#: Examples that come to the driver at a time.
+PART = 800
+
+
+def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts and each text's first place among them."""
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4"), lead[at]
 
 
 def grams(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """For each kind of feature: buckets, each row's first place among them (and the number), and which are whole (None: all)."""
-    left = np.repeat(at[1:], np.diff(at)).astype(np.int32) - np.arange(len(data), dtype=np.int32)
-    b = data.astype(np.uint32) + np.uint32(1)
-    gram = np.zeros(len(b), np.uint32)
-    for k in range(min(max(GRAMS), len(b))):
-        gram[: len(b) - k] = gram[: len(b) - k] * np.uint32(0x01000193) + b[k:]
+    points, first = code_points(data, at)
+    left = np.repeat(first[1:], np.diff(first)).astype(np.int32) - np.arange(len(points), dtype=np.int32)
+    c = points + np.uint32(1)
+    gram = np.zeros(len(c), np.uint32)
+    for k in range(min(max(GRAMS), len(c))):
+        gram[: len(c) - k] = gram[: len(c) - k] * np.uint32(0x01000193) + c[k:]
         if k + 1 in GRAMS:
-            yield (gram * np.uint32(2654435761)) >> np.uint32(32 - bits), at, left > k
+            yield (gram * np.uint32(2654435761)) >> np.uint32(32 - bits), first, left > k
+    b = data.astype(np.uint32) + np.uint32(1)
     space = IS_SPACE[data]
     edge = np.ones(len(b), bool)
     edge[1:] = space[:-1]
@@ -47,12 +58,7 @@ def grams(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> Iterator[tuple[
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(np.where(space, np.uint64(0), b) * powers(_STEP, len(b)), out=sums[1:])
     words = (sums[np.append(starts[1:], len(b))] - sums[starts]) * powers(pow(_STEP, -1, 1 << 64), len(b))[starts] if len(starts) else np.zeros(0, np.uint64)
-    first = np.searchsorted(starts, at)
-    yield (words * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits), first, None
-    again = np.zeros(len(words), np.uint32)  # word pairs of two kinds: the same word once more (1), another (0)
-    again[1:] = words[1:] == words[:-1]
-    again[first[:-1][first[:-1] < len(words)]] = 0
-    yield again, first, None
+    yield (words * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits), np.searchsorted(starts, at), None
 
 
 def features(data: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -62,15 +68,14 @@ def features(data: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return u, (n / max(1, n.sum())).astype(np.float32)
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> tuple[np.ndarray, float]:
-    """From (buckets, shares that sum to 1, label) the folded table (logit of label 1 for each bucket) and bias."""
+def train(examples: Callable[[int], Iterable[tuple[np.ndarray, np.ndarray, int]]], n: int, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> tuple[np.ndarray, float]:
+    """From the n (buckets, shares that sum to 1, label) that examples gives for an epoch the folded table (logit of label 1 for each bucket) and bias."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = max(1, epochs * len(examples)), 0
-    for _ in range(epochs):
-        for k in rng.permutation(len(examples)):
-            ids, share, label = examples[k]
+    steps, done = max(1, epochs * n), 0
+    for epoch in range(epochs):
+        for ids, share, label in examples(epoch):
             now = rate * (1 - done / steps)
             done += 1
             h = share @ vectors[ids]
@@ -103,14 +108,15 @@ def scores(table: np.ndarray, bias: float, data: np.ndarray, at: np.ndarray, bit
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, **options) -> tuple[np.ndarray, float] | None:
-    """Sparse features of the bounded sample come to the driver, which trains."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
+    """Sparse features of the bounded sample are written once; the driver, which trains, reads them part by part."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("_id is not null and quality in (0, 1)").where(~held_out(F.col("_id")))
     total = known.count()
     if not total:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(draw < min(1.0, sample / total)).limit(2 * sample)
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows of two numbers
+    draw = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    chosen = written(known.where(draw < min(1.0, sample / total)).distinct(), "quality-sample")  # of known size, so Spark broadcasts it only where it is small
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = texts.join(chosen, texts["doc_id"] == chosen["_id"], "inner").select("doc_id", "quality", "text").dropDuplicates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +127,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
                 got.append((q, ids.astype("<u4").tobytes(), share.astype("<f4").tobytes()))
             yield pa.RecordBatch.from_pydict({"quality": [g[0] for g in got], "ids": [g[1] for g in got], "share": [g[2] for g in got]}, pa.schema([("quality", pa.int32()), ("ids", pa.binary()), ("share", pa.binary())]))
 
-    got = sorted(rows.mapInArrow(run, "quality int, ids binary, share binary").toLocalIterator(), key=lambda r: (bytes(r["ids"]), r["quality"]))
-    return train([(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["share"], "<f4"), r["quality"]) for r in got], bits, **options)
+    order = F.xxhash64("ids", "quality", F.lit("order"))
+    found = written(rows.mapInArrow(run, "quality int, ids binary, share binary"), "quality-features")
+    n = found.count()
+    parts = max(1, -(-n // PART))
+    found = written(found.withColumn("part", F.pmod(order, F.lit(parts))).repartition(max(1, min(parts, 200)), "part").sortWithinPartitions("part", order), "quality-examples")
+
+    def examples(epoch: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for k in np.random.default_rng(epoch).permutation(parts).tolist():
+            some = sorted(found.where(F.col("part") == k).collect(), key=lambda r: (bytes(r["ids"]), r["quality"]))
+            for j in np.random.default_rng((epoch, k)).permutation(len(some)):
+                yield np.frombuffer(some[j]["ids"], "<u4"), np.frombuffer(some[j]["share"], "<f4"), some[j]["quality"]
+
+    return train(examples, n, bits, **options)
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, float] | None, bits: int = BITS) -> DataFrame:
