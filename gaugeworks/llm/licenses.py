@@ -1,21 +1,26 @@
 """License scans (3): an exact set-similarity join of license templates with text blocks.
 
-Words are runs of ASCII letters and digits and of any non-ASCII characters, A-Z lowered. A block of a template of m words
-is a window of 2m words of a text, one every m words, so that any run of m words lies within a block. A block is found when it
-holds at least ``threshold`` of the template's distinct words (all of them where the template has fewer than SHORT). The tokens of templates are put in one global order, rarest first by the number of
-documents that hold them, counted over all documents. A block can only reach the threshold if it holds one of the first |T| - a + 1
-tokens of a template T that needs a of them (prefix filter), if it has a tokens itself (length filter), and if enough tokens are left on
-both sides after the first common one (positional filter). What passes is counted exactly, so the join is exact.
+Words are runs of ASCII letters and digits and of any non-ASCII characters, A-Z lowered. The blocks of a template of m words with threshold t are all runs of
+ceil(m / t) consecutive words of a text (the whole text where it is shorter). A block is found when it holds at least the share t of the template's
+distinct words. The threshold stands beside each template: notices that differ from another in a single word, as in a version, need all their words.
 
-Base phrases are templates with threshold 1; their blocks are then searched for places where the words stand one after the
-other (an exact check that follows). Templates are few and fixed, so they go to every task; documents are never shuffled.
+The words of templates are put in one global order, rarest first by the number of documents that hold them, counted over all documents; other words can't
+match and are left out of blocks. With a words of a template T needed, a block
 
-Null and empty texts have no words, no labels and score 0. Repeated rows give repeated results. Other columns are ignored.
+1. must hold one of the first |T| - a + 1 words of T (prefix filter): only runs around such a word are looked at;
+2. must have a template words in all (length filter, a difference of two running counts, before any set is made);
+3. sorted in the global order, from its first word of T on, must leave enough words on both sides (positional filter, before the overlap is counted).
+
+What passes is counted exactly, so the join finds every block that reaches its threshold. Base phrases are templates with threshold 1; in their blocks the words
+must then stand one after the other (an exact check that follows). Templates are few and fixed, so they go to every task; documents are never shuffled.
+
+Null and empty texts have no words, no labels and score 0. A null doc_id is kept as it is. Repeated rows give repeated results. Other columns are ignored.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -26,21 +31,21 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.bytescan import WORDS
 
-THRESHOLD, SHORT = 0.8, 16
+THRESHOLD = 0.8
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Wording of public license notices and their labels.
+#: Wording of public license notices and their labels; a threshold where it is not THRESHOLD.
 TEMPLATES = (
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "mit"),
     ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache-2"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
     ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "isc"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "gpl-3"),
-    ("licensed under the GNU General Public License, version 3", "gpl-3"),
-    ("licensed under the GNU General Public License, version 2", "gpl-2"),
-    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2"),
-    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
-    ("This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License", "cc-by-sa"),
+    ("licensed under the GNU General Public License, version 3", "gpl-3", 1.0),
+    ("licensed under the GNU General Public License, version 2", "gpl-2", 1.0),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2", 1.0),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by", 1.0),
+    ("This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License", "cc-by-sa", 1.0),
 )
 
 
@@ -61,15 +66,18 @@ class Template:
         n = len(self.tokens)
         return max(1, next(k for k in range(n + 1) if k >= self.threshold * n - 1e-9))
 
+    @property
+    def block(self) -> int:
+        """The words of a block."""
+        return int(-(-len(self.words) // self.threshold))
+
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(WORDS).split()
 
 
-def template_set(base: Sequence[tuple[str, str]] = BASE, notices: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
-    """Short notices need all their words: such ones differ in a single word, as in a version."""
-    share = lambda t: 1.0 if len(set(words_of(t))) < SHORT else threshold
-    return [Template(tuple(words_of(t)), label, True, 1.0) for t, label in base] + [Template(tuple(words_of(t)), label, False, share(t)) for t, label in notices]
+def template_set(base: Sequence[tuple] = BASE, notices: Sequence[tuple] = TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
+    return [Template(tuple(words_of(t)), label, True, 1.0) for t, label in base] + [Template(tuple(words_of(t)), label, False, own[0] if own else threshold) for t, label, *own in notices]
 
 
 def token_order(docs: DataFrame, templates: Sequence[Template]) -> dict[bytes, tuple[int, bytes]]:
@@ -89,38 +97,56 @@ def token_order(docs: DataFrame, templates: Sequence[Template]) -> dict[bytes, t
 
 
 class Join:
-    """The templates, their ordered tokens and the index of prefix tokens."""
+    """The templates, as ascending places of their words in the global order, and the index of prefix words."""
 
     def __init__(self, templates: Sequence[Template], order: dict[bytes, tuple[int, bytes]]):
-        self.templates, self.order = list(templates), order
-        self.ordered = [sorted(t.tokens, key=order.__getitem__) for t in templates]
-        self.rank = [{w: k for k, w in enumerate(x)} for x in self.ordered]
-        self.index: dict[bytes, list[int]] = {}
+        self.templates = list(templates)
+        self.place = {w: k for k, w in enumerate(sorted(frozenset().union(*(t.tokens for t in templates)), key=order.__getitem__))}
+        self.ordered = [sorted(self.place[w] for w in t.tokens) for t in templates]
+        self.sets = [frozenset(x) for x in self.ordered]
+        self.index: dict[int, list[int]] = {}
         for k, t in enumerate(self.templates):
             for w in self.ordered[k][: len(t.tokens) - t.needed + 1]:
                 self.index.setdefault(w, []).append(k)
-        self.prefix = frozenset(self.index)
 
     def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
         """(template, first word of a block, containment) of every block that reaches its template's threshold."""
-        if self.prefix.isdisjoint(words):
+        hits = [(at, w) for at, w in enumerate(map(self.place.get, words)) if w is not None]
+        if not hits:
             return
-        candidates = set()
-        for at, w in enumerate(words):
+        starts: dict[int, list[tuple[int, int]]] = {}  # by template, ranges of first words of blocks around a prefix word
+        for at, w in hits:
             for k in self.index.get(w, ()):
-                m = len(self.templates[k].words)
-                candidates.update((k, b * m) for b in (at // m, at // m - 1) if b >= 0)
-        for k, at in sorted(candidates):
-            t, rank = self.templates[k], self.rank[k]
-            block = set(words[at : at + 2 * len(t.words)])
-            if len(block) < t.needed:
-                continue
-            common = sorted(rank[w] for w in block if w in rank)
-            # the block's own words that stand before its first common one in the order can't add to the overlap
-            if not common or 1 + min(len(rank) - common[0] - 1, len(block) - 1) < t.needed:
-                continue
-            if len(common) >= t.needed:
-                yield k, at, len(common) / len(rank)
+                last = max(0, len(words) - self.templates[k].block)
+                lo, hi = min(last, max(0, at - self.templates[k].block + 1)), min(last, at)
+                mine = starts.setdefault(k, [])
+                if mine and lo <= mine[-1][1] + 1:
+                    mine[-1] = (mine[-1][0], max(hi, mine[-1][1]))
+                else:
+                    mine.append((lo, hi))
+        for k, ranges in sorted(starts.items()):
+            t, mine, all_ = self.templates[k], self.ordered[k], self.sets[k]
+            n, needed = len(mine), t.needed
+            first = end = 0  # the hits of a block
+            for lo, hi in ranges:
+                for at in range(lo, hi + 1):
+                    while first < len(hits) and hits[first][0] < at:
+                        first += 1
+                    end = max(end, first)
+                    while end < len(hits) and hits[end][0] < at + t.block:
+                        end += 1
+                    if end - first < needed:  # length filter
+                        continue
+                    block = sorted({w for _, w in hits[first:end]})
+                    if len(block) < needed:
+                        continue
+                    j = next((j for j, w in enumerate(block) if w in all_), None)
+                    # positional filter: what is left of both from the first common word on
+                    if j is None or min(n - bisect_left(mine, block[j]), len(block) - j) < needed:
+                        continue
+                    common = sum(w in all_ for w in block[j:])
+                    if common >= needed:
+                        yield k, at, common / n
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, list[str], list[str], float]:
         """n_words, n_base, first_word, last_word, base labels, all labels, score."""
@@ -133,12 +159,10 @@ class Join:
                 labels.add(t.label)
                 score = max(score, share)
                 continue
-            m = len(t.words)
-            for p in range(at, min(at + 2 * m, len(words)) - m + 1):
-                if tuple(words[p : p + m]) == t.words:
-                    places.add((p, k))
-                    base.add(t.label)
-                    score = 1.0
+            if tuple(words[at : at + len(t.words)]) == t.words:
+                places.add((at, k))
+                base.add(t.label)
+                score = 1.0
         at = [p for p, _ in places]
         return len(words), len(places), min(at, default=None), max(at, default=None), sorted(base), sorted(base | labels), score
 
