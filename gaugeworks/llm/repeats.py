@@ -4,16 +4,16 @@ All distinct texts are covered, whole; equal texts are one unit, known by their
 
 1. Each window of ``span`` bytes is tied to its anchor, the k-gram of least hash in it (the leftmost of equals), so equal windows have equal anchors at the same
    offset. The windows of one anchor are consecutive: a stretch. One pass finds stretches and deals out, by the anchor's hash, two hashes (of anchor and stretch), no text.
-2. Where an anchor occurs once, none of its windows repeats; stretches with equal hashes repeat wholly. Only what is left (stretches at the ends of a
-   repeated passage) is looked at closer: their bytes are fetched, with one stretch of each kind that has the same anchor.
+2. Where an anchor occurs once, none of its windows repeats. Of stretches with equal hashes (a kind) two go on, of others each one; their bytes are fetched. Further members of a kind
+   are known by it.
 3. There suffixes are sorted: a mergesort whose comparisons find the common extension of two suffixes by binary search on prefix
    polynomial hashes, so a comparison takes a logarithm of the length. It runs over all pairs of a merge step at once in numpy. Suffixes from the
    anchor on and, reversed, prefixes up to it are sorted; common extensions of neighbours are verified on the bytes, and a hash collision makes the step sort by
-   bytes. A window repeats when another has the same class in both orders, for its two parts' lengths.
+   bytes. A window repeats when another has the same class in both orders, for its two parts' lengths. So each kind of repeated bytes passes the sort and its verification.
 4. The removed ranges are joined back to the documents by md5. AQE splits the join where one text is very common.
 
-Equality of whole stretches (step 2) rests on two 64-bit hashes, of the anchor and of the stretch with its place; all else is verified on bytes.
-A close look holds all stretches of one anchor in one task, about 340 bytes each.
+That a third and further stretch is of a kind rests on two 64-bit hashes, of the anchor and of the stretch with its place; all else is verified on bytes.
+A close look takes the stretches of one anchor in parts of ``AT_ONCE``: each part of them sorted against each other part, so what is held is bounded.
 
 Null and empty texts have no bytes; a null doc_id is kept as it is. Repeated rows are copies. Other columns are ignored. An empty table gives an empty result.
 """
@@ -120,10 +120,10 @@ def _marks(buckets: int):
         new_w = new_h | np.concatenate([[True], ws[1:] != ws[:-1]])
         of_h, of_w = np.cumsum(new_h) - 1, np.cumsum(new_w) - 1
         repeats = np.bincount(of_w)[of_w] > 1
-        kinds = np.bincount(of_h, new_w)[of_h]  # different stretches that have this anchor
-        alone = np.bincount(of_h, ~repeats)[of_h]
-        look = (kinds > 1) & (alone > 0) & (~repeats | new_w)
-        mark = repeats.astype(np.uint8) + 2 * look.astype(np.uint8)
+        shared = np.bincount(of_h)[of_h] > 1  # stretches whose anchor another one has
+        nth = np.arange(len(of_w)) - np.flatnonzero(new_w)[of_w] if len(of_w) else of_w  # within its kind
+        look = shared & (nth < 2)
+        mark = (repeats & ~look).astype(np.uint8) + 2 * look.astype(np.uint8)
         keep = mark > 0
         mine, mark = mine[keep], mark[keep]
         # one number for each text, so that its marks come together
@@ -288,7 +288,18 @@ def repeated_windows(group: np.ndarray, parts: list[bytes], left: np.ndarray, ri
     return out
 
 
-def _look(span: int, gram: int):
+def _pairs_of_parts(n: int, at_once: int) -> Iterator[np.ndarray]:
+    """Places 0 .. n - 1 whole, or, of more than at_once, each two halves of that size together, so that any two places meet."""
+    if n <= at_once:
+        yield np.arange(n)
+        return
+    parts = np.array_split(np.arange(n), -(-n // max(1, at_once // 2)))
+    for a in range(len(parts)):
+        for b in range(a + 1, len(parts)):
+            yield np.concatenate([parts[a], parts[b]])
+
+
+def _look(span: int, gram: int, at_once: int):
     def run(table: pa.Table) -> pa.Table:
         h, place, left, right = (np.array(table.column(c)) for c in ("h", "place", "left", "right"))
         keys, parts = table.column("key").to_pylist(), table.column("bytes").to_pylist()
@@ -296,7 +307,7 @@ def _look(span: int, gram: int):
         edge = np.append(np.flatnonzero(np.concatenate([[True], h[o][1:] != h[o][:-1]])), len(o))
         rows, k = [], 0
         while k < len(edge) - 1:  # so many whole anchors at a time
-            end = max(k + 1, int(np.searchsorted(edge, edge[k] + AT_ONCE, "right")) - 1)
+            end = max(k + 1, int(np.searchsorted(edge, edge[k] + at_once, "right")) - 1)
             mine = o[edge[k] : edge[end]]
             # the same stretch may have come twice, from two tasks that saw copies of its text
             kept, seen = [], set()
@@ -305,7 +316,9 @@ def _look(span: int, gram: int):
                     seen.add((keys[e], int(place[e])))
                     kept.append(e)
             mine = np.array(kept)
-            got = repeated_windows(h[mine], [parts[e] for e in kept], left[mine], right[mine], span, gram)
+            got = np.zeros((len(mine), span - gram + 1), bool)
+            for at in _pairs_of_parts(len(mine), at_once):
+                got[at] |= repeated_windows(h[mine[at]], [parts[e] for e in mine[at].tolist()], left[mine[at]], right[mine[at]], span, gram)
             for e, at in zip(kept, got):
                 d = np.flatnonzero(at)
                 if len(d):
@@ -318,11 +331,11 @@ def _look(span: int, gram: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, range_bytes: int = RANGE_BYTES, at_once: int = AT_ONCE) -> DataFrame:
     """key (md5) of each distinct text with repeats, whole (it has a copy), and its ranges: starts and ends (packed 64-bit, may overlap)."""
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text"))).where(F.octet_length("text") >= span)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(1 << 15, max(8, total // range_bytes))
+    buckets = max(8, total // range_bytes)
     copies = written(rows.groupBy("key").count().where("count > 1").select("key"), "repeats-copies")
     dealt = rows.mapInArrow(_deal(span, gram, buckets), "bucket int, keys binary, counts binary, place binary, left binary, right binary, h binary, whole binary")
     marks = dealt.groupBy("bucket").applyInArrow(_marks(buckets), "bucket int, keys binary, counts binary, place binary, left binary, right binary, mark binary")
@@ -330,7 +343,7 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, range_b
     look = marks.where(F.length("place") > 0).select(F.col("key").alias("of"), "place", "left", "right")
     texts = rows.join(look, rows["key"] == look["of"]).select("key", "text", "place", "left", "right")
     close = texts.mapInArrow(_fetch(span, gram, buckets), "bucket int, h long, key binary, place long, left int, right int, bytes binary")
-    found = close.groupBy("bucket").applyInArrow(_look(span, gram), "key binary, start long, end long")
+    found = close.groupBy("bucket").applyInArrow(_look(span, gram, at_once), "key binary, start long, end long")
     sure = marks.where(F.length("starts") > 0).select("key", F.array(F.struct("starts", "ends")).alias("sure"))
     found = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     joined_ = sure.join(found, "key", "full_outer").join(copies.withColumn("whole", F.lit(True)), "key", "full_outer")
@@ -362,9 +375,9 @@ def _cut(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_text: bool = True, at_once: int = AT_ONCE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_text) the removed spans and the kept bytes, for each row of docs."""
-    ranges = repeated_ranges(docs, span, gram).withColumnRenamed("key", "of")
+    ranges = repeated_ranges(docs, span, gram, at_once=at_once).withColumnRenamed("key", "of")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     rows = rows.join(ranges, rows["key"] == ranges["of"], "left").select("doc_id", "text", "whole", "starts", "ends", "found")
