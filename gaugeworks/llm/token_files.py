@@ -40,8 +40,8 @@ from gaugeworks.llm.shared import new_folder, open_file, put_file, written
 
 MAGIC, BLOCK, END_ID = b"GWIDS001", 1 << 14, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Ids of a shard; bytes of kept words (two generations of so many); characters of a word that is kept.
-SHARD_IDS, KEPT_BYTES, KEPT_CHARS = 8 << 20, 40 << 20, 64
+#: Ids of a shard; bytes of kept words (two generations of so many).
+SHARD_IDS, KEPT_BYTES = 8 << 20, 72 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -145,7 +145,7 @@ class Encoder:
         self.odd = re.compile("|".join(re.escape(c) for c in spaces if self._plain(f"ab{c}cd") != self._plain("ab") + self._plain("cd")) or "(?!)")
         letters = ["a", "zq", "the", "inthe", "tionandering", "abcdefghijklmnopqrstuvwxyz"]
         self.by_model = all([x.id for x in self.tokenizer.model.tokenize(w)] == self._plain(w) for w in letters)
-        self.tails = {x: self._plain(x) for x in ("", ".", ",")}
+        self.tails = {x: self._bytes(self._plain(x)) for x in ("", ".", ",")}
         # a byte-level tokenizer shows the model each byte as a character: printable ones as they are, the others from U+0100 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in shown]
@@ -165,43 +165,39 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.kind.char, ids).tobytes()
 
-    def _fresh(self, word: str) -> bytes:
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        self.young[word] = ids
+        self.held += 200 + 2 * len(word) + len(ids)
+        return ids
+
+    def _learn(self, word: str) -> bytes:
+        """The ids of a word that the young generation lacks, kept there."""
+        ids = self.old.get(word)
+        if ids is not None:
+            return self._keep(word, ids)
         body, tail = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-        if body.isalpha():
-            # the model alone has the ids of a run of letters that case and composition leave no choice about
-            if self.by_model if body.isascii() else self.by_bytes and "\u03a3" not in body and "\u0130" not in body and unicodedata.is_normalized("NFC", body):
-                return self._bytes(self._by_model(body) + self.tails[tail])
-        return self._bytes(self._plain(word))
-
-    def _learn(self, words: list[str]) -> None:
-        """Put all of words into the young generation, but for those too long to be kept."""
-        young, old = self.young, self.old
-        for w in words:
-            if w not in young:
-                ids = old.get(w)
-                if ids is None:
-                    ids = self._fresh(w)
-                young[w] = ids
-                self.held += 200 + len(ids)
+        # the model alone has the ids of a run of letters that case and composition leave no choice about
+        if body.isalpha() and (self.by_model if body.isascii() else self.by_bytes and "\u03a3" not in body and "\u0130" not in body and unicodedata.is_normalized("NFC", body)):
+            low = body.lower()
+            if low == word:
+                return self._keep(word, self._bytes(self._by_model(word)))
+            return self._keep(word, (self.young.get(low) or self._learn(low)) + self.tails[tail])
+        return self._keep(word, self._bytes(self._plain(word)))
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids, 16 bits wide where the vocabulary fits, else 32."""
         if not self.by_word or self.odd.search(text):
             return np.array(self._plain(text), self.kind)
-        words = text.split()
-        young = self.young
-        try:
-            return np.frombuffer(b"".join([young[w] for w in words]), self.kind)
-        except KeyError:
-            pass
-        out = []
+        words, out = text.split(), []
         for lo in range(0, len(words), 1 << 16):  # a very long text is taken in steps, so that what is held stays bounded
-            part = words[lo : lo + (1 << 16)]
-            long = {w: self._fresh(w) for w in part if len(w) > KEPT_CHARS}
-            self._learn([w for w in part if len(w) <= KEPT_CHARS])
-            out.append(b"".join([long[w] if len(w) > KEPT_CHARS else self.young[w] for w in part]))
-            if self.held > KEPT_BYTES:
-                self.old, self.young, self.held = self.young, {}, 0
+            part = words[lo : lo + (1 << 16)] if len(words) > 1 << 16 else words
+            got = list(map(self.young.get, part))
+            if None in got:
+                young, learn = self.young, self._learn
+                got = [young.get(w) or learn(w) if g is None else g for w, g in zip(part, got)]
+                if self.held > KEPT_BYTES:
+                    self.old, self.young, self.held = young, {}, 0
+            out.append(b"".join(got))
         return np.frombuffer(b"".join(out), self.kind)
 
 
