@@ -38,7 +38,7 @@ from gaugeworks.llm.shared import SPACE, components, lowered, spare, written
 
 SIZE, THRESHOLD = 5, 80
 #: Text bytes of a numpy step; shingles of a hash range; shingles of a family task.
-STEP, RANGE, FAMILY = 2 << 20, 2_500_000, 300_000
+STEP, RANGE, FAMILY = 1 << 20, 2_500_000, 300_000
 #: Bits of a shingle's hash, and texts of a step (their number takes the other bits of a word).
 BITS, ROWS = 52, 4096
 _C = 0xD1342543DE82EF95
@@ -90,14 +90,23 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The first 10 bytes (80 bits) of each set key: enough to tell sets apart on the way, and rows that are sent very often stay small."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 16)[:, :10]
+
+
 def _first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows come first with their key, and each row's first row."""
-    _, first, of = np.unique(np.ascontiguousarray(keys).view("V16").reshape(-1), return_index=True, return_inverse=True)
+    """Which rows come first with their key (10 bytes), and each row's first row."""
+    _, first, of = np.unique(np.ascontiguousarray(keys).view("V10").reshape(-1), return_index=True, return_inverse=True)
     keep = np.zeros(len(keys), bool)
     keep[first] = True
     return keep, first[of.reshape(-1)]
 
 
+def _group(keys: np.ndarray, groups: int) -> np.ndarray:
+    return (np.ascontiguousarray(keys[:, :8]).view("<u8").reshape(-1) % np.uint64(groups)).astype(np.int64)
+
+
 BLOB = "keys binary, sizes binary, counts binary, tokens binary"
 NAMES = ["bucket", "keys", "sizes", "counts", "tokens"]
 
@@ -114,7 +123,7 @@ def _set_rows(size: int):
             data, at = text_buffer(batch.column("text"))
             for lo, hi in runs(at, STEP, ROWS):
                 tokens, counts, keys = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], size)
-                keep, _ = _first_of(keys)
+                keep, _ = _first_of(_short(keys))
                 of = np.sort(tokens[keep[np.repeat(np.arange(hi - lo), counts)]])
                 start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
                 n = np.diff(np.append(start, len(of)))
@@ -140,12 +149,13 @@ def _deal(low: int, size: int, hot: np.ndarray, groups: int, only_hot: bool):
             data, at = text_buffer(batch.column("text"))
             for lo, hi in runs(at, STEP, ROWS):
                 tokens, counts, keys = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], size)
+                keys = _short(keys)
                 sizes, doc_of = counts.astype("<u4"), np.repeat(np.arange(hi - lo, dtype=np.int32), counts)
                 chosen = _first_of(keys)[0][doc_of]
                 if len(hot):
                     chosen &= np.isin(tokens, hot) == only_hot
                 tokens, doc_of = tokens[chosen], doc_of[chosen]
-                bucket = (keys[doc_of, 0] % np.uint64(groups) if only_hot else tokens >> np.uint64(low)).astype(np.int64)
+                bucket = (_group(keys, groups)[doc_of] if only_hot else tokens >> np.uint64(low)).astype(np.int64)
                 pack = (lambda t: (np.uint64(4095 << BITS) | t).astype("<u8").tobytes()) if only_hot else _packed
                 rows = [(b, keys[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), pack(tokens[e])) for b, d, n, e in by_bucket(bucket, doc_of, groups)]
                 if rows:
@@ -155,7 +165,7 @@ def _deal(low: int, size: int, hot: np.ndarray, groups: int, only_hot: bool):
 
 
 def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return joined(table.column("keys"), "<u8").reshape(-1, 2), joined(table.column("sizes"), "<u4"), joined(table.column("counts"), "<u4")
+    return joined(table.column("keys"), "u1").reshape(-1, 10), joined(table.column("sizes"), "<u4"), joined(table.column("counts"), "<u4")
 
 
 def _shared_shingles(low: int, groups: int):
@@ -179,7 +189,7 @@ def _shared_shingles(low: int, groups: int):
         doc_of = doc_of[shared]
         o = np.argsort(doc_of, kind="stable")
         doc_of, order_key = doc_of[o], order_key[o]
-        group = (keys[:, 0] % np.uint64(groups)).astype(np.int64)
+        group = _group(keys, groups)
         rows = [(g, keys[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), order_key[e].tobytes()) for g, d, n, e in by_bucket(group[doc_of], doc_of, groups)]
         return pa.table(_blobs(rows), NAMES)
 
@@ -187,7 +197,7 @@ def _shared_shingles(low: int, groups: int):
 
 
 def _candidates(threshold: int):
-    """A group of sets: those with enough shared shingles: key, also, n, how many of the first ones are prefix, order keys ascending."""
+    """A group of sets: those with enough shared shingles: key (its 8 and 2 bytes), n, how many of the first ones are prefix, order keys ascending."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, sizes, counts = _sets(table)
@@ -201,9 +211,10 @@ def _candidates(threshold: int):
         edge = np.searchsorted(entry, np.arange(len(first) + 1))
         size_of = sizes[first].astype(np.int64)
         shared, needed = np.diff(edge), -(-threshold * size_of // 100)
-        rows = [(*keys[first[k]].view(np.int64).tolist(), int(size_of[k]), int(shared[k] - needed[k] + 1), tokens[edge[k] : edge[k + 1]].tobytes()) for k in np.flatnonzero(shared >= needed)]
+        key, rest = np.ascontiguousarray(keys[first, :8]).view("<i8").reshape(-1).tolist(), np.ascontiguousarray(keys[first, 8:]).view("<u2").reshape(-1).tolist()
+        rows = [(key[k], rest[k], int(size_of[k]), int(shared[k] - needed[k] + 1), tokens[edge[k] : edge[k + 1]].tobytes()) for k in np.flatnonzero(shared >= needed)]
         columns = list(zip(*rows)) if rows else [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])], ["key", "also", "n", "prefix", "tokens"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()])], ["key", "rest", "n", "prefix", "tokens"])
 
     return run
 
@@ -479,9 +490,9 @@ def _sets_and_groups(docs: DataFrame, size: int, threshold: int, in_range: int,
     shared = dealt.groupBy("bucket").applyInArrow(_shared_shingles(low, buckets), f"bucket int, {BLOB}")
     if len(often):
         shared = shared.union(texts_.mapInArrow(_deal(low, size, often, buckets, True), f"bucket int, {BLOB}"))
-    found = shared.groupBy("bucket").applyInArrow(_candidates(threshold), "key long, also long, n int, prefix int, tokens binary")
+    found = shared.groupBy("bucket").applyInArrow(_candidates(threshold), "key long, rest int, n int, prefix int, tokens binary")
     classes = written(sets.where("n_shingles > 0 and doc_id is not null").groupBy("key", "also").agg(F.min("doc_id").alias("class")), "jaccard-classes")
-    found = written(found.join(classes, ["key", "also"]).select(F.col("class").alias("doc_id"), "n", "prefix", "tokens"), "jaccard-candidates")
+    found = written(found.join(classes.withColumn("rest", F.col("also").bitwiseAND(F.lit(0xFFFF)).cast("int")), ["key", "rest"]).select(F.col("class").alias("doc_id"), "n", "prefix", "tokens"), "jaccard-candidates")
     ties = found.mapInArrow(_deal_prefixes(buckets), "bucket int, ids binary, counts binary, tokens binary").groupBy("bucket").applyInArrow(_ties, "a long, b long")
     families = components(ties.union(found.mapInArrow(_ties_in_batch, "a long, b long")), "jaccard-families")
     found = found.join(families.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "family")
@@ -508,7 +519,8 @@ def one_of_each_group(docs: DataFrame, size: int = SIZE, threshold: int = THRESH
     labelled = sets.join(classes, ["key", "also"], "left").where("doc_id is not null").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     keep = written(labelled.where("doc_id = component").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")), "jaccard-kept")
     twin, rank, word = (spare(docs.columns, c) for c in ("twin", "rank", "set"))
-    got = docs.join(keep, docs["doc_id"] == keep["_keep"]).select(*[docs[c] for c in docs.columns], keep["_rows"].alias(twin))
+    # the same join at every size: a small table of ids would else be broadcast
+    got = docs.join(keep.hint("merge"), docs["doc_id"] == keep["_keep"]).select(*[docs[c] for c in docs.columns], keep["_rows"].alias(twin))
     out = got.where(F.col(twin) == 1).drop(twin)
     if keep.where("_rows > 1").limit(1).count():
         # few rows as a rule: those of ids that occur more than once
