@@ -181,7 +181,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     by_key = written(by_key.select(F.col("key").alias("_key"), F.col("also").alias("_also"), "least", (F.col("all") - F.col("least") * F.col("n")).alias("more")).where("least > 0 or more > 0"), "mix-copies")
     # one shuffle of the texts, by two columns that are never null; both branches read the same one
     keyed = docs.withColumns(dict(zip((key, also), row_key(docs))))
-    got = keyed.join(by_key, (keyed[key] == by_key["_key"]) & (keyed[also] == by_key["_also"]))
+    got = keyed.join(by_key.hint("merge"), (keyed[key] == by_key["_key"]) & (keyed[also] == by_key["_also"]))
     rows = got.select(*[keyed[c] for c in docs.columns], keyed[key], keyed[also], by_key["least"].alias(many), by_key["more"].alias(place))
     out = rows.where(F.col(place) == 0).select(*docs.columns, many)
     if by_key.where("more > 0").limit(1).count():
