@@ -34,51 +34,37 @@ def render_text(text: str | None) -> str | None:
 
 
 def first_array(text: str | None) -> str | None:
-    """The first balanced JSON array within prose, as compact JSON; null where none parses."""
-    for start in (m.start() for m in re.finditer(r"\[", text or "")):
-        depth, quoted, escaped = 0, False, False
-        for k in range(start, len(text)):
-            c = text[k]
-            if quoted:
-                quoted, escaped = (escaped or c != '"'), (c == "\\" and not escaped)
-                continue
-            if c == '"':
-                quoted = True
-            depth += (c == "[") - (c == "]")
-            if not depth:
-                try:
-                    return json.dumps(json.loads(text[start : k + 1]), ensure_ascii=False, separators=(",", ":"))
-                except ValueError:
-                    break
+    """The first JSON array within prose, as compact JSON; null where none parses."""
+    for m in re.finditer(r"\[", text or ""):
+        try:
+            found, _ = json.JSONDecoder().raw_decode(text, m.start())
+        except ValueError:
+            continue
+        return json.dumps(found, ensure_ascii=False, separators=(",", ":"))
     return None
 
 
 def run_program(text: str | None) -> tuple[float | None, str | None]:
-    """Lines 'v1 = add(2, v0)' with add, sub, mul, div; 'ANSWER x' counts last. (value, error: null, 'no answer', 'unknown name', 'division by zero', 'bad line')."""
-    names: dict[str, float] = {}
-    answer = None
-
-    def number(x: str) -> float | None:
+    """Lines 'v1 = add(2, v0)' with add, sub, mul, div, up to the first 'ANSWER vK'; other lines are passed over.
+
+    (value, error: null, or undefined_var, div_by_zero, no_program (no assignment at all), no_answer_line).
+    """
+    known: dict[str, float] = {}
+    steps = re.compile(r"ANSWER\s+v(?P<answer>\d+)|v(?P<name>\d+)\s*=\s*(?P<op>add|sub|mul|div)\(\s*(?P<a>[^,()]+?)\s*,\s*(?P<b>[^,()]+?)\s*\)", re.IGNORECASE)
+    number = lambda x: known[str(int(x[1:]))] if re.fullmatch(r"[vV]\d+", x) else float(re.sub("[,$]", "", x))
+    for line in (text or "").splitlines():
+        m = steps.fullmatch(line.strip())
         try:
-            return float(x)
-        except ValueError:
-            return names.get(x)
-
-    for line in filter(None, map(str.strip, (text or "").split("\n"))):
-        if m := re.fullmatch(r"ANSWER:?\s+(\S+)", line):
-            answer = number(m[1])
-            if answer is None:
-                return None, "unknown name"
-        elif m := re.fullmatch(r"(v\d+)\s*=\s*(add|sub|mul|div)\(\s*([^,\s]+)\s*,\s*([^,\s]+)\s*\)", line):
-            a, b = number(m[3]), number(m[4])
-            if a is None or b is None:
-                return None, "unknown name"
-            if m[2] == "div" and b == 0:
-                return None, "division by zero"
-            names[m[1]] = {"add": a + b, "sub": a - b, "mul": a * b, "div": a / b if b else 0.0}[m[2]]
-        else:
-            return None, "bad line"
-    return (answer, None) if answer is not None else (None, "no answer")
+            if m and m["answer"]:
+                return known[str(int(m["answer"]))], None
+            if m:
+                a, b = number(m["a"]), number(m["b"])
+                known[str(int(m["name"]))] = {"add": a + b, "sub": a - b, "mul": a * b, "div": a / b if b else None}[m["op"].lower()]
+        except (KeyError, ValueError):
+            return None, "undefined_var"
+        if m and m["op"] and m["op"].lower() == "div" and b == 0:
+            return None, "div_by_zero"
+    return None, "no_answer_line" if known else "no_program"
 
 
 def unified_diff(old: str | None, new: str | None, context: int = 3) -> str:

@@ -11,14 +11,28 @@ from gaugeworks.functions.probability import let
 STOP_WORDS = tuple("a an and are as at be but by for from had has have he her his i if in into is it its not of on or our she that the their them then there these they this to was we were what when which who will with you your".split())
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose case fold is another one, and those whose fold is several, from Python's own rule."""
+    pairs = [(chr(c), chr(c).casefold()) for c in range(0x80, 0x1E944) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)]
+    return {a: b for a, b in pairs if len(b) == 1}, {a: b for a, b in pairs if len(b) > 1}
+
+
 def casefold(text: Column) -> Column:
-    """Lower case, with sharp s as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Python's casefold. Where a text has no character over U+00FF (and no micro sign), lower case with sharp s as ss is the same, and quick."""
+    one, several = _folds()
+    whole = F.translate(F.translate(text, "".join(one), "".join(one.values())), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for a, b in several.items():
+        whole = F.replace(whole, F.lit(a), F.lit(b))
+    return F.when(text.rlike("[^\\x00-\u00b4\u00b6-\u00ff]"), whole).otherwise(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+
+
+#: White space that Python parts words at.
+WHITE = "[\\x09-\\x0d\\x1c-\\x20\\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def normalised(text: Column) -> Column:
     """Case-folded, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(casefold(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(casefold(text), WHITE, " "))
 
 
 def digest(text: Column) -> Column:
@@ -36,6 +50,12 @@ def grams(words: Column, size: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= size, F.array_distinct(some(w))).otherwise(F.array().cast("array<string>")))
 
 
+def gram_hashes(words: Column, size: int) -> Column:
+    """Distinct 64-bit hashes of runs of size words; none where there are fewer words. A word is hashed once, a run is a hash of its words' hashes."""
+    some = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda k: F.xxhash64(*[F.get(h, k + j) for j in range(size)]))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= size, F.array_distinct(some(h))).otherwise(F.array().cast("array<bigint>")))
+
+
 def masked_digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[0-9]+", "#")
 
@@ -74,12 +94,35 @@ def choice_letter(text: Column) -> Column:
     return F.coalesce(*[F.when(x != "", F.upper(x)) for x in found], last)
 
 
+#: First words of change subjects by class; words that an object may follow; objects that make a change one of tests or of documentation.
+COMMIT_WORDS = {
+    "feature": tuple("add adds added adding implement implements implemented create creates created introduce introduces introduced support supports allow allows enable enables feat feature".split()),
+    "fix": tuple("fix fixes fixed fixing correct corrects corrected resolve resolves resolved repair repairs solve solves bugfix hotfix".split()),
+    "remove": tuple("remove removes removed removing delete deletes deleted drop drops dropped".split()),
+    "change": tuple("refactor refactors refactored refactoring rename renames renamed move moves moved simplify simplifies clean cleans cleanup restructure reorganize reorganise extract rewrite replace replaces change changes changed update updates updated modify modifies tweak tweaks adjust switch convert use bump upgrade improve improves perf style".split()),
+    "docs": tuple("document documents documented docs doc".split()),
+    "test": tuple("test tests testing".split()),
+    "revert": tuple("revert reverts reverted".split()),
+}
+OBJECT_SKIP = tuple("a an the more some missing new basic initial extra additional unit simple better few and for to".split())
+DOC_OBJECTS = tuple("doc docs documentation docstring docstrings readme comment comments changelog javadoc jsdoc license copyright".split())
+TEST_OBJECTS = tuple("test tests testcase testcases unittest unittests spec specs coverage".split())
+
+
 def commit_type(subject: Column) -> Column:
-    """The kind of a change by its conventional prefix, else by its first word."""
-    head = F.lower(F.regexp_extract(subject, r"^\s*(\w+)(?:\([^)]*\))?!?:", 1))
-    word = F.lower(F.regexp_extract(subject, r"^\s*(\w+)", 1))
-    key = F.when(head != "", head).otherwise(word)
-    return F.when(key.isin("fix", "fixes", "fixed", "bugfix", "hotfix"), "fix").when(key.isin("feat", "feature", "add", "adds", "added", "implement", "introduce"), "feature").when(key.isin("doc", "docs", "document"), "docs").when(key.isin("test", "tests"), "test").when(key.isin("refactor", "rename", "move", "clean", "cleanup", "simplify"), "refactor").otherwise("other")
+    """The class of a change by its prefix ('fix(x):') or first word; null where that has none. Of features and changes, the object may make it one of tests or documentation."""
+    s = F.lower(F.trim(subject))
+    prefix = r"^([a-z]+)(\([^)]*\))?!?:"
+    head = F.regexp_extract(s, prefix, 1)
+    words = lambda x: F.regexp_extract_all(x, F.lit("([a-z]+)"), F.lit(1))
+    first = F.when(head != "", head).when(s.rlike("^[\"'`]?[a-z]"), F.get(words(s), F.lit(0)))
+    rest = F.when(head != "", words(F.regexp_replace(s, prefix, ""))).otherwise(F.slice(words(s), 2, F.greatest(F.size(words(s)), F.lit(1))))
+    kind = F.lit(None).cast("string")
+    for name, known in COMMIT_WORDS.items():
+        kind = F.when(first.isin(*known), name).otherwise(kind)
+    object_ = F.get(F.filter(rest, lambda w: ~w.isin(*OBJECT_SKIP)), F.lit(0))
+    refined = F.when(object_.isin(*TEST_OBJECTS), "test").when(object_.isin(*DOC_OBJECTS), "docs").otherwise(kind)
+    return F.when(kind.isin("feature", "change"), refined).otherwise(kind)
 
 
 def roman(n: Column) -> Column:

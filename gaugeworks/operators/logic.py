@@ -41,13 +41,29 @@ def rule(tree, atoms: Mapping[str, Column]) -> Column:
     raise ValueError(f"unknown operator {op}")
 
 
-def canonical(tree) -> str:
-    """A key equal for trees that differ only in the order of and/or operands."""
+def shape(tree) -> str:
+    """The structure without names of leaves; operands of and/or in order of their own shapes."""
     if isinstance(tree, str):
-        return tree
+        return "_"
     op, *parts = tree
-    keys = [canonical(p) for p in parts]
-    return f"({op} {' '.join(sorted(keys) if op in ('and', 'or') else keys)})"
+    inner = [shape(p) for p in parts]
+    return f"{op}({','.join(sorted(inner) if op in ('and', 'or') else inner)})"
+
+
+def canonical(tree) -> str:
+    """A structure key: operands of and/or stand by shape, and leaves are numbered as they first occur, so neither order nor names count."""
+    numbers: dict[str, int] = {}
+
+    def text(t) -> str:
+        if isinstance(t, str):
+            return str(numbers.setdefault(t, len(numbers)))
+        op, *parts = t
+        return f"{op}({','.join(map(text, ordered(op, parts)))})"
+
+    def ordered(op, parts):
+        return sorted(parts, key=shape) if op in ("and", "or") else parts
+
+    return text(tree)
 
 
 def push_negation(tree, negated: bool = False):

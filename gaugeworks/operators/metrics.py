@@ -31,11 +31,23 @@ def _by(df: DataFrame, keys: Sequence[str]):
     return df.groupBy(*keys)
 
 
+def checked(conf: Column) -> Column:
+    """conf; a row whose confidence is no number from 0 to 1 stops the query."""
+    good = ~F.isnan(conf.cast("double")) & (conf >= 0) & (conf <= 1)
+    return F.when(good, conf).otherwise(F.raise_error(F.lit("confidence must be a number from 0 to 1")).cast("double"))
+
+
+def checked_budget(budget: float, least: int = 1) -> None:
+    if not 0 <= budget <= 1 or least < 1:  # also false for nan
+        raise ValueError("an error budget lies from 0 to 1, and at least one row is accepted")
+
+
 def _curve(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """risk_curve() with c, the rows of each block.
 
     Running sums in two steps: over 4096 ranges of confidence (few rows), then within each range, so no task sorts a whole key.
     """
+    rows = rows.withColumn("conf", checked(F.col("conf")))
     blocks = _by(rows, [*keys, "conf"]).agg(F.count("*").alias("c"), F.sum((~F.col("ok")).cast("long")).alias("e")).withColumn("_range", F.floor(F.col("conf") * 4096))
     down = W.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     ranges = _by(blocks, [*keys, "_range"]).agg(F.sum("c").alias("_c"), F.sum("e").alias("_e"))
@@ -52,9 +64,11 @@ def risk_curve(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def coverage_at_error(rows: DataFrame, budgets: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """For each budget the greatest share that can be accepted with errors of at most budget * accepted; 0 where none."""
+    """For each budget the greatest share that can be accepted with errors of at most budget * accepted; 0 where none, and for no rows at all."""
+    for x in budgets:
+        checked_budget(x)
     curve = risk_curve(rows, keys)
-    return _by(curve, keys).agg(*[(F.coalesce(F.max(F.when(F.col("errors") <= b * F.col("accepted"), F.col("accepted"))), F.lit(0)) / F.max("n")).alias(f"coverage_at_{round(100 * b)}") for b in budgets])
+    return _by(curve, keys).agg(*[(F.coalesce(F.max(F.when(F.col("errors") <= b * F.col("accepted"), F.col("accepted"))), F.lit(0)) / F.coalesce(F.max("n"), F.lit(1))).alias(f"coverage_at_{round(100 * b)}") for b in budgets])
 
 
 def area_under_risk(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -98,6 +112,7 @@ def selective(rows: DataFrame, shares: Sequence[float] = (0.5, 0.8), keys: Seque
 
 def select_threshold(rows: DataFrame, budget: float, least: int = 1, keys: Sequence[str] = ()) -> DataFrame:
     """The lowest threshold whose accepted rows (at least ``least``) keep to the budget; null where none does."""
+    checked_budget(budget, least)
     fits = (F.col("errors") <= budget * F.col("accepted")) & (F.col("accepted") >= least)
     return _by(risk_curve(rows, keys), keys).agg(F.min(F.when(fits, F.col("threshold"))).alias("threshold"))
 
@@ -109,18 +124,30 @@ def evaluate_threshold(rows: DataFrame, threshold: Column, keys: Sequence[str] =
     return out.select(*keys, "accepted", "errors", (F.col("accepted") / F.col("n")).alias("coverage"), F.when(F.col("accepted") > 0, F.col("errors") / F.col("accepted")).alias("risk"))
 
 
-#: Length buckets: disjoint ones, then tails.
-LENGTHS = (("under_8k", 0, 8000), ("8k_16k", 8000, 16000), ("16k_32k", 16000, 32000), ("32k_64k", 32000, 64000), ("64k_plus", 64000, None), ("8k_plus", 8000, None), ("16k_plus", 16000, None), ("32k_plus", 32000, None))
+#: State-token edges of the length buckets.
+LENGTH_EDGES = (8192, 16384, 32768, 65536)
 
 
-def by_length(rows: DataFrame, length: str = "length") -> DataFrame:
-    """bucket, n, acc, mean_conf, ece; buckets overlap, and empty ones are there with n = 0."""
-    spark = rows.sparkSession
-    edges = spark.createDataFrame(LENGTHS, "bucket string, lo long, hi long")
-    each = rows.withColumn("bucket", F.explode(F.filter(F.array(*[F.when((F.col(length) >= lo) & (F.lit(hi is None) | (F.col(length) < (hi or 0))), F.lit(name)) for name, lo, hi in LENGTHS]), lambda x: x.isNotNull())))
-    main = each.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(F.col("ok").cast("double")).alias("acc"), F.avg("conf").alias("mean_conf"))
+def length_buckets(edges: Sequence[int] = LENGTH_EDGES) -> list[tuple[str, int, int | None]]:
+    """(name, from, below) of the buckets between edges, then of the open tails from each edge but the last. Names count in units of 1024."""
+    edges = list(edges)
+    if not edges or edges != sorted(set(edges)) or any(e < 1024 or e % 1024 for e in edges):
+        raise ValueError("edges must be rising multiples of 1024")
+    k = [f"{e // 1024}k" for e in edges]
+    inner = [(f"{k[i]}_{k[i + 1]}", edges[i], edges[i + 1]) for i in range(len(edges) - 1)]
+    return [(f"under_{k[0]}", 0, edges[0]), *inner, (f"{k[-1]}_plus", edges[-1], None), *((f"{k[i]}_plus", edges[i], None) for i in range(len(edges) - 1))]
+
+
+def by_length(rows: DataFrame, length: str = "length", edges: Sequence[int] = LENGTH_EDGES) -> DataFrame:
+    """bucket, n, acc, mean_conf, brier, confident_error_rate, ece; buckets overlap, and empty ones are there with n = 0."""
+    buckets = length_buckets(edges)
+    names = rows.sparkSession.createDataFrame([(name,) for name, _, _ in buckets], "bucket string")
+    inside = [F.when((F.col(length) >= lo) & (F.col(length) < hi if hi else F.lit(True)), F.lit(name)) for name, lo, hi in buckets]
+    each = rows.withColumn("bucket", F.explode(F.array_compact(F.array(*inside))))
+    wrong = ((F.col("conf") >= 0.9) & ~F.col("ok")).cast("double")
+    main = each.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(F.col("ok").cast("double")).alias("acc"), F.avg("conf").alias("mean_conf"), F.avg("brier").alias("brier"), F.avg(wrong).alias("confident_error_rate"))
     main = main.join(expected_calibration_error(each, ["bucket"]), "bucket")
-    return edges.select("bucket").join(main, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return names.join(main, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def area_under_roc(rows: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -133,21 +160,37 @@ def area_under_roc(rows: DataFrame, score: str, label: str, keys: Sequence[str]
     return out.select(*keys, F.when((p == 0) | (n == 0), F.lit(0.5)).otherwise((F.col("r") - p * (p + 1) / 2.0) / (p * n)).alias("auroc"))
 
 
-def top_share_accuracy(rows: DataFrame, shares: Sequence[float], order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
-    """Accuracy of the max(1, round-half-even(n * share)) first rows in the given order."""
-    w = W.partitionBy(*keys)
-    ranked = rows.withColumn("_rank", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
+def _placed(rows: DataFrame, value: Column, keys: Sequence[str], within: Sequence[Column | str]) -> DataFrame:
+    """rows with _rank (from 1, by value rising, then within) and _n, by keys.
+
+    Ranks in two steps: rows are counted by ranges of the value (8192 up to 1, then 1024 for each doubling), then numbered within these, so no task sorts a whole key.
+    """
+    size = F.abs(value.cast("double"))
+    place = F.signum(value.cast("double")) * F.when(size <= 1, size * 8192).otherwise(8192 + F.log2(size) * 1024)
+    spread = rows.withColumn("_v", value).withColumn("_range", F.floor(place))
+    up = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = _by(spread, [*keys, "_range"]).agg(F.count("*").alias("_c"))
+    ranges = ranges.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_below"), F.sum("_c").over(W.partitionBy(*keys)).alias("_n"))
+    numbered = spread.withColumn("_in", F.row_number().over(W.partitionBy(*keys, "_range").orderBy("_v", *within)))
+    same = F.col("_range").eqNullSafe(F.col("_r"))
+    for j, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{j}"))
+    return numbered.join(ranges, same).withColumn("_rank", F.col("_in") + F.col("_below"))
+
+
+def top_share_accuracy(rows: DataFrame, shares: Sequence[float], first: Column, within: Sequence[Column | str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """Accuracy of the max(1, round-half-even(n * share)) rows that come first by first (a number, rising), then within."""
+    ranked = _placed(rows, first, keys, within)
     return _by(ranked, keys).agg(*[F.avg(F.when(F.col("_rank") <= F.greatest(F.lit(1.0), F.bround(F.col("_n") * s)), F.col("ok").cast("double"))).alias(f"acc_{round(100 * s)}") for s in shares])
 
 
 def escalation(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """tau, accuracy, cost: rows below tau take the slow answer (slow_ok, slow_cost added). One pass: thresholds are few and broadcast by size."""
+    """tau, accuracy, cost: rows below tau take the slow answer (slow_ok, slow_cost added). One pass: thresholds are few, and Spark broadcasts them where their size allows."""
     low = F.col("conf") < F.col("tau")
-    return rows.crossJoin(F.broadcast(thresholds)).groupBy("tau").agg(F.avg(F.when(low, F.col("slow_ok")).otherwise(F.col("ok")).cast("double")).alias("accuracy"), F.avg(F.col("cost") + F.when(low, F.col("slow_cost")).otherwise(0)).alias("cost"))
+    return rows.crossJoin(thresholds).groupBy("tau").agg(F.avg(F.when(low, F.col("slow_ok")).otherwise(F.col("ok")).cast("double")).alias("accuracy"), F.avg(F.col("cost") + F.when(low, F.col("slow_cost")).otherwise(0)).alias("cost"))
 
 
 def nearest_rank(rows: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Values at index min(n - 1, int(share * n)) of the ascending order, counting from 0."""
-    w = W.partitionBy(*keys)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_rank", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    ranked = _placed(rows.where(F.col(value).isNotNull()), F.col(value), keys, ())
     return _by(ranked, keys).agg(*[F.max(F.when(F.col("_rank") == F.least(F.col("_n"), F.floor(F.col("_n") * s) + 1), F.col(value))).alias(f"q{round(100 * s)}") for s in shares])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,20 +67,29 @@ def first_groups(rows: DataFrame, family: str, group: str, first: Column, k: int
     return rows.join(groups.drop("_first"), [family, group])
 
 
-def deal_groups(weights: DataFrame, shares: dict[str, float], seed: int) -> DataFrame:
-    """group, split: in hash order each group goes to the split with the least filled / share (ties in the order of shares).
+def fill_by_share(weights: DataFrame, shares: dict[str, float], seed: int) -> DataFrame:
+    """group, split: in hash order each group goes where least is filled for its share (ties in the order of shares); a share of 0 gets none.
 
-    The greedy rule is sequential, so groups (not rows) come to the driver: at most a million of them.
+    The rule is sequential: one task streams the groups (not rows) in hash order and holds a number for each split.
     """
-    rows = weights.select("group", F.col("weight").cast("double")).limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("over a million groups: use hash_split")
-    filled, out = dict.fromkeys(shares, 0.0), []
-    for r in sorted(rows, key=lambda r: hashlib.sha256(f"{seed}:{r['group']}".encode()).hexdigest()):
-        to = min(shares, key=lambda s: filled[s] / shares[s])
-        filled[to] += r["weight"]
-        out.append((r["group"], to))
-    return weights.sparkSession.createDataFrame(out, f"group {weights.schema['group'].dataType.simpleString()}, split string")
+    names = [s for s, x in shares.items() if x > 0]
+    if not names:
+        raise ValueError("no split has a share")
+    kind = weights.schema["group"].dataType.simpleString()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.zeros(len(names))
+        share = np.array([shares[s] for s in names])
+        for batch in batches:
+            to = []
+            for w in batch.column("weight").to_pylist():
+                k = int((level / share).argmin())
+                level[k] += w
+                to.append(names[k])
+            yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(to, pa.string())], ["group", "split"])
+
+    ordered = weights.select("group", F.col("weight").cast("double").alias("weight")).repartition(1).sortWithinPartitions(hash_order(seed, "group"))
+    return ordered.mapInArrow(fill, f"group {kind}, split string")
 
 
 def unanimous(votes: DataFrame, judges: int = 3) -> DataFrame:

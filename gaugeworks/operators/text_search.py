@@ -12,16 +12,16 @@ from gaugeworks.functions import text as T
 
 
 def gram_table(docs: DataFrame, key: str, text: str, size: int = 8) -> DataFrame:
-    """key, gram, n (the document's number of grams)."""
-    g = docs.select(key, T.grams(T.word_list(F.col(text)), size).alias("g"))
+    """key, gram (a 64-bit hash of its words), n (the document's number of grams)."""
+    g = docs.select(key, T.gram_hashes(T.word_list(F.col(text)), size).alias("g"))
     return g.select(key, F.size("g").alias("n"), F.explode("g").alias("gram"))
 
 
 def gram_overlap(records: DataFrame, items: DataFrame, size: int = 8, most_items: int | None = None, least_grams: int = 0) -> DataFrame:
     """doc_id, item_id, shared, jaccard, containment of pairs that share a gram: an inverted-index join.
 
-    Grams that more than most_items items have are dropped first (a stop-gram filter on the item side, before the join). Only grams of
-    items take part, so the record side is reduced by a semi join before anything is grouped. Items of fewer than least_grams grams,
+    Grams travel as 64-bit hashes. Those that more than most_items items have are dropped first (a stop-gram filter on the item side, before the join). The join with the
+    items' grams is the first shuffle of the record side (none, where Spark finds the items small enough to broadcast), so only shared grams are ever grouped. Items of fewer than least_grams grams,
     before or after that filter, are left out; before it, they do not count towards most_items.
     """
     r, i = gram_table(records, "doc_id", "text", size), gram_table(items, "item_id", "text", size).where(F.col("n") >= least_grams)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pandas as pd
@@ -12,31 +13,48 @@ from pyspark.sql import Window as W
 ROUNDS = 5
 
 
-def replay(events: Iterable[dict], rounds: int = ROUNDS) -> dict:
-    """The state of one id after its events in order.
+NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 
-    ``ask`` opens a question of its round; ``resolved`` answers it when the rounds agree, else it is ignored; ``final`` and ``malformed`` end the
-    log and what follows is ignored. After ``rounds`` asks without an end the last resolved value counts.
+
+def last_number(text: str | None) -> str | None:
+    """The last number of a text, as it stands but for $, % and commas."""
+    found = re.findall(NUMBER, re.sub("[$%,]", "", text or ""))
+    return found[-1] if found else None
+
+
+def replay(events: Iterable[dict], rounds: int = ROUNDS, state: dict | None = None) -> dict:
+    """The state of one id after its events in order; with state, carried on from there.
+
+    ``ask``, ``final`` and ``malformed`` are calls: they count with their tokens and set the round. ``ask`` opens a question of its round; ``resolved`` answers it
+    when the rounds agree, else it is ignored. ``final`` (with its value) and ``malformed`` (with the last number of the last answer) end the
+    log, and what follows is ignored. A log that has reached ``rounds`` without an end is exhausted, with the last number of its last answer.
     """
-    state = {"status": "active", "round": 0, "pending": None, "value": None, "calls": 0, "tokens": 0, "last": None, "picks": ""}
+    state = dict(state or {"status": "active", "round": 0, "pending": None, "value": None, "calls": 0, "tokens": 0, "last": None, "picks": ""})
     for e in events:
+        kind = e["type"]
         if state["status"] in ("final", "malformed"):
             break
-        kind = e["type"]
-        state["tokens"] += int(e.get("n_tokens") or 0)
-        if kind == "ask":
-            state["calls"] += 1
-            state["pending"] = state["round"] = int(e["round"])
-        elif kind == "resolved":
-            if state["pending"] is not None and int(e["round"]) == state["pending"]:
+        if kind == "resolved":
+            if state["pending"] is not None and e["round"] is not None and int(e["round"]) == state["pending"]:
                 state["last"], state["pending"] = e.get("value"), None
                 state["picks"] += e.get("chosen_key") or ""
-        elif kind == "final":
-            state["status"], state["value"] = "final", e.get("value")
-        elif kind == "malformed":
-            state["status"] = "malformed"
-    if state["status"] == "active" and state["pending"] is None and state["calls"] >= rounds:
-        state["status"], state["value"] = "exhausted", state["last"]
+            continue
+        if kind not in ("ask", "final", "malformed"):
+            continue
+        state["calls"] += 1
+        state["tokens"] += int(e.get("n_tokens") or 0)
+        state["round"] = int(e.get("round") or 0)
+        if kind == "ask":
+            state["pending"] = state["round"]
+        else:
+            state["status"], state["value"] = kind, e.get("value") if kind == "final" else last_number(state["last"])
+    return state
+
+
+def closed(state: dict, rounds: int = ROUNDS) -> dict:
+    """The state as a report shows it: exhausted where its rounds are used up without an end."""
+    if state["status"] == "active" and state["round"] >= rounds:
+        return state | {"status": "exhausted", "value": last_number(state["last"])}
     return state
 
 
@@ -52,7 +70,7 @@ def replay_logs(events: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        return pd.DataFrame([state_row(pdf["id"].iloc[0], replay(pdf.astype(object).where(pdf.notna(), None).to_dict("records"), rounds))])
+        return pd.DataFrame([state_row(pdf["id"].iloc[0], closed(replay(pdf.astype(object).where(pdf.notna(), None).to_dict("records"), rounds), rounds))])
 
     return events.groupBy("id").applyInPandas(run, STATE)
 
@@ -72,14 +90,15 @@ def replay_declared(events: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     live = live.withColumn("_turn", turn)
     first = F.row_number().over(W.partitionBy("id", "_turn", "_m").orderBy("seq"))
     live = live.withColumn("_counts", F.col("_m") & (first == 1) & (F.col("_turn") > 0))
+    call = F.col("type").isin("ask", "final", "malformed")
     out = live.groupBy("id").agg(
-        F.max_by("type", "seq").alias("end"), F.coalesce(F.max_by(F.when(F.col("type") == "ask", F.col("round")), F.when(F.col("type") == "ask", F.col("seq"))), F.lit(0)).alias("round"), F.count_if(F.col("type") == "ask").cast("int").alias("calls"), F.sum(F.coalesce("n_tokens", F.lit(0))).cast("long").alias("tokens"),
-        F.max_by(F.when(F.col("type") == "final", F.col("value")), F.when(F.col("type") == "final", F.col("seq"))).alias("final"), F.max_by(F.when(F.col("_counts"), F.col("value")), F.when(F.col("_counts"), F.col("seq"))).alias("last"),
-        F.max(F.when(F.col("_counts"), F.col("_turn"))).alias("answered"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_counts"), F.struct("seq", F.coalesce("chosen_key", F.lit("")).alias("k"))))), lambda s: s["k"]), "").alias("picks"),
+        F.max_by("type", F.when(call, F.col("seq"))).alias("end"), F.coalesce(F.max_by(F.coalesce("round", F.lit(0)), F.when(call, F.col("seq"))), F.lit(0)).alias("round"), F.count_if(call).cast("int").alias("calls"), F.sum(F.when(call, F.coalesce("n_tokens", F.lit(0))).otherwise(0)).cast("long").alias("tokens"),
+        F.max_by("value", F.when(F.col("type") == "final", F.col("seq"))).alias("final"), F.max_by("value", F.when(F.col("_counts"), F.col("seq"))).alias("last"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_counts"), F.struct("seq", F.coalesce("chosen_key", F.lit("")).alias("k"))))), lambda s: s["k"]), "").alias("picks"),
     )
-    done = F.coalesce(F.col("answered") == F.col("calls"), F.lit(False)) & (F.col("calls") >= rounds)
-    status = F.when(F.col("end").isin("final", "malformed"), F.col("end")).when(done, "exhausted").otherwise("active")
-    return out.select("id", status.alias("status"), F.col("round").cast("int").alias("round"), "calls", "tokens", F.when(status == "final", F.col("final")).when(status == "exhausted", F.col("last")).alias("value"), "picks")
+    status = F.when(F.col("end").isin("final", "malformed"), F.col("end")).when(F.col("round") >= rounds, "exhausted").otherwise("active")
+    number = F.try_element_at(F.regexp_extract_all(F.regexp_replace("last", "[$%,]", ""), F.lit(f"({NUMBER})"), F.lit(1)), F.lit(-1))
+    return out.select("id", status.alias("status"), F.col("round").cast("int").alias("round"), "calls", "tokens", F.when(status == "final", F.col("final")).when(status.isin("malformed", "exhausted"), number).alias("value"), "picks")
 
 
 def lease_state(heartbeat: Column, ended: Column, now: Column, fresh_seconds: int = 900) -> Column:

@@ -90,7 +90,10 @@ def selective(spark, sf):
     return rounded(metrics.selective(scored(spark, sf), keys=["task"]))
 
 
-@query("a10_calibration_by_length", f"{WITH}, b(bucket, lo, hi) AS (VALUES ('under_8k', 0, 8000), ('8k_16k', 8000, 16000), ('16k_32k', 16000, 32000), ('32k_64k', 32000, 64000), ('64k_plus', 64000, NULL), ('8k_plus', 8000, NULL), ('16k_plus', 16000, NULL), ('32k_plus', 32000, NULL)), x AS (SELECT * FROM b JOIN preds ON length >= lo AND (hi IS NULL OR length < hi)) SELECT b.bucket, CAST(coalesce(n, 0) AS BIGINT) AS n, round(acc, 6) AS acc, round(mean_conf, 6) AS mean_conf, round(ece, 6) AS ece FROM b LEFT JOIN (SELECT bucket, count(*) AS n, avg(CAST(ok AS INT)) AS acc, avg(conf) AS mean_conf FROM x GROUP BY bucket) m USING (bucket) LEFT JOIN {ece_sql('bucket', 'x')} e USING (bucket)")
+LENGTH_SQL = ", ".join(f"('{name}', {lo}, {'NULL' if hi is None else hi})" for name, lo, hi in metrics.length_buckets())
+
+
+@query("a10_calibration_by_length", f"{WITH}, b(bucket, lo, hi) AS (VALUES {LENGTH_SQL}), x AS (SELECT * FROM b JOIN preds ON length >= lo AND (hi IS NULL OR length < hi)) SELECT b.bucket, CAST(coalesce(n, 0) AS BIGINT) AS n, round(acc, 6) AS acc, round(mean_conf, 6) AS mean_conf, round(brier, 6) AS brier, round(wrong, 6) AS confident_error_rate, round(ece, 6) AS ece FROM b LEFT JOIN (SELECT bucket, count(*) AS n, avg(CAST(ok AS INT)) AS acc, avg(conf) AS mean_conf, avg(brier) AS brier, avg(CAST(conf >= 0.9 AND NOT ok AS INT)) AS wrong FROM x GROUP BY bucket) m USING (bucket) LEFT JOIN {ece_sql('bucket', 'x')} e USING (bucket)")
 def calibration_by_length(spark, sf):
     return rounded(metrics.by_length(scored(spark, sf)))
 
@@ -127,11 +130,11 @@ def tempered(spark, sf):
     return rounded(calibrate.served(rows, 2.0).select("id", F.array_max("p").alias("conf2"), F.get("p", F.col("label")).alias("p_label2"), "nll2"))
 
 
-@query("l04_raw_of_served", f"{WITH} SELECT id, true AS same, 1.0::DOUBLE AS inference_temperature FROM preds")
+@query("l04_raw_of_served", f"{WITH} SELECT id, list_max(p) AS conf, 1.0::DOUBLE AS inference_temperature FROM preds")
 def raw_of_served(spark, sf):
-    """Raw of served is the row as it was."""
-    rows = calibrate.served(prediction_rows(spark, sf).withColumn("was", F.array_max("p")), 2.0)
-    return calibrate.raw(rows).select("id", (F.abs(F.array_max("p") - F.col("was")) < 1e-5).alias("same"), "inference_temperature")
+    """Raw of served is the row as it was: served at 2, restored, and held against the probabilities of the raw logits."""
+    rows = calibrate.served(prediction_rows(spark, sf), 2.0)
+    return calibrate.raw(rows).select("id", F.round(F.array_max("p"), 6).alias("conf"), "inference_temperature")
 
 
 @query("a15_mcnemar", None)
@@ -185,7 +188,7 @@ def position_bias(spark, sf):
 
 @query("a29_selective_accuracy", f"{WITH}, x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY conf DESC, vec_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM preds) SELECT source, " + ", ".join(f"round(avg(CASE WHEN k <= greatest(1, round_even(n * {s}, 0)) THEN CAST(ok AS INT) END), 6) AS acc_{round(100 * s)}" for s in (1.0, 0.8, 0.6)) + " FROM x GROUP BY source")
 def selective_accuracy(spark, sf):
-    return rounded(metrics.top_share_accuracy(scored(spark, sf), (1.0, 0.8, 0.6), [F.desc("conf"), F.col("vec_id")], ["source"]))
+    return rounded(metrics.top_share_accuracy(scored(spark, sf), (1.0, 0.8, 0.6), -F.col("conf"), ["vec_id"], ["source"]))
 
 
 @query("a37_nearest_rank", f"{WITH}, x AS (SELECT task, length, row_number() OVER (PARTITION BY task ORDER BY length) AS k, count(*) OVER (PARTITION BY task) AS n FROM preds) SELECT task, " + ", ".join(f"max(CASE WHEN k = least(n, CAST(floor(n * {s}) AS BIGINT) + 1) THEN length END) AS q{round(100 * s)}" for s in (0.05, 0.5, 0.95)) + " FROM x GROUP BY task")

@@ -14,15 +14,8 @@ def option_names():
     return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: k.cast("string"))
 
 
-@query("a23_release_candidates", "WITH t AS (SELECT o_custkey % 200 AS recipe, o_orderkey % 4 AS seed, o_totalprice > 20000 AS g1, o_orderstatus <> 'P' AS g2 FROM orders WHERE o_orderkey % 17 = 1) SELECT recipe, count(DISTINCT seed) AS seeds, bool_and(g1 AND g2) AND count(DISTINCT seed) >= 2 AS candidate FROM t GROUP BY recipe")
+@query("a23_release_candidates", "WITH t AS (SELECT o_custkey AS recipe, o_orderkey % 4 AS seed, o_totalprice > 20000 AS g1, o_orderstatus <> 'P' AS g2 FROM orders) SELECT recipe, count(DISTINCT seed) AS seeds, bool_and(g1 AND g2) AND count(DISTINCT seed) >= 2 AS candidate FROM t GROUP BY recipe")
 def release_candidates(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 17 = 1")
-    t = o.select((F.col("o_custkey") % 200).alias("recipe"), (F.col("o_orderkey") % 4).alias("seed"), (F.col("o_totalprice") > 20000).alias("g1"), (F.col("o_orderstatus") != "P").alias("g2"))
-    return reports.release_candidates(t, ["g1", "g2"])
-
-
-@query("a23_release_candidates_all_orders", "WITH t AS (SELECT o_custkey AS recipe, o_orderkey % 4 AS seed, o_totalprice > 20000 AS g1, o_orderstatus <> 'P' AS g2 FROM orders) SELECT recipe, count(DISTINCT seed) AS seeds, bool_and(g1 AND g2) AND count(DISTINCT seed) >= 2 AS candidate FROM t GROUP BY recipe")
-def release_candidates_all_orders(spark, sf):
     """Over every order. A recipe is a customer: with 200 recipes, each has so many orders that one fails a gate in all of them."""
     o = spark.read.parquet(f"{sf}/orders.parquet")
     t = o.select(F.col("o_custkey").alias("recipe"), (F.col("o_orderkey") % 4).alias("seed"), (F.col("o_totalprice") > 20000).alias("g1"), (F.col("o_orderstatus") != "P").alias("g2"))

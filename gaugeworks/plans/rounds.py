@@ -1,31 +1,32 @@
 """The read-out language: panels of rows, metrics of a candidate and its parent, paired intervals, criteria, ranking.
 
-A spec is a dict (or its JSON)::
+A spec is a dict (or its JSON), with the words of the registered specs (fixed values)::
 
     panels    {name: {sources, exclude_sources, exclude_tasks, exclude: [ids, groups, sources or tasks]}}
     criteria  [{left, op, right[, plus]}]   left: a path or [a, b] for a - b; right: a number or a path; op: > >= < <=
-    rank      [{path, order: asc or desc}]
+    rank      [{by: a path or a list of paths that are summed, order: asc or desc}]
     samples   resamples of the paired interval
 
 A path is ``panel.metric.side`` with side candidate, parent, delta, lower or upper. analyse() lists all problems of a spec and never
-raises; compare() plans every panel and both sides in one pass over each row set; a missing value makes a criterion unknown (None).
+raises; compare() plans every panel and both sides in one pass over each row set. Criteria and rank keys are tables of signed paths, joined with the values and summed, so all arms are
+judged by one plan; a missing value makes a criterion unknown (null).
 """
 
 from __future__ import annotations
 
 import json
-import operator
 from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gaugeworks.operators import metrics, paired
 
 METRICS = ("n", "nll", "acc", "ece", "brier", "mean_conf", "confident_error_rate", "coverage_at_0_9", "coverage_at_5", "coverage_at_1", "aurc", "confidence_bias")
 PAIRED, SIDES = ("nll", "acc"), ("candidate", "parent", "delta", "lower", "upper")
-OPS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+OPS = (">", ">=", "<", "<=")
 
 
 def load(text: str) -> dict:
@@ -84,7 +85,8 @@ def analyse(spec: Mapping) -> list[str]:
         if not isinstance(c.get("right"), (int, float, str)) or isinstance(c.get("right"), bool):
             out.append("criterion: right must be a number or a path")
         out += [p for x in paths_of(c) if (p := path_problem(x, panels))]
-    out += [p for r in spec.get("rank") or [] if (p := path_problem(r.get("path"), panels))]
+    by = [x for r in spec.get("rank") or [] for key in [r.get("by", r.get("path"))] for x in (key if isinstance(key, list) else [key])]
+    out += [p for x in by if (p := path_problem(x, panels))]
     return out
 
 
@@ -113,40 +115,86 @@ def compare(candidate: DataFrame, parent: DataFrame, spec: Mapping) -> DataFrame
     return out
 
 
-def values(report: DataFrame) -> dict[str, float | None]:
-    """The long table by path: panels * metrics * sides rows."""
-    return {f"{r['panel']}.{r['metric']}.{r['side']}": r["value"] for r in report.collect()}
+def with_path(report: DataFrame) -> DataFrame:
+    return report.withColumn("path", F.concat_ws(".", "panel", "metric", "side"))
 
 
-def criterion(c: Mapping, found: Mapping[str, float | None]) -> bool | None:
-    """True, False, or None where a value is missing."""
-    left = [found.get(p) for p in (c["left"] if isinstance(c["left"], list) else [c["left"]])]
-    right = found.get(c["right"]) if isinstance(c["right"], str) else c["right"]
-    if None in left or right is None:
-        return None
-    return OPS[c["op"]](left[0] - left[1] if len(left) == 2 else left[0], right + c.get("plus", 0))
+def values(report: DataFrame) -> dict[str, float | None]:
+    """The long table by path: panels * metrics * sides rows."""
+    return {r["path"]: r["value"] for r in with_path(report).collect()}
+
+
+def _signed_sums(report: DataFrame, terms: list[tuple[int, str, float]], constants: list[tuple[int, float]]) -> DataFrame:
+    """arm, k, total: for each k the constant and its signed paths' values summed; null where one is missing. report has arm, path and value."""
+    spark = report.sparkSession
+    arms = report.select("arm").distinct()
+    t = spark.createDataFrame(terms, "k int, path string, sign double")
+    found = arms.crossJoin(t).join(report.select("arm", "path", "value"), ["arm", "path"], "left")  # arms * terms, both few
+    sums = found.groupBy("arm", "k").agg(F.sum(F.col("sign") * F.col("value")).alias("s"), F.count_if(F.col("value").isNull()).alias("gone"))
+    c = arms.crossJoin(spark.createDataFrame(constants, "k int, c double"))
+    return c.join(sums, ["arm", "k"], "left").select("arm", "k", F.when(F.coalesce("gone", F.lit(0)) == 0, F.coalesce("s", F.lit(0.0)) + F.col("c")).alias("total"))
+
+
+def criteria(report: DataFrame, spec: Mapping) -> DataFrame:
+    """arm, k, holds: every criterion as (left side less right side) op 0; null where a value is missing."""
+    rows = spec.get("criteria") or []
+    terms, constants, ops = [], [], []
+    for k, c in enumerate(rows):
+        sides = c["left"] if isinstance(c["left"], list) else [c["left"]]
+        terms += [(k, x, 1.0 if j == 0 else -1.0) for j, x in enumerate(sides)]
+        constant = -float(c.get("plus", 0))
+        if isinstance(c["right"], str):
+            terms.append((k, c["right"], -1.0))
+        else:
+            constant -= float(c["right"])
+        constants.append((k, constant))
+        ops.append((k, c["op"]))
+    gap, x = F.col("total"), F.col("op")
+    # a difference of doubles that is only rounding counts as equal
+    gap = F.when(F.abs(gap) < 1e-12, 0.0).otherwise(gap)
+    holds = F.when(x == ">", gap > 0).when(x == ">=", gap >= 0).when(x == "<", gap < 0).when(x == "<=", gap <= 0)
+    sums = _signed_sums(report, terms, constants).join(report.sparkSession.createDataFrame(ops, "k int, op string"), "k")
+    return sums.select("arm", "k", holds.alias("holds"))
+
+
+def judged(report: DataFrame, spec: Mapping) -> DataFrame:
+    """arm, passed, criteria, place, keys of a report with arm, path and value: passing arms are placed by the rank keys, ties by name."""
+    arms = report.select("arm").distinct()
+    if spec.get("criteria"):
+        each = criteria(report, spec).groupBy("arm").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "holds"))), lambda s: s["holds"]).alias("criteria"), F.count_if(F.col("holds").isNull()).alias("gone"), F.bool_and("holds").alias("all"))
+        out = each.select("arm", F.when(F.col("gone") == 0, F.col("all")).alias("passed"), "criteria")
+    else:
+        out = arms.select("arm", F.lit(None).cast("boolean").alias("passed"), F.array().cast("array<boolean>").alias("criteria"))
+    keys = spec.get("rank") or []
+    if keys:
+        paths = [r.get("by", r.get("path")) for r in keys]
+        terms = [(k, x, 1.0) for k, by in enumerate(paths) for x in (by if isinstance(by, list) else [by])]
+        sums = _signed_sums(report, terms, [(k, 0.0) for k in range(len(keys))])
+        sums = sums.groupBy("arm").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "total"))), lambda s: s["total"]).alias("keys"))
+    else:
+        sums = arms.select("arm", F.array().cast("array<double>").alias("keys"))
+    order = [F.get("keys", F.lit(k)).asc_nulls_last() if r.get("order", "desc") == "asc" else F.get("keys", F.lit(k)).desc_nulls_last() for k, r in enumerate(keys)]
+    out = out.join(sums, "arm")
+    place = F.row_number().over(W.partitionBy(F.coalesce("passed", F.lit(False))).orderBy(*order, "arm"))  # a row an arm
+    return out.select("arm", "passed", "criteria", F.when(F.col("passed"), place).alias("place"), "keys")
+
+
+def reports(candidates: Mapping[str, DataFrame], parent: DataFrame, spec: Mapping) -> DataFrame:
+    """arm, panel, metric, side, value, path of every arm against the parent: a table of as many rows as the spec has values, made once and then local."""
+    each = [with_path(compare(df, parent, spec)).select(F.lit(arm).alias("arm"), "panel", "metric", "side", "value", "path") for arm, df in candidates.items()]
+    found = reduce(DataFrame.union, each)
+    return found.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def read_out(candidates: Mapping[str, DataFrame], parent: DataFrame, spec: Mapping) -> DataFrame:
-    """arm, passed, criteria, place, and the values ranked by: every arm's verdict; passing arms are placed by the rank keys."""
+    """judged() of the reports of all arms; a spec with problems is refused with all of them."""
     if problems := analyse(spec):
         raise ValueError("; ".join(problems))
-    rows = []
-    for arm, df in candidates.items():
-        found = values(compare(df, parent, spec))
-        checks = [criterion(c, found) for c in spec.get("criteria") or []]
-        passed = None if None in checks or not checks else all(checks)
-        keys = [found.get(r["path"]) for r in spec.get("rank") or []]
-        order = [(k is None, (-k if r.get("order", "desc") == "desc" else k) if k is not None else 0) for k, r in zip(keys, spec.get("rank") or [])]
-        rows.append((arm, passed, [c for c in checks], keys, order))
-    placed = {r[0]: k + 1 for k, r in enumerate(sorted((r for r in rows if r[1]), key=lambda r: (r[4], r[0])))}
-    return parent.sparkSession.createDataFrame([(r[0], r[1], r[2], placed.get(r[0]), r[3]) for r in rows], "arm string, passed boolean, criteria array<boolean>, place int, keys array<double>")
+    return judged(reports(candidates, parent, spec), spec)
 
 
 def validated_context(buckets: DataFrame, margin: float) -> DataFrame:
     """context: the upper end of the longest unbroken chain of buckets (lo, hi, lower, complete), from the shortest on, with lower >= margin."""
-    from pyspark.sql import Window as W
-
     good = (F.col("lower") >= margin) & F.col("complete")
     chain = F.bool_and(good).over(W.orderBy("lo").rowsBetween(W.unboundedPreceding, 0))  # a row a bucket
     return buckets.withColumn("ok", chain).agg(F.max(F.when(F.col("ok"), F.col("hi"))).alias("context"))
@@ -155,9 +203,10 @@ def validated_context(buckets: DataFrame, margin: float) -> DataFrame:
 def closure(parts: DataFrame, most: int = 50) -> DataFrame:
     """suite, component: everything that a suite holds, through components of components."""
     out = parts.select("suite", "component").distinct()
-    for _ in range(most):
+    for _ in range(most):  # suites are few, and nest a few deep
         more = out.join(parts.select(F.col("suite").alias("component"), F.col("component").alias("next")), "component").select("suite", F.col("next").alias("component")).join(out, ["suite", "component"], "left_anti").distinct()
-        out = out.union(more).cache()
+        now = out.union(more)
         if not more.limit(1).count():
             return out
+        out = now
     raise ValueError("components go round in a circle or too deep")

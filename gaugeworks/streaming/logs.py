@@ -10,31 +10,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gaugeworks.operators.traces import ROUNDS, STATE, replay, state_row
+from gaugeworks.operators.traces import ROUNDS, STATE, closed, replay, state_row
 
 EVENT = "id string, seq long, type string, round int, n_tokens long, value string, chosen_key string"
 
 
 def replay_stream(events: DataFrame, rounds: int = ROUNDS, idle: str | None = None) -> DataFrame:
-    """STATE of each id with new events, updated by micro-batch. The state is the id's events so far, which a finished log no longer adds to.
+    """STATE of each id with new events, updated by micro-batch. What is kept of an id is its folded state (a few fields and the last event's number), never its events.
 
-    With idle (as '10 minutes'), an id without events for that long is given out once more, as exhausted when its rounds are used up, and forgotten.
+    Events come in order from batch to batch (a log is appended to) and in any order within one; an event with a number already folded is a repeat and is passed over. With idle
+    (as '10 minutes'), an id without events for that long is given out once more and forgotten.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        had = json.loads(state.get[0]) if state.exists else []
+        now = json.loads(state.get[0]) if state.exists else None
         if state.hasTimedOut:
-            s = replay(had, rounds)
             state.remove()
-            yield pd.DataFrame([state_row(key[0], s)])
+            yield pd.DataFrame([state_row(key[0], closed(now, rounds))])
             return
-        new = [r for b in batches for r in b.astype(object).where(b.notna(), None).to_dict("records")]
-        if not had or replay(had, rounds)["status"] not in ("final", "malformed"):
-            had = sorted(had + [{k: (int(v) if k in ("seq", "round", "n_tokens") and v is not None else v) for k, v in r.items()} for r in new], key=lambda r: r["seq"])
-            state.update((json.dumps(had),))
+        last = now.pop("seq") if now else -1
+        new = [r for b in batches for r in b.astype(object).where(b.notna(), None).to_dict("records") if r["seq"] > last]
+        now = replay(sorted(new, key=lambda r: r["seq"]), rounds, now)
+        state.update((json.dumps(now | {"seq": max([last, *(int(r["seq"]) for r in new)])}),))
         if idle:
             state.setTimeoutDuration(idle)
-        yield pd.DataFrame([state_row(key[0], replay(had, rounds))])
+        yield pd.DataFrame([state_row(key[0], closed(now, rounds))])
 
     return events.groupBy("id").applyInPandasWithState(step, STATE, "log string", "update", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 

@@ -23,7 +23,15 @@ def test_coverage_moves_tie_blocks(spark):
     r = rows(spark, [0.99] * 100, [True] * 90 + [False] * 10)
     got = metrics.coverage_at_error(r, (0.05, 0.10)).first()
     assert (got["coverage_at_5"], got["coverage_at_10"]) == (0.0, 1.0)
-    assert metrics.coverage_at_error(r.limit(0), (0.05,)).first()["coverage_at_5"] in (0.0, None)
+    assert metrics.coverage_at_error(r.limit(0), (0.05,)).first()["coverage_at_5"] == 0.0
+    for bad in (float("nan"), 1.5, -0.1):
+        with pytest.raises(Exception, match="confidence must be"):
+            metrics.coverage_at_error(rows(spark, [0.5, bad], [True, True]), (0.05,)).collect()
+    for budget in (-0.1, 1.1, float("nan")):
+        with pytest.raises(ValueError):
+            metrics.coverage_at_error(r, (budget,))
+    with pytest.raises(ValueError):
+        metrics.select_threshold(r, 0.1, 0)
 
 
 def test_risk_curve(spark):
@@ -56,11 +64,28 @@ def test_top_bins_and_bias(spark):
 def test_lengths(spark):
     length = [[100, 9000, 20000, 40000][k % 4] for k in range(40)]
     length[0] = 70000
-    r = spark.createDataFrame([(n, 0.5, True) for n in length], "length long, conf double, ok boolean")
+    r = spark.createDataFrame([(n, 0.5, True, 0.25) for n in length], "length long, conf double, ok boolean, brier double")
     got = {x["bucket"]: x["n"] for x in metrics.by_length(r).collect()}
     assert got == {"under_8k": 9, "8k_16k": 10, "16k_32k": 10, "32k_64k": 10, "64k_plus": 1, "8k_plus": 31, "16k_plus": 21, "32k_plus": 11}
     empty = {x["bucket"]: (x["n"], x["acc"]) for x in metrics.by_length(r.where("length < 200")).collect()}
     assert empty["64k_plus"] == (0, None) and empty["under_8k"][0] == 9
+    edge = {x["bucket"]: x["n"] for x in metrics.by_length(r.limit(2).withColumn("length", F.when(F.col("length") == 70000, 8191).otherwise(8192).cast("long"))).collect()}
+    assert edge["under_8k"] == 1 and edge["8k_16k"] == 1
+    assert [b[0] for b in metrics.length_buckets((1024, 4096))] == ["under_1k", "1k_4k", "4k_plus", "1k_plus"]
+    for bad in ((), (2048, 1024), (1000,)):
+        with pytest.raises(ValueError):
+            metrics.length_buckets(bad)
+
+
+def test_ranks_in_two_steps(spark):
+    import random
+
+    r = random.Random(6)
+    data = [(k % 3, r.choice([r.uniform(-2, 2), r.uniform(-1e6, 1e6), float(r.randrange(5))])) for k in range(400)]
+    got = {x["g"]: x for x in metrics.nearest_rank(spark.createDataFrame(data, "g int, v double"), "v", (0.05, 0.5, 0.95, 1.0), ["g"]).collect()}
+    for g in range(3):
+        v = sorted(x for k, x in data if k == g)
+        assert [got[g][f"q{q}"] for q in (5, 50, 95, 100)] == [v[min(len(v) - 1, int(s * len(v)))] for s in (0.05, 0.5, 0.95, 1.0)]
 
 
 def test_calibration_edges_are_the_float_ones(spark):

@@ -18,15 +18,16 @@ def test_arrays_within_prose():
 
 
 def test_programs():
-    assert parsing.run_program("v1 = add(2, 3)\nv2 = div(v1, 2)\nANSWER v2") == (2.5, None)
-    assert [parsing.run_program(t)[1] for t in ("v1 = div(1, 0)\nANSWER v1", "ANSWER v9", "v1 = add(1, 2)", "oops", None)] == ["division by zero", "unknown name", "no answer", "bad line", "no answer"]
+    assert parsing.run_program("v1 = add(2, 3)\nsome words\nV2 = DIV(v1, 2)\nANSWER v2\nANSWER v9") == (2.5, None)
+    assert parsing.run_program("v1 = add($1,000, 3)")[1] == "no_program" and parsing.run_program("v1 = add($1, 3)\nanswer v01") == (4.0, None)
+    assert [parsing.run_program(t)[1] for t in ("v1 = div(1, 0)\nANSWER v1", "ANSWER v9", "v1 = add(1, 2)", "oops", None, "v1 = add(v7, 1)", "v1 = add(x, 1)")] == ["div_by_zero", "undefined_var", "no_answer_line", "no_program", "no_program", "undefined_var", "undefined_var"]
 
 
 def test_boards_and_diffs(spark):
     fen = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
     assert parsing.board(fen).split("\n")[2] == "........" and parsing.board("8/8") is None
     df = spark.createDataFrame([(fen, "a\nb", "a\nc")], "fen string, x string, y string")
-    r = df.select(parsing.game_phase(F.col("fen")).alias("p"), parsing.text_diff(F.col("x"), F.col("y")).alias("d"), parsing.chess_board(F.col("fen")).alias("b"), parsing.program_result(F.lit("ANSWER 4")).alias("v")).first()
+    r = df.select(parsing.game_phase(F.col("fen")).alias("p"), parsing.text_diff(F.col("x"), F.col("y")).alias("d"), parsing.chess_board(F.col("fen")).alias("b"), parsing.program_result(F.lit("v1 = add(2, 2)\nANSWER v1")).alias("v")).first()
     assert r["p"] == "opening" and "-b\n+c" in r["d"] and r["b"].startswith("rnbqkbnr") and r["v"]["value"] == 4.0
 
 

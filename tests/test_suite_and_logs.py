@@ -1,6 +1,7 @@
 """Suite construction, text, logs, sources, read-outs, streams on small made-up rows."""
 
 import json
+import hashlib
 import random
 import struct
 import zipfile
@@ -27,7 +28,11 @@ def test_text_functions(spark):
     assert v(T.clean_html, "<p>a<br/>b</p>") == "a b" and v(lambda c: T.cut_at_word(c, 6), "one two three") == "one …"
     assert v(T.last_number, "a 1,200 then -3.5%") == -3.5 and v(T.last_number, "none") is None
     assert v(T.choice_letter, "The answer is (c).") == "C" and v(T.choice_letter, "so (B) it is") == "B" and v(T.choice_letter, "A or D") == "D" and v(T.choice_letter, "no") is None
-    assert v(T.commit_type, "feat(ui)!: thing") == "feature" and v(T.commit_type, "Fixed crash") == "fix" and v(T.commit_type, "") == "other"
+    assert v(T.commit_type, "feat(ui)!: thing") == "feature" and v(T.commit_type, "Fixed crash") == "fix" and v(T.commit_type, "") is None
+    for subject, want in (("Add unit tests for x", "test"), ("update the README", "docs"), ("fix docs", "fix"), ("perf: spec", "test"), ("chore: x", None), ("7 fixes", None), ("`add` a thing", "feature"), ("Adding", "feature"), ("docs(a): tests", "docs")):
+        assert v(T.commit_type, subject) == want, subject
+    for text in ("ΣΑΣ ς", "ﬁne ŉ ǰ", "ı İ ſ µ", "a\u00a0b\u2003c\x1fd\x85e", "Ꭰ ꭰ ẞ ß", "ÀÉÖ", "\u1e9e\u0345x"):
+        assert v(T.normalised, text) == " ".join(text.casefold().split()), text
     assert v(T.date_facts, "2024-01-05 x 2024-01-01, 2024-01-05") == "2024-01-05 to 2024-01-01: 4 days" and v(T.date_facts, "2024-01-05") == ""
     assert v(T.neutral_tokens, "<|end|> a") == "<end> a" and v(T.line_safe, "a\nb") and not v(T.line_safe, "a b")
     assert [value(spark, T.roman, n, "int") for n in (4, 9, 1994, 3999)] == ["IV", "IX", "MCMXCIV", "MMMCMXCIX"]
@@ -66,8 +71,16 @@ def test_selection(spark):
 def test_quotas_and_deals(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 10), ("c", 1)], "k string, n long")
     assert sum(r["quota"] for r in suite.quotas(sizes, "k", "n", 10).collect()) == 10
-    got = suite.deal_groups(spark.createDataFrame([(str(k), 1.0) for k in range(100)], "group string, weight double"), {"train": 0.7, "test": 0.3}, 3)
+    got = suite.fill_by_share(spark.createDataFrame([(str(k), 1.0) for k in range(100)], "group string, weight double"), {"train": 0.7, "test": 0.3}, 3)
     assert {r["split"]: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 70, "test": 30}
+    # against the rule written out, with uneven weights, a share of nothing and ties
+    weights, shares = {f"g{k}": float(k * k % 11) for k in range(60)}, {"a": 0.5, "none": 0.0, "b": 0.25, "c": 0.25}
+    filled, want = dict.fromkeys(shares, 0.0), {}
+    for g in sorted(weights, key=lambda g: hashlib.sha256(f"5:{g}".encode()).hexdigest()):
+        want[g] = min((x for x in shares if shares[x]), key=lambda x: filled[x] / shares[x])
+        filled[want[g]] += weights[g]
+    df = spark.createDataFrame(list(weights.items()), "group string, weight double").repartition(3)
+    assert {r["group"]: r["split"] for r in suite.fill_by_share(df, shares, 5).collect()} == want
 
 
 def test_votes(spark):
@@ -92,7 +105,9 @@ def test_rules_and_negation(spark):
         t = tree(3)
         got = facts.select(logic.rule(t, atoms).alias("x"), logic.rule(logic.push_negation(t), atoms).alias("y"), logic.rule(logic.push_negation(("not", t)), atoms).alias("n")).collect()
         assert all(x["x"] == x["y"] and x["n"] == (None if x["x"] is None else not x["x"]) for x in got)
-    assert logic.canonical(("and", "b", ("or", "c", "a"))) == logic.canonical(("and", ("or", "a", "c"), "b"))
+    assert logic.canonical(("and", "b", ("or", "c", "a"))) == logic.canonical(("and", ("or", "x", "y"), "z"))
+    assert logic.canonical(("or", ("and", "a", "b"), ("not", "c"))) == logic.canonical(("or", ("not", "c"), ("and", "b", "a"))) == "or(and(0,1),not(2))"
+    assert logic.canonical(("and", "a", "a")) != logic.canonical(("and", "a", "b")) and logic.canonical(("if", "a", "b", "c")) != logic.canonical(("unless", "a", "b"))
 
 
 EVENTS = "id string, seq long, type string, round int, n_tokens long, value string, chosen_key string"
@@ -113,9 +128,15 @@ def test_replay_declared_is_the_fold(spark):
 def test_replay_cases():
     ask, res, fin = (lambda n: {"type": "ask", "round": n}), (lambda n, v: {"type": "resolved", "round": n, "value": v}), {"type": "final", "value": "z"}
     assert traces.replay([ask(1), res(2, "x"), res(1, "y"), fin, ask(2)])["value"] == "z"
+    # calls and tokens are those of ask, final and malformed, which all set the round; a malformed log has the last number of its last answer
+    s = traces.replay([ask(1) | {"n_tokens": 7}, res(1, "about $1,250.5 or 3") | {"n_tokens": 100}, {"type": "malformed", "round": 2, "n_tokens": 5}])
+    assert (s["status"], s["value"], s["calls"], s["tokens"], s["round"]) == ("malformed", "3", 2, 12, 2)
+    assert traces.replay([{"type": "malformed", "round": 1}])["value"] is None
+    # rounds that are used up end a log even when its last ask is open
+    assert traces.closed(traces.replay([ask(5)]))["status"] == "exhausted" and traces.closed(traces.replay([ask(4)]))["status"] == "active"
     assert traces.replay([res(1, "x"), ask(1)])["last"] is None
-    s = traces.replay([x for k in range(1, 6) for x in (ask(k), res(k, f"v{k}"))])
-    assert (s["status"], s["value"]) == ("exhausted", "v5")
+    s = traces.closed(traces.replay([x for k in range(1, 6) for x in (ask(k), res(k, f"v{k}"))]))
+    assert (s["status"], s["value"]) == ("exhausted", "5")
 
 
 def test_replay_stream(spark, tmp_path):
@@ -200,7 +221,12 @@ def test_read_out(spark):
     assert got["better"]["passed"] and got["better"]["place"] == 1 and not got["same"]["passed"] and got["same"]["place"] is None
     found = rounds.values(rounds.compare(parent, parent, SPEC))
     assert found["all.nll.lower"] == found["all.nll.upper"] == found["all.acc.delta"] == 0 and found["some.n.parent"] == 80
-    assert rounds.criterion({"left": "gone.acc.delta", "op": ">", "right": 0}, found) is None
+    more = SPEC | {"criteria": [{"left": "gone.acc.delta", "op": ">", "right": 0}, {"left": "all.n.parent", "op": ">=", "right": "some.n.parent", "plus": 40}, {"left": "all.n.parent", "op": ">", "right": "some.n.parent", "plus": 40}, {"left": ["all.n.parent", "some.n.parent"], "op": "<", "right": 41}]}
+    report = rounds.reports({"same": parent}, parent, more)
+    assert {r["k"]: r["holds"] for r in rounds.criteria(report, more).collect()} == {0: None, 1: True, 2: False, 3: True}
+    assert rounds.judged(report, more).first()["passed"] is None
+    ranked = rounds.judged(report.union(report.withColumn("arm", F.lit("other")).withColumn("value", F.col("value") + 1)), {"criteria": [{"left": "all.n.parent", "op": ">", "right": 0}], "rank": [{"by": ["all.acc.candidate", "some.acc.candidate"]}]})
+    assert {r["arm"]: r["place"] for r in ranked.collect()} == {"other": 1, "same": 2}
 
 
 def test_spec_problems():

@@ -25,7 +25,7 @@ def test_components_all_orders(spark, tmp_path):
     for o, c in rows:
         a, b = root(c), root(o % 500 + 1000000)
         parent[max(a, b)] = min(a, b)
-    got = {x["node"]: x["component"] for x in queries_suite.connected_all_orders(spark, str(tmp_path)).collect()}
+    got = {x["node"]: x["component"] for x in queries_suite.connected(spark, str(tmp_path)).collect()}
     assert got == {x: root(x) for x in parent} and len(set(got.values())) > 5
 
 
@@ -38,7 +38,7 @@ def test_release_candidates_all_orders(spark, tmp_path):
     for o, c, status, price in rows:
         seeds, good = want.get(c, (set(), True))
         want[c] = seeds | {o % 4}, good and status != "P" and price > 20_000
-    got = {x["recipe"]: (x["seeds"], x["candidate"]) for x in queries_reports.release_candidates_all_orders(spark, str(tmp_path)).collect()}
+    got = {x["recipe"]: (x["seeds"], x["candidate"]) for x in queries_reports.release_candidates(spark, str(tmp_path)).collect()}
     assert got == {c: (len(s), good and len(s) >= 2) for c, (s, good) in want.items()} and len({v[1] for v in got.values()}) == 2
 
 
@@ -56,7 +56,7 @@ def test_business_days_all_orders(spark, tmp_path):
         if at:
             months = (1998 - at.year) * 12 + 8 - at.month - (at.day > 15)
         want[o] = due, months
-    assert {x["o_orderkey"]: (x["due"], x["months"]) for x in queries_traces.business_days_all_orders(spark, str(tmp_path)).collect()} == want
+    assert {x["o_orderkey"]: (x["due"], x["months"]) for x in queries_traces.business_days(spark, str(tmp_path)).collect()} == want
 
 
 def test_containment_screen_common(spark, tmp_path):
@@ -73,7 +73,7 @@ def test_containment_screen_common(spark, tmp_path):
     sets = {k: {g for g in s if seen[g] <= 50} for k, s in sets.items()}
     shares = {(d, k): len(grams(w) & s) / len(s) for d, w in enumerate(records) for k, s in sets.items() if len(s) >= 10}
     want = {x: round(v, 6) for x, v in shares.items() if v >= 0.5}
-    got = {(x["doc_id"], x["item_id"]): x["containment"] for x in queries_suite.containment_screen_common(spark, str(tmp_path)).collect()}
+    got = {(x["doc_id"], x["item_id"]): x["containment"] for x in queries_suite.containment_screen(spark, str(tmp_path)).collect()}
     assert got == want and {(0, 0), (0, 1), (6, 104)} <= set(got) and max(seen.values()) == 51 and not {d for d, _ in got} & {2, 3, 5}
 
 
