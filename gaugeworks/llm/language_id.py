@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.bytescan import runs, text_buffer
-from gaugeworks.llm.shared import written
+from gaugeworks.llm.shared import give_back, written
 
 BITS, PER_LANGUAGE, MOST_ROWS, PER_MACHINE, STEPS, RIDGE = 13, 600, 20_000, 1500, 150, 1e-4
 UNKNOWN = "und"
@@ -224,6 +224,7 @@ def _predictor(model: LanguageModel | None, keep: tuple[str, ...] | None, least_
                 yield batch.filter(pa.array([lang != UNKNOWN and s >= least_score for lang, s in zip(langs, score)], pa.bool_()))
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        give_back()
 
     return run
 

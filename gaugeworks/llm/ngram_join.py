@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gaugeworks.llm.bytescan import by_bucket, joined, mixed, runs, text_buffer, word_hashes
-from gaugeworks.llm.shared import SPACE, components, lowered, spare, written
+from gaugeworks.llm.shared import SPACE, components, give_back, lowered, spare, written
 
 SIZE, THRESHOLD = 5, 80
 #: Text bytes of a numpy step; shingles of a hash range; shingles of a family task.
@@ -130,6 +130,7 @@ def _set_rows(size: int):
                 often = n >= max(2, keep.sum() // 64)
                 hot = [np.stack([of[start[often]], n[often].astype(np.uint64)], 1).astype("<u8").tobytes() if often.any() else None] + [None] * (hi - lo - 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(counts, pa.int64()), *(pa.array(k.view(np.int64)) for k in np.ascontiguousarray(keys.T)), pa.array(hot, pa.binary())], ["doc_id", "n_shingles", "key", "also", "hot"])
+        give_back()
 
     return run
 
@@ -160,6 +161,7 @@ def _deal(low: int, size: int, hot: np.ndarray, groups: int, only_hot: bool):
                 rows = [(b, keys[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), pack(tokens[e])) for b, d, n, e in by_bucket(bucket, doc_of, groups)]
                 if rows:
                     yield pa.RecordBatch.from_arrays(_blobs(rows), NAMES)
+        give_back()
 
     return run
 
@@ -191,6 +193,8 @@ def _shared_shingles(low: int, groups: int):
         doc_of, order_key = doc_of[o], order_key[o]
         group = _group(keys, groups)
         rows = [(g, keys[d].tobytes(), sizes[d].tobytes(), n.astype("<u4").tobytes(), order_key[e].tobytes()) for g, d, n, e in by_bucket(group[doc_of], doc_of, groups)]
+        del tokens, doc_of, order_key, df, shared, o
+        give_back()
         return pa.table(_blobs(rows), NAMES)
 
     return run

@@ -39,6 +39,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def give_back() -> None:
+    """Free memory that a Python worker's allocators hold on to goes back to the system: workers live on after a task, and an executor's limit counts all of them."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def spare(columns: list[str], name: str) -> str:
     """name, with underscores before it until no column has it (case ignored)."""
     taken = {c.lower() for c in columns}

@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gaugeworks.llm.shared import new_folder, open_file, put_file, written
+from gaugeworks.llm.shared import give_back, new_folder, open_file, put_file, written
 
 MAGIC, BLOCK, END_ID = b"GWIDS001", 1 << 14, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Ids of a shard; bytes of kept words (two generations of so many).
-SHARD_IDS, KEPT_BYTES = 8 << 20, 72 << 20
+SHARD_IDS, KEPT_BYTES = 4 << 20, 44 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -249,6 +249,8 @@ def _writer(folder: str, find_path: Callable[[], str], end_id: int, block: int,
                     keys, parts, number, held = [], [], number + 1, 0
         if keys:
             yield shard()
+        encode.old = {}  # between tasks a worker keeps one generation
+        give_back()
 
     return run
 
