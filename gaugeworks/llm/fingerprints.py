@@ -1,17 +1,14 @@
 """Document fingerprints (8): consistent weighted sampling, with DataFrame functions only.
 
-A document's weighted terms are its words (runs of characters that are not white space) and their counts. A term x of count w stands for the
-occurrences (x, 0) to (x, w - 1), each with a hash of its own; the occurrence of least hash is the consistent sample of the document, and two documents draw the
-same one with a chance equal to their generalised Jaccard similarity (sum of least over sum of greatest counts), as they share the least count of each term's occurrences.
+A document's weighted terms are its words (runs of characters that are not white space) and their counts. The occurrences (x, 0) to (x, w - 1) of a word x of count w are
+parted by hash over 64 bins, so a word stands in each bin with a weight, the number of its occurrences there, and a frequent word is spread over the bins in proportion to its count.
+Each bin draws one of its weighted terms by gamma variables: for a term x of weight w, hashes of bin and x alone give r and c of a gamma distribution with shape 2 and b uniform;
+t = floor(ln w / r + b), the rank is ln a = ln c - r (t - b) - r, and the (x, t) of least rank is the bin's consistent sample.
 
-Occurrences are parted by 6 bits of their hash over 64 bins, so a frequent term is spread over the bins in proportion to its count, and each bin draws its own sample. The
-occurrences of a bin are a random part of all, therefore a bin that either document fills agrees with a chance of that similarity too, whatever the counts: the share of
-equal samples among such bins is an estimate of it without bias (but for 16-bit hashes, 1 in 65536). A fingerprint is a text of six hexadecimal digits for each filled bin: the bin and
-16 bits of the sample's hash.
-
-``with_fingerprint`` is the earlier scheme: whole terms are parted over the bins and each bin draws one by gamma variables (for a term x of weight w hashes of x alone give
-r and c of a gamma distribution with shape 2 and b uniform; t = floor(ln w / r + b), the rank is ln a = ln c - r (t - b) - r, the (x, t) of least rank is drawn). A count then only
-weighs within its own bin, and the share of equal samples is the mean of the bins' similarities, which is not the documents' where counts are skewed. op8 does not use it.
+Two documents draw the same sample in a bin with a chance equal to the generalised Jaccard similarity (sum of least over sum of greatest weights) of what they have in it. As the
+lesser of two counts keeps its occurrences in each bin, what a bin has is a random part of all occurrences of both, therefore the share of equal samples among the bins that either document fills
+is an estimate of the documents' similarity without bias (but for 16-bit hashes, 1 in 65536), whatever the counts. A fingerprint is a text of six hexadecimal digits for each filled bin:
+the bin and 16 bits of the sample's hash.
 
 Everything is a projection (arrays and higher-order functions) but for one shuffle of the texts, which brings neighbours together: documents are ranged by quantiles of
 doc_id into groups of about ``in_group`` rows (at most MOST_GROUPS groups, so their bounds are small), a window looks one row ahead within a group, and the first row
@@ -42,43 +39,46 @@ def _hashes(text: Column) -> Column:
     return F.sort_array(F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def _samples(words: Column, starts: Column) -> Column:
-    """For each distinct word hash (at starts, from 1) a number that orders by bin, then rank: bin, 32 bits of the rank, 16 bits of the sample."""
+def _starts(values: Column) -> Column:
+    """The places (from 1) in ascending values where a run of equal ones begins."""
+    return F.filter(F.transform(values, lambda x, i: F.when((i == 0) | (x != F.get(values, i - 1)), i + 1)), lambda i: i.isNotNull())
+
+
+def _run(values: Column, starts: Column, s: Column, k: Column) -> Column:
+    """The length of the run at s, the k-th of starts."""
+    return F.coalesce(F.get(starts, k + 1), F.size(values) + 1) - s
+
+
+def _parted(words: Column, starts: Column) -> Column:
+    """Ascending keys of all occurrences: 6 bits for the bin, which word and number of the occurrence give, then 58 bits of the word's hash."""
+    key = lambda x, i: F.shiftleft(F.xxhash64(x, i), 58).bitwiseOR(F.shiftrightunsigned(x, 6))
+    return F.sort_array(F.flatten(F.transform(starts, lambda s, k: F.transform(F.slice(words, s, _run(words, starts, s, k)), key))))
 
-    def sample(s: Column, k: Column) -> Column:
-        weight = F.when(k + 1 < F.size(starts), F.get(starts, k + 1)).otherwise(F.size(words) + 1) - s
-        named = F.transform(F.array(F.get(words, s - 1)), lambda x: F.struct(x.alias("x"), F.xxhash64(x, F.lit(1)).alias("p"), F.xxhash64(x, F.lit(2)).alias("q"), F.ln(weight.cast("double")).alias("w")))
-        uniform = lambda h, shift: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 24) - 1)) + 0.5) / F.lit(_24)
-        drawn = F.transform(named, lambda v: F.struct(v["x"].alias("x"), v["w"].alias("w"), (-F.ln(uniform(v["p"], 40) * uniform(v["p"], 16))).alias("r"), F.ln(-F.ln(uniform(v["q"], 40) * uniform(v["q"], 16))).alias("c"), ((v["p"].bitwiseAND(F.lit(0xFFFF)) * 256 + v["q"].bitwiseAND(F.lit(0xFF)) + 0.5) / F.lit(_24)).alias("b")))
-        timed = F.transform(drawn, lambda v: F.struct(v["x"].alias("x"), v["r"].alias("r"), v["c"].alias("c"), v["b"].alias("b"), F.floor(v["w"] / v["r"] + v["b"]).alias("t")))
-        packed = F.transform(timed, lambda v: F.shiftrightunsigned(v["x"], 58) * F.lit(1 << 48) + F.floor((F.least(F.greatest(v["c"] - v["r"] * (v["t"] - v["b"] + 1), F.lit(-63.0)), F.lit(63.0)) + 64) * F.lit(float(1 << 25))) * F.lit(1 << 16) + F.xxhash64(v["x"], v["t"]).bitwiseAND(F.lit(0xFFFF)))
-        return F.get(packed, F.lit(0))
 
-    return F.sort_array(F.transform(starts, sample))
+def _drawn(keys: Column, starts: Column) -> Column:
+    """For each distinct key a number that orders by bin, then rank: bin, 32 bits of the rank, 16 bits of the sample. Each transform names what the next one uses more than once."""
+    uniform = lambda h, shift: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 24) - 1)) + 0.5) / F.lit(_24)
+    gamma = lambda h: -F.ln(uniform(h, 40) * uniform(h, 16))
+    b = lambda v: (v["p"].bitwiseAND(F.lit(0xFFFF)) * 256 + v["q"].bitwiseAND(F.lit(0xFF)) + 0.5) / F.lit(_24)
+    x = lambda s: F.get(keys, s - 1)
+    named = F.transform(starts, lambda s, k: F.struct(x(s).alias("x"), F.xxhash64(x(s), F.lit(1)).alias("p"), F.xxhash64(x(s), F.lit(2)).alias("q"), F.ln(_run(keys, starts, s, k).cast("double")).alias("w")))
+    drawn = F.transform(named, lambda v: F.struct(v["x"].alias("x"), v["w"].alias("w"), gamma(v["p"]).alias("r"), F.ln(gamma(v["q"])).alias("c"), b(v).alias("b")))
+    timed = F.transform(drawn, lambda v: F.struct(v["x"].alias("x"), v["r"].alias("r"), v["c"].alias("c"), v["b"].alias("b"), F.floor(v["w"] / v["r"] + v["b"]).alias("t")))
+    rank = lambda v: F.least(F.greatest(v["c"] - v["r"] * (v["t"] - v["b"] + 1), F.lit(-63.0)), F.lit(63.0)) + 64
+    return F.sort_array(F.transform(timed, lambda v: F.shiftrightunsigned(v["x"], 58) * F.lit(1 << 48) + F.floor(rank(v) * F.lit(float(1 << 25))) * F.lit(1 << 16) + F.xxhash64(v["x"], v["t"]).bitwiseAND(F.lit(0xFFFF))))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with a column name: an ascending array of bin * 2**16 + sample. Each step is a projection of its own, so nothing is computed twice."""
     df = df.withColumn("_words", _hashes(F.col(text)))
-    words = F.col("_words")
-    df = df.withColumn("_starts", F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))).otherwise(F.array().cast("array<int>")))
-    df = df.withColumn("_samples", _samples(words, F.col("_starts"))).drop("_words", "_starts")
-    got = F.col("_samples")
+    df = df.withColumn("_starts", _starts(F.col("_words")))
+    df = df.withColumn("_keys", _parted(F.col("_words"), F.col("_starts"))).drop("_words", "_starts")
+    df = df.withColumn("_starts", _starts(F.col("_keys")))
+    df = df.withColumn("_drawn", _drawn(F.col("_keys"), F.col("_starts"))).drop("_keys", "_starts")
+    got = F.col("_drawn")
     bin_of = lambda v: F.shiftright(v, 48)
     first = F.filter(got, lambda v, i: (i == 0) | (bin_of(v) != bin_of(F.get(got, i - 1))))
-    return df.withColumn(name, F.transform(first, lambda v: bin_of(v) * (1 << 16) + v.bitwiseAND(F.lit(0xFFFF)))).drop("_samples")
-
-
-def with_whole_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with a column name: an ascending array of bin * 2**16 + sample, of samples over all occurrences of all words."""
-    df = df.withColumn("_words", _hashes(F.col(text)))
-    words, starts, got = F.col("_words"), F.col("_starts"), F.col("_drawn")
-    df = df.withColumn("_starts", F.filter(F.transform(words, lambda x, i: F.when((i == 0) | (x != F.get(words, i - 1)), i + 1)), lambda i: i.isNotNull()))
-    count = lambda s, k: F.coalesce(F.get(starts, k + 1), F.size(words) + 1) - s
-    df = df.withColumn("_drawn", F.sort_array(F.flatten(F.transform(starts, lambda s, k: F.transform(F.slice(words, s, count(s, k)), lambda x, i: F.xxhash64(x, i)))))).drop("_words", "_starts")
-    bin_of = lambda v: F.shiftright(v, 58)
-    first = F.filter(got, lambda v, i: (i == 0) | (bin_of(v) != bin_of(F.get(got, i - 1))))
-    return df.withColumn(name, F.transform(first, lambda v: (bin_of(v) + 32) * (1 << 16) + v.bitwiseAND(F.lit(0xFFFF)))).drop("_drawn")
+    return df.withColumn(name, F.transform(first, lambda v: bin_of(v) * (1 << 16) + v.bitwiseAND(F.lit(0xFFFF)))).drop("_drawn")
 
 
 def as_text(print_: Column) -> Column:
@@ -130,9 +130,9 @@ def with_next(rows: DataFrame, columns: list[str], in_group: int = IN_GROUP, add
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
-    rows = with_next(rows, ["text", "print"], add=lambda df: with_whole_fingerprint(df, "text", "print"))
+    rows = with_next(rows, ["text", "print"], add=lambda df: with_fingerprint(df, "text", "print"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
-    rows = with_whole_fingerprint(rows, "edited", "edited_print")
+    rows = with_fingerprint(rows, "edited", "edited_print")
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))

@@ -374,16 +374,20 @@ def brute_print(text):
 
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     long_hash = lambda x, seed: xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), seed)
-    best = {}
+    parted, best = collections.Counter(), {}
     for w, n in collections.Counter(re.findall(r"[^\x20\x09-\x0D]+", text)).items():
         x = xxhash.xxh64_intdigest(w.encode(), 42)
+        for i in range(n):
+            k = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), long_hash(x, 42)) & 63
+            parted[k, k << 58 | x >> 6] += 1
+    for (k, x), n in parted.items():
         p, q = (xxhash.xxh64_intdigest((s).to_bytes(4, "little"), long_hash(x, 42)) for s in (1, 2))
         u = lambda h, s: (((h >> s) & 0xFFFFFF) + 0.5) / (1 << 24)
         r, c = -np.log(u(p, 40) * u(p, 16)), np.log(-np.log(u(q, 40) * u(q, 16)))
         b = ((p & 0xFFFF) * 256 + (q & 0xFF) + 0.5) / (1 << 24)
         t = int(np.floor(np.log(n) / r + b))
         rank = (int(np.floor((min(max(c - r * (t - b + 1), -63), 63) + 64) * (1 << 25))), long_hash(t, signed(long_hash(x, 42)) % (1 << 64)) & 0xFFFF)
-        best[x >> 58] = min(best.get(x >> 58, rank), rank)
+        best[k] = min(best.get(k, rank), rank)
     return [(k << 16) | best[k][1] for k in sorted(best)]
 
 
