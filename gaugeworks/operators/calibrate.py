@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gaugeworks.functions import probability as P
+from gaugeworks.operators.paired import resampled
 
 
 def grid(points: int = 81, low: float = 0.25, high: float = 4.0) -> list[float]:
@@ -69,3 +70,31 @@ def raw(rows: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("inference_temperature"), F.lit(1.0))
     rows = rows.withColumn("logits", F.when(t == 1.0, F.col("logits")).otherwise(F.transform("logits", lambda x: x * t)))
     return rows.withColumn("p", F.when(t == 1.0, F.col("p")).otherwise(P.softmax(F.col("logits")))).withColumn("inference_temperature", F.lit(1.0))
+
+
+def pool(reads: DataFrame, sources: Mapping[str, Sequence[str]] | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """The knowable rows of reads (a column ``read`` names each) that a pooled temperature is fitted on: a read with sources gives only those, and no record whose id exclude has."""
+    rows = reads
+    for read, own in (sources or {}).items():
+        rows = rows.where((F.col("read") != read) | F.col("source").isin(*own))
+    rows = rows.where((F.col("variant") == "clean") & (F.col("source") != "unknowable"))
+    return rows if exclude is None else rows.join(exclude.select("id").distinct(), "id", "left_anti")
+
+
+def temperature_interval(rows: DataFrame, temperatures: Sequence[float] | None = None, level: float = 0.9, samples: int = 2000, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, questions, temperature, lower, upper: the grid's first temperature of least mean loss over all questions, and the interval of what the same fit gives on resamples of clusters within each source.
+
+    A cluster is an array of its losses on the grid, summed once; a resample adds up the arrays of the clusters it draws, one column a grid point, and takes the place of the least. Rows x grid x samples are never there.
+    """
+    points = list(temperatures or grid())
+    z, y = F.col("logits"), F.col("label")
+    at = lambda t: P.let(F.array_max(z), lambda m: F.ln(P.total(F.transform(z, lambda x: F.exp((x - m) / t)))) - (F.get(z, y) - m) / t)
+    lossy = rows.withColumn("_losses", F.transform(F.array(*map(F.lit, points)), at))
+    sums = {f"_g{k}": F.get("_losses", F.lit(k)) for k in range(len(points))}
+    least = lambda df: P.let(F.array(*[F.round(F.col(c), 9) for c in sums]), lambda g: F.get(F.array(*map(F.lit, points)), (F.array_position(g, F.array_min(g)) - 1).cast("int")))
+    fits = resampled(lossy, sums, samples, keys)
+    fits = fits.select(*keys, least(fits).alias("t")).groupBy(*keys).agg(F.percentile("t", F.array(F.lit((1 - level) / 2), F.lit(1 - (1 - level) / 2))).alias("q"))
+    point = lossy.groupBy(*keys).agg(F.count("*").alias("questions"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    point = point.select(*keys, "questions", least(point).alias("temperature"))
+    both = point.join(fits, list(keys)) if keys else point.crossJoin(fits)  # without keys one row each
+    return both.select(*keys, "questions", "temperature", F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))

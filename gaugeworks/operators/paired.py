@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from gaugeworks.operators.packing import numbered
 
 
 def join_problems(a: DataFrame, b: DataFrame, keys: Sequence[str], equal: Sequence[str]) -> DataFrame:
@@ -25,45 +26,81 @@ def draw(b: Column, slot: Column, n: Column) -> Column:
     return F.pmod(F.pmod((b * 1000003 + slot * 7919 + 17) * 48271, F.lit(2147483647)) * 16807, F.lit(2147483647)) % n
 
 
-def cluster_draws(rows: DataFrame, samples: int, cluster: str = "grp", stratum: str = "source") -> DataFrame:
-    """b, stratum, cluster, times: within each stratum as many clusters as it has, drawn with replacement; one row for each that is drawn at least once.
+def resampled(rows: DataFrame, sums: Mapping[str, Column], samples: int, keys: Sequence[str] = (), cluster: str = "grp", stratum: str = "source") -> DataFrame:
+    """keys, b, and each of sums (a number of a row) over resample b: within each (keys, stratum) as many clusters as it has, drawn with replacement, a cluster's rows as often as it is drawn.
 
-    Only numbers of clusters travel: samples * clusters rows, whatever the number of rows.
+    Rows are summed by cluster first, and all sums of a resample come from the same draws. What travels is samples x clusters numbers of clusters; sums of a resample are added up by task before the shuffle. Clusters are
+    numbered in two steps over ranges, so no stratum is one task.
     """
-    clusters = rows.select(stratum, cluster).distinct()
-    w = W.partitionBy(stratum)
-    clusters = clusters.withColumn("slot", (F.row_number().over(w.orderBy(cluster)) - 1).cast("long")).withColumn("n", F.count("*").over(w))
-    drawn = clusters.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long")))).select("b", stratum, draw(F.col("b"), F.col("slot"), F.col("n")).alias("slot"))
-    return drawn.groupBy("b", stratum, "slot").agg(F.count("*").alias("times")).join(clusters.select(stratum, "slot", cluster), [stratum, "slot"]).select("b", stratum, cluster, "times")
+    by = [*keys, stratum]
+    each = rows.groupBy(*by, cluster).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    each = numbered(each, by, [cluster], "slot")
+    size = each.groupBy(*by).agg(F.count("*").alias("_n"))
+    b = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("b")
+    drawn = each.select(*by, "slot").join(size, by).select(*by, "slot", "_n", b).select(*by, "b", draw(F.col("b"), F.col("slot"), F.col("_n")).alias("slot"))
+    return drawn.join(each.drop(cluster), [*by, "slot"]).groupBy(*keys, "b").agg(*[F.sum(n).alias(n) for n in sums])
+
+
+def bootstrap_ratios(rows: DataFrame, ratios: Mapping[str, tuple[Column, Column]], samples: int = 1000, keys: Sequence[str] = (), cluster: str = "grp", stratum: str = "source", level: float = 0.95) -> DataFrame:
+    """keys, name, delta, lower, upper of each ratio (sum of the first over sum of the second), and its interval over resamples of clusters."""
+    sums = {f"_{part}{k}": c for k, pair in enumerate(ratios.values()) for part, c in zip("ab", pair)}
+    named = lambda df: F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.col(f"_a{k}") / F.nullif(F.col(f"_b{k}"), F.lit(0))).alias("m")) for k, n in enumerate(ratios)])).alias("x")
+    each = resampled(rows, sums, samples, keys, cluster, stratum)
+    each = each.select(*keys, named(each)).select(*keys, "x.name", "x.m")
+    ends = each.groupBy(*keys, "name").agg(F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit(1 - (1 - level) / 2))).alias("q"))
+    point = rows.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    point = point.select(*keys, named(point)).select(*keys, "x.name", F.col("x.m").alias("delta"))
+    return point.join(ends, [*keys, "name"]).select(*keys, "name", "delta", F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))
 
 
 def bootstrap_delta(pairs: DataFrame, value: str, samples: int = 1000, macro: bool = False, cluster: str = "grp", stratum: str = "source") -> DataFrame:
-    """delta, lower, upper of the mean of value (micro) or of the tasks' means (macro), over cluster resamples; an additive statistic.
-
-    Rows are first summed by (stratum, cluster, task): a resample then weighs a few numbers a cluster.
-    """
-    sums = pairs.groupBy(stratum, cluster, "task").agg(F.sum(value).alias("s"), F.count("*").alias("c"))
-    weighed = cluster_draws(pairs, samples, cluster, stratum).join(sums, [stratum, cluster])
-    if macro:
-        each = weighed.groupBy("b", "task").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("m")).groupBy("b").agg(F.avg("m").alias("m"))
-        point = sums.groupBy("task").agg((F.sum("s") / F.sum("c")).alias("m")).agg(F.avg("m").alias("delta"))
-    else:
-        each = weighed.groupBy("b").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("m"))
-        point = sums.agg((F.sum("s") / F.sum("c")).alias("delta"))
-    ends = each.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return point.crossJoin(ends).select("delta", F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))  # one row each
+    """delta, lower, upper of the mean of value (micro) or of the tasks' means (macro), over cluster resamples; an additive statistic. Of tasks there are few: each has its two sums in a resample."""
+    one = F.lit(1)
+    if not macro:
+        return bootstrap_ratios(pairs, {"delta": (F.col(value), one)}, samples, (), cluster, stratum).drop("name")
+    tasks = [r[0] for r in pairs.select("task").distinct().orderBy("task").collect()]
+    own = {f"_{part}{k}": F.when(F.col("task").eqNullSafe(F.lit(t)), c) for k, t in enumerate(tasks) for part, c in (("a", F.col(value)), ("b", one))}
+    # a task that a resample leaves out is not among its means
+    means = F.array_compact(F.array(*[F.col(f"_a{k}") / F.col(f"_b{k}") for k in range(len(tasks))]).cast("array<double>"))
+    mean = lambda df: df.select(F.aggregate(means, F.lit(0.0), lambda a, x: a + x).alias("s"), F.size(means).alias("n")).select((F.col("s") / F.col("n")).alias("m"))
+    ends = mean(resampled(pairs, own, samples, (), cluster, stratum)).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    point = mean(pairs.agg(*[F.sum(c).alias(n) for n, c in own.items()]))
+    return point.crossJoin(ends).select(F.col("m").alias("delta"), F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))  # one row each
 
 
 def index_interval(values: DataFrame, value: str, samples: int = 2000) -> DataFrame:
     """mean, lower, upper of row resamples; ends are the sorted means at int(.025 B) and min(B - 1, int(.975 B))."""
-    n = values.count()
-    if n == 0:
-        return values.sparkSession.createDataFrame([(None, None, None)], "mean double, lower double, upper double")
-    ordered = values.select(F.col(value).cast("double").alias("v"), (F.row_number().over(W.orderBy("id")) - 1).cast("long").alias("slot"))
-    drawn = ordered.select("slot").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long")))).select("b", draw(F.col("b"), F.col("slot"), F.lit(n)).alias("slot"))
-    means = drawn.groupBy("b", "slot").agg(F.count("*").alias("t")).join(ordered, "slot").groupBy("b").agg((F.sum(F.col("v") * F.col("t")) / F.sum("t")).alias("m"))
+    v = F.col(value).cast("double")
+    means = resampled(values.withColumn("_all", F.lit(0)), {"_s": v, "_c": F.lit(1)}, samples, (), "id", "_all").select((F.col("_s") / F.col("_c")).alias("m"))
     s = means.agg(F.sort_array(F.collect_list("m")).alias("m"))  # samples numbers
-    return values.agg(F.avg(F.col(value).cast("double")).alias("mean")).crossJoin(s).select("mean", F.get("m", F.lit(int(0.025 * samples))).alias("lower"), F.get("m", F.lit(min(samples - 1, int(0.975 * samples)))).alias("upper"))
+    return values.agg(F.avg(v).alias("mean")).crossJoin(s).select("mean", F.get("m", F.lit(int(0.025 * samples))).alias("lower"), F.get("m", F.lit(min(samples - 1, int(0.975 * samples)))).alias("upper"))
+
+
+def bootstrap_index(outcomes: DataFrame, areas: Mapping[str, Sequence[str]], samples: int = 2000) -> DataFrame:
+    """system, score, lower, upper, difference, d_lower, d_upper: the index of each system, its 95 % interval, and those of its difference from the first system by name (null for that one).
+
+    outcomes has a row a record and system: dataset, record, system, correct, units, chance (units' chances summed). Each resample draws records within every dataset, the same for all systems; a dataset's skill is
+    (score - chance) / (1 - chance) within 0 to 1, an area's the mean of its datasets', the index 100 times the mean of the areas'. Datasets outside areas are left out; a record that a system lacks adds nothing to it.
+    """
+    names = [r[0] for r in outcomes.select("system").distinct().orderBy("system").collect()]
+    placed = {d: (a, len(ds)) for a, ds in areas.items() for d in ds}
+    of = lambda n: F.col("system") == F.lit(n)
+    sums = {f"_{c}{k}": F.when(of(n), F.col(c)) for k, n in enumerate(names) for c in ("correct", "units", "chance")}
+    rows = outcomes.where(F.col("dataset").isin(*placed)).withColumn("_all", F.lit(0))
+
+    def indexes(df: DataFrame, by: list[str]) -> DataFrame:
+        ratio = lambda c, k: F.col(f"_{c}{k}") / F.col(f"_units{k}")
+        skill = lambda k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (ratio("correct", k) - ratio("chance", k)) / (1 - ratio("chance", k))))
+        share = F.lit(0.0)
+        for d, (_, n) in placed.items():
+            share = F.when(F.col("dataset") == d, F.lit(100.0 / n / len(areas))).otherwise(share)
+        return df.withColumn("_share", share).groupBy(*by).agg(*[F.sum(F.col("_share") * skill(k)).alias(f"i{k}") for k in range(len(names))])
+
+    long = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("system"), F.col(f"i{k}").alias("i"), (F.col(f"i{k}") - F.col("i0") if k else F.lit(None).cast("double")).alias("d")) for k, n in enumerate(names)])).alias("x")).select("x.*")
+    ends = F.array(F.lit(0.025), F.lit(0.975))
+    each = long(indexes(resampled(rows, sums, samples, ["dataset"], "record", "_all"), ["b"])).groupBy("system").agg(F.percentile("i", ends).alias("q"), F.percentile("d", ends).alias("e"))
+    point = long(indexes(rows.groupBy("dataset").agg(*[F.sum(c).alias(n) for n, c in sums.items()]), []))
+    return point.join(each, "system").select("system", F.col("i").alias("score"), F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"), F.col("d").alias("difference"), F.get("e", F.lit(0)).alias("d_lower"), F.get("e", F.lit(1)).alias("d_upper"))
 
 
 def exact_binomial(b: int, c: int) -> float:

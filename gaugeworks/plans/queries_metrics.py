@@ -119,9 +119,9 @@ def folds(spark, sf):
     return calibrate.grouped_folds(scored(spark, sf)).groupBy("fold", "source").agg(F.count("*").alias("n"))
 
 
-@query("a13_out_of_fold_temperature", f"{WITH}, {FOLDS}, {losses_sql(calibrate.grid(21), 'source, grp')}, s AS (SELECT fold, i, temperature, sum(loss) AS s, count(*) AS c FROM l JOIN folds USING (source, grp) GROUP BY ALL), o AS (SELECT fold, i, temperature, round((sum(s) OVER w - s) / (sum(c) OVER w - c), 10) AS mean FROM s WINDOW w AS (PARTITION BY i)) SELECT fold, round(temperature, 6) AS temperature FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY mean, i) AS k FROM o) WHERE k = 1")
+@query("a13_out_of_fold_temperature", f"{WITH}, {FOLDS}, {losses_sql(GRID, 'source, grp')}, s AS (SELECT fold, i, temperature, sum(loss) AS s, count(*) AS c FROM l JOIN folds USING (source, grp) GROUP BY ALL), o AS (SELECT fold, i, temperature, round((sum(s) OVER w - s) / (sum(c) OVER w - c), 10) AS mean FROM s WINDOW w AS (PARTITION BY i)) SELECT fold, round(temperature, 6) AS temperature FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY mean, i) AS k FROM o) WHERE k = 1")
 def out_of_fold(spark, sf):
-    return rounded(calibrate.out_of_fold_temperatures(scored(spark, sf), temperatures=calibrate.grid(21)))
+    return rounded(calibrate.out_of_fold_temperatures(scored(spark, sf)))
 
 
 @query("l03_tempered", f"{WITH}, x AS (SELECT id, label, list_transform(logits, lambda x: exp((x - list_max(logits)) / 2.0)) AS e, ln(list_sum(list_transform(logits, lambda x: exp((x - list_max(logits)) / 2.0)))) - (logits[label + 1] - list_max(logits)) / 2.0 AS nll2 FROM preds) SELECT id, round(list_max(e) / list_sum(e), 6) AS conf2, round(e[label + 1] / list_sum(e), 6) AS p_label2, round(nll2, 6) AS nll2 FROM x")
@@ -209,22 +209,59 @@ def join_problems(spark, sf):
     return paired.join_problems(a, b, ["id"], ["label", "task"])
 
 
-DRAWS = "cl AS (SELECT source, grp, row_number() OVER (PARTITION BY source ORDER BY grp) - 1 AS slot, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, grp FROM preds)), dr AS (SELECT b, source, ((((b * 1000003 + slot * 7919 + 17) * 48271) % 2147483647) * 16807) % 2147483647 % n AS slot FROM cl, (SELECT unnest(generate_series(0, 199)) AS b)), tm AS (SELECT b, source, slot, count(*) AS times FROM dr GROUP BY ALL), w AS (SELECT b, tm.source, grp, times FROM tm JOIN cl USING (source, slot)), sm AS (SELECT source, grp, task, sum(nll - nll_b) AS s, count(*) AS c FROM preds GROUP BY ALL)"
+DRAWS = "cl AS (SELECT source, grp, row_number() OVER (PARTITION BY source ORDER BY grp) - 1 AS slot, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, grp FROM preds)), dr AS (SELECT b, source, ((((b * 1000003 + slot * 7919 + 17) * 48271) % 2147483647) * 16807) % 2147483647 % n AS slot FROM cl, (SELECT unnest(generate_series(0, 999)) AS b)), tm AS (SELECT b, source, slot, count(*) AS times FROM dr GROUP BY ALL), w AS (SELECT b, tm.source, grp, times FROM tm JOIN cl USING (source, slot)), sm AS (SELECT source, grp, task, sum(nll - nll_b) AS s, count(*) AS c FROM preds GROUP BY ALL)"
 
 
 @query("b01_paired_bootstrap", f"{WITH}, {DRAWS}, e AS (SELECT b, sum(s * times) / sum(c * times) AS m FROM w JOIN sm USING (source, grp) GROUP BY b) SELECT (SELECT round(sum(s) / sum(c), 6) FROM sm) AS delta, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM e")
 def paired_bootstrap(spark, sf):
-    return rounded(paired.bootstrap_delta(both(spark, sf).withColumn("d", F.col("nll") - F.col("nll_b")), "d", 200))
+    return rounded(paired.bootstrap_delta(both(spark, sf).withColumn("d", F.col("nll") - F.col("nll_b")), "d"))
 
 
 @query("b01_paired_bootstrap_macro", f"{WITH}, {DRAWS}, e AS (SELECT b, avg(m) AS m FROM (SELECT b, task, sum(s * times) / sum(c * times) AS m FROM w JOIN sm USING (source, grp) GROUP BY b, task) GROUP BY b) SELECT (SELECT round(avg(m), 6) FROM (SELECT sum(s) / sum(c) AS m FROM sm GROUP BY task)) AS delta, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM e")
 def paired_bootstrap_macro(spark, sf):
-    return rounded(paired.bootstrap_delta(both(spark, sf).withColumn("d", F.col("nll") - F.col("nll_b")), "d", 200, macro=True))
+    return rounded(paired.bootstrap_delta(both(spark, sf).withColumn("d", F.col("nll") - F.col("nll_b")), "d", macro=True))
 
 
-@query("b04_index_interval", f"{WITH}, o AS (SELECT CAST(ok AS DOUBLE) AS v, row_number() OVER (ORDER BY id) - 1 AS slot, count(*) OVER () AS n FROM preds), d AS (SELECT b, ((((b * 1000003 + slot * 7919 + 17) * 48271) % 2147483647) * 16807) % 2147483647 % n AS slot FROM o, (SELECT unnest(generate_series(0, 99)) AS b)), m AS (SELECT b, avg(v) AS m FROM d JOIN o USING (slot) GROUP BY b), s AS (SELECT list_sort(list(m)) AS l FROM m) SELECT (SELECT round(avg(v), 6) FROM o) AS mean, round(l[3], 6) AS lower, round(l[98], 6) AS upper FROM s")
+@query("b04_index_interval", f"{WITH}, o AS (SELECT CAST(ok AS DOUBLE) AS v, row_number() OVER (ORDER BY id) - 1 AS slot, count(*) OVER () AS n FROM preds), d AS (SELECT b, ((((b * 1000003 + slot * 7919 + 17) * 48271) % 2147483647) * 16807) % 2147483647 % n AS slot FROM o, (SELECT unnest(generate_series(0, 1999)) AS b)), m AS (SELECT b, avg(v) AS m FROM d JOIN o USING (slot) GROUP BY b), s AS (SELECT list_sort(list(m)) AS l FROM m) SELECT (SELECT round(avg(v), 6) FROM o) AS mean, round(l[51], 6) AS lower, round(l[1951], 6) AS upper FROM s")
 def index_interval(spark, sf):
-    return rounded(paired.index_interval(scored(spark, sf), "ok", 100))
+    return rounded(paired.index_interval(scored(spark, sf), "ok"))
+
+
+AREAS = {"x": ["s0", "s1"], "y": ["s2", "s3", "s4"]}
+
+
+@query("b02_bootstrap_index", f"""{WITH}, u AS (SELECT source AS dataset, vec_id // 20 AS record, ok, ok_b FROM preds),
+o AS (SELECT dataset, record, CASE WHEN dataset = 's3' THEN CAST(bool_and(ok) AS INT) ELSE sum(CAST(ok AS INT)) END AS a, CASE WHEN dataset = 's3' THEN CAST(bool_and(ok_b) AS INT) ELSE sum(CAST(ok_b AS INT)) END AS b,
+ CASE WHEN dataset = 's3' THEN 1 ELSE count(*) END AS units, CASE WHEN dataset = 's3' THEN pow(0.1::DOUBLE, count(*)) ELSE 0.1::DOUBLE * count(*) END AS chance FROM u GROUP BY dataset, record),
+n AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY record) - 1 AS slot, count(*) OVER (PARTITION BY dataset) AS k FROM o),
+d AS (SELECT r AS rep, dataset, ((((r * 1000003 + slot * 7919 + 17) * 48271) % 2147483647) * 16807) % 2147483647 % k AS slot FROM n, (SELECT unnest(generate_series(0, 1999)) AS r)),
+s AS (SELECT rep, dataset, sum(a) / sum(units) AS a, sum(b) / sum(units) AS b, sum(chance) / sum(units) AS c FROM d JOIN n USING (dataset, slot) GROUP BY ALL UNION ALL SELECT -1, dataset, sum(a) / sum(units), sum(b) / sum(units), sum(chance) / sum(units) FROM n GROUP BY dataset),
+i AS (SELECT rep, sum(w * greatest(0, least(1, (a - c) / (1 - c)))) AS a, sum(w * greatest(0, least(1, (b - c) / (1 - c)))) AS b FROM (SELECT *, CASE WHEN dataset IN ('s0', 's1') THEN 100.0::DOUBLE / 2 / 2 ELSE 100.0::DOUBLE / 3 / 2 END AS w FROM s) GROUP BY rep)
+SELECT 'a' AS system, round(max(a) FILTER (rep = -1), 6) AS score, round(quantile_cont(a, 0.025) FILTER (rep >= 0), 6) AS lower, round(quantile_cont(a, 0.975) FILTER (rep >= 0), 6) AS upper, NULL::DOUBLE AS difference, NULL::DOUBLE AS d_lower, NULL::DOUBLE AS d_upper FROM i
+UNION ALL SELECT 'b', round(max(b) FILTER (rep = -1), 6), round(quantile_cont(b, 0.025) FILTER (rep >= 0), 6), round(quantile_cont(b, 0.975) FILTER (rep >= 0), 6), round(max(b - a) FILTER (rep = -1), 6), round(quantile_cont(b - a, 0.025) FILTER (rep >= 0), 6), round(quantile_cont(b - a, 0.975) FILTER (rep >= 0), 6) FROM i""")
+def bootstrap_index(spark, sf):
+    """Both systems on records of up to four questions of five datasets in two areas; s3 counts only whole records."""
+    rows = both(spark, sf).withColumn("record", F.floor(F.col("vec_id") / 20))
+    rows = rows.select("source", "record", F.explode(F.array(F.struct(F.lit("a").alias("system"), F.col("ok").alias("ok")), F.struct(F.lit("b").alias("system"), F.col("ok_b").alias("ok")))).alias("x")).select(F.col("source").alias("dataset"), "record", "x.*")
+    whole = F.col("dataset") == "s3"
+    each = rows.groupBy("dataset", "record", "system").agg(F.sum(F.col("ok").cast("int")).alias("right"), F.bool_and("ok").alias("all"), F.count("*").alias("n"))
+    outcomes = each.select("dataset", "record", "system", F.when(whole, F.col("all").cast("double")).otherwise(F.col("right")).alias("correct"), F.when(whole, 1.0).otherwise(F.col("n")).alias("units"), F.when(whole, F.pow(F.lit(0.1), F.col("n"))).otherwise(0.1 * F.col("n")).alias("chance"))
+    return rounded(paired.bootstrap_index(outcomes, AREAS))
+
+
+@query("b05_pooled_temperature", f"""{WITH}, kept AS (SELECT * FROM preds WHERE NOT (vec_id % 2 = 0 AND source NOT IN ('s0', 's1')) AND vec_id % 10 <> 3),
+{losses_sql(GRID, "id, source, grp").replace("FROM preds", "FROM kept")},
+cl AS (SELECT source, grp, row_number() OVER (PARTITION BY source ORDER BY grp) - 1 AS slot, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, grp FROM kept)),
+dr AS (SELECT b, source, ((((b * 1000003 + slot * 7919 + 17) * 48271) % 2147483647) * 16807) % 2147483647 % n AS slot FROM cl, (SELECT unnest(generate_series(0, 1999)) AS b)),
+cs AS (SELECT source, slot, list(s ORDER BY i) AS s FROM (SELECT source, grp, i, sum(loss) AS s FROM l GROUP BY ALL) JOIN cl USING (source, grp) GROUP BY ALL),
+sums AS (SELECT b, i, sum(s[i + 1]) AS s FROM dr JOIN cs USING (source, slot), (SELECT unnest(generate_series(0, {len(GRID) - 1})) AS i) GROUP BY b, i),
+f AS (SELECT b, arg_min(temperature, struct_pack(s := round(s, 9), i := i)) AS t FROM sums JOIN grid USING (i) GROUP BY b),
+p AS (SELECT arg_min(temperature, struct_pack(s := round(s, 9), i := i)) AS t FROM (SELECT i, sum(loss) AS s FROM l GROUP BY i) JOIN grid USING (i))
+SELECT (SELECT count(*) FROM kept) AS questions, round((SELECT t FROM p), 6) AS temperature, round(quantile_cont(t, 0.05), 6) AS lower, round(quantile_cont(t, 0.95), 6) AS upper FROM f""")
+def pooled_temperature(spark, sf):
+    """Two reads pooled: even questions of two sources, odd ones of all, but for records of an excluded read."""
+    rows = scored(spark, sf).withColumn("read", F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd"))
+    return rounded(calibrate.temperature_interval(calibrate.pool(rows, {"even": ["s0", "s1"]}, rows.where("vec_id % 10 = 3"))))
 
 
 @query("j05_averaged", f"{WITH} SELECT id, round((list_max(list_transform(list_zip(p, p_b), lambda x: (x[1] + x[2]) / 2))), 7) AS conf, list_position(list_transform(list_zip(p, p_b), lambda x: (x[1] + x[2]) / 2), list_max(list_transform(list_zip(p, p_b), lambda x: (x[1] + x[2]) / 2))) - 1 AS pred FROM preds")
