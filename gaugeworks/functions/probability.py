@@ -98,9 +98,10 @@ def score_confidence(p: Column) -> Column:
     """1 less the expected distance from the most likely level over its mean for a uniform vector, not below 0."""
     k = F.size(p)
     levels = F.sequence(F.lit(0), k - 1)
-    distance = lambda weights, mode: total(F.zip_with(weights, levels, lambda w, x: w * F.abs(x - mode)))
+    far = total(F.transform(levels, lambda x: F.abs(x - (k - 1) / 2.0))) / k
     mode = first_argmax(p)
-    of = lambda m: distance(F.transform(p, lambda x: x / total(p)), m) / distance(F.transform(p, lambda x: F.lit(1.0) / k), (k - 1) / 2.0)
+    spread = lambda m: let(total(p), lambda s: total(F.zip_with(p, levels, lambda w, x: w / s * F.abs(x - m))))
+    of = lambda m: spread(m) / far
     return F.when(k <= 1, F.lit(1.0)).when(total(p) <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - let(mode, of)))
 
 

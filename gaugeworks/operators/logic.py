@@ -67,7 +67,7 @@ def canonical(tree) -> str:
 
 
 def push_negation(tree, negated: bool = False):
-    """The tree with negations at its leaves only."""
+    """The tree with negations at its leaves, and before a conditional, which keeps its own: not(if a then b else c)."""
     if isinstance(tree, str):
         return ("not", tree) if negated else tree
     op, *parts = tree
@@ -76,7 +76,8 @@ def push_negation(tree, negated: bool = False):
     if op == "unless":
         return push_negation(("and", parts[0], ("not", parts[1])), negated)
     if op == "if":
-        return ("if", push_negation(parts[0]), *(push_negation(p, negated) for p in parts[1:]))
+        kept = ("if", *map(push_negation, parts))
+        return ("not", kept) if negated else kept
     return ({"and": "or", "or": "and"}[op] if negated else op, *(push_negation(p, negated) for p in parts))
 
 

@@ -35,16 +35,16 @@ def keys_and_labels(spark, sf):
 
 
 SERVED = f"""{sql()}, s AS (SELECT *, list_sum(list_transform(p, lambda x, i: x * (i - 1))) AS level, (list_max(p) / list_sum(p) - 1.0 / k) / (1 - 1.0 / k) AS cc,
-greatest(0, 1 - list_sum(list_transform(p, lambda x, i: x * abs(i - 1 - pred))) / list_avg(list_transform(range(k), lambda i: abs(i - (k - 1) / 2.0)))) AS sc FROM q),
-a AS (SELECT id, record, type, k, keys, label, spot, p, CASE type WHEN 'choice' THEN keys[1 + pred] END AS choice, CASE type WHEN 'noul' THEN round_even(p[2], 4) END AS noul, CASE type WHEN 'score' THEN round_even(level, 4) END AS score, CASE type WHEN 'choice' THEN round_even(cc, 4) WHEN 'score' THEN round_even(sc, 4) END AS confidence FROM s)"""
+greatest(0, 1 - list_sum(list_transform(p, lambda x, i: x / list_sum(p) * abs(i - 1 - pred))) / list_avg(list_transform(range(k), lambda i: abs(i - (k - 1) / 2.0)))) AS sc FROM q),
+a AS (SELECT id, record, type, k, keys, label, spot, p, CASE type WHEN 'choice' THEN keys[1 + pred] END AS choice, CASE type WHEN 'noul' THEN CAST(printf('%.4f', p[2]) AS DOUBLE) END AS noul, CASE type WHEN 'score' THEN CAST(printf('%.4f', level) AS DOUBLE) END AS score, CASE type WHEN 'choice' THEN CAST(printf('%.4f', cc) AS DOUBLE) WHEN 'score' THEN CAST(printf('%.4f', sc) AS DOUBLE) END AS confidence FROM s)"""
 
 
-@query("l06_served_answers", f"WITH {SERVED} SELECT id, type, choice, noul, score, confidence, CASE WHEN type <> 'noul' THEN round(list_sum(list_transform(p, lambda x: round_even(x, 4))), 4) END AS mass FROM a")
+@query("l06_served_answers", f"WITH {SERVED} SELECT id, type, choice, noul, score, confidence, CASE WHEN type <> 'noul' THEN round(list_sum(list_transform(p, lambda x: CAST(printf('%.4f', x) AS DOUBLE))), 4) END AS mass FROM a")
 def served_answers(spark, sf):
     return A.answered(questions(spark, sf)).select("id", "type", "choice", "noul", "score", "confidence", F.round(P.total(F.col("probabilities")), 4).alias("mass"))
 
 
-@query("p13_probabilities_by_key", f"WITH {SERVED}, e AS (SELECT id, unnest(keys) AS key, unnest(CASE type WHEN 'noul' THEN [1 - noul, noul] ELSE list_transform(p, lambda x: round_even(x, 4)) END) AS p FROM a) SELECT id, key, round(p, 4) AS p FROM e")
+@query("p13_probabilities_by_key", f"WITH {SERVED}, e AS (SELECT id, unnest(keys) AS key, unnest(CASE type WHEN 'noul' THEN [1 - noul, noul] ELSE list_transform(p, lambda x: CAST(printf('%.4f', x) AS DOUBLE)) END) AS p FROM a) SELECT id, key, round(p, 4) AS p FROM e")
 def probabilities_by_key(spark, sf):
     got = A.to_probs(A.answered(questions(spark, sf)).drop("p"))
     return got.select("id", F.explode(F.arrays_zip("keys", "p")).alias("x")).select("id", F.col("x.keys").alias("key"), F.round("x.p", 4).alias("p"))

@@ -29,3 +29,11 @@ def test_chance_parity_and_sources(spark):
     traces = spark.createDataFrame([(1, "s", 10, True, False), (2, "s", None, None, True), (3, None, 5, None, False)], "id int, source string, n_thinking_tokens int, correct boolean, unparsed boolean")
     got = {r["source"]: tuple(r)[1:] for r in A.by_source(traces, spark.createDataFrame([(1,), (1,)], "id int")).collect()}
     assert got == {"s": (2, 1.0, 5.0, 0.5, 1.0, 1, 2), "unknown": (1, None, 5.0, 0.0, 0.0, 0, 0)}
+
+
+def test_four_decimals_are_those_of_the_double(spark):
+    """Held against Python's own rounding of doubles; the halves are fixed values."""
+    values = [0.00015, 0.00025, 0.03125, 0.09375, 0.5, 1.0, 0.0, 2.34565, 0.99995, 254.00005, 1 / 3, 0.00005, 1e-300, *[k / 20000 for k in range(1, 4000, 7)], *[k / 16384 for k in range(0, 16384, 61)]]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "p double")
+    got = [r[0] for r in df.select(A.rounded(F.col("p"))).collect()]
+    assert got[: len(values)] == [round(v, 4) for v in values] and got[-2] is None and got[-1] != got[-1]

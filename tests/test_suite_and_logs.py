@@ -226,7 +226,11 @@ def test_read_out(spark):
     assert {r["k"]: r["holds"] for r in rounds.criteria(report, more).collect()} == {0: None, 1: True, 2: False, 3: True}
     assert rounds.judged(report, more).first()["passed"] is None
     ranked = rounds.judged(report.union(report.withColumn("arm", F.lit("other")).withColumn("value", F.col("value") + 1)), {"criteria": [{"left": "all.n.parent", "op": ">", "right": 0}], "rank": [{"by": ["all.acc.candidate", "some.acc.candidate"]}]})
-    assert {r["arm"]: r["place"] for r in ranked.collect()} == {"other": 1, "same": 2}
+    assert {r["arm"]: r["place"] for r in ranked.collect()} == {"other": 1, "same": 1}  # each alone of its size
+    sized = rounds.judged(report.withColumn("arm", F.lit("4b-x")).union(report.withColumn("arm", F.lit("4b-y")).withColumn("value", F.col("value") + 1)).union(report.withColumn("arm", F.lit("4b-z"))), {"criteria": [{"left": "all.n.parent", "op": ">", "right": 0}], "rank": [{"by": ["all.acc.candidate", "some.acc.candidate"]}], "unselectable": ["4b-z"]})
+    assert {r["arm"]: (r["size"], r["passed"], r["place"]) for r in sized.collect()} == {"4b-y": ("4b", True, 1), "4b-x": ("4b", True, 2), "4b-z": ("4b", True, None)}
+    assert rounds.confirm("same", parent, parent, {"samples": 20, "confirm": {"last": {"panels": {"all": {}}, "criteria": [{"left": "all.acc.delta", "op": ">=", "right": 0}]}}}, "last").first()["passed"]
+    assert {r["line"] for r in rounds.table(report).collect() if r["line"].startswith("all.acc")} == {"all.acc +0.0 [+0.0, +0.0]"}
 
 
 def test_spec_problems():
@@ -238,7 +242,8 @@ def test_spec_problems():
 
 def test_validated_context(spark):
     make = lambda ok: spark.createDataFrame([(lo, hi, 0.1 if g else -0.1, True) for (lo, hi), g in zip(((0, 8192), (8192, 16384), (16384, 32768), (32768, 65536)), ok)], "lo long, hi long, lower double, complete boolean")
-    assert [rounds.validated_context(make(x), 0.0).first()[0] for x in ((1, 1, 0, 1), (1, 1, 1, 1), (0, 1, 1, 1))] == [16384, 65536, None]
+    assert [rounds.validated_context(make(x), 0.0).first()[0] for x in ((1, 1, 0, 1), (1, 1, 1, 1), (0, 1, 1, 1), (1, 0, 1, 1))] == [16384, 65536, 65536, 8192]  # the interval of the base itself says nothing
+    assert rounds.validated_context(make((1, 1, 1, 1)).withColumn("complete", F.col("lo") > 0), 0.0).first()[0] == 8192
 
 
 def test_closure(spark):
