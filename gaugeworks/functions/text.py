@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from gaugeworks.functions.probability import let
 STOP_WORDS = tuple("a an and are as at be but by for from had has have he her his i if in into is it its not of on or our she that the their them then there these they this to was we were what when which who will with you your".split())
 
 
+@cache
 def _folds() -> tuple[dict[str, str], dict[str, str]]:
     """Characters whose case fold is another one, and those whose fold is several, from Python's own rule."""
     pairs = [(chr(c), chr(c).casefold()) for c in range(0x80, 0x1E944) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)]
@@ -21,8 +24,10 @@ def casefold(text: Column) -> Column:
     """Python's casefold. Where a text has no character over U+00FF (and no micro sign), lower case with sharp s as ss is the same, and quick."""
     one, several = _folds()
     whole = F.translate(F.translate(text, "".join(one), "".join(one.values())), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    for a, b in several.items():
-        whole = F.replace(whole, F.lit(a), F.lit(b))
+    # folds of several characters: one class test, then only the texts that have such a character go through it character by character
+    folds = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(whole, ""), lambda c: F.coalesce(F.try_element_at(folds, c), c)), "")
+    whole = F.when(whole.rlike(f"[{''.join(several)}]"), spelled).otherwise(whole)
     return F.when(text.rlike("[^\\x00-\u00b4\u00b6-\u00ff]"), whole).otherwise(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 

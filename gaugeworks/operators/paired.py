@@ -104,13 +104,17 @@ def bootstrap_index(outcomes: DataFrame, areas: Mapping[str, Sequence[str]], sam
 
 
 def exact_binomial(b: int, c: int) -> float:
-    """Two-sided, of the discordant counts; 1 without any."""
+    """Two-sided, of the discordant counts; 1 without any. The tail is summed from its greatest term down, each from the one before, until terms no longer count: about the root of b + c of them, whatever the counts."""
     n, k = b + c, min(b, c)
-    if n == 0:
+    if n == 0 or 2 * k == n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, 2 * math.exp(top) * sum(math.exp(x - top) for x in logs))
+    top = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    term, tail, i = 1.0, 1.0, k
+    while i > 0 and term > tail * 1e-17:
+        term *= i / (n - i + 1)
+        tail += term
+        i -= 1
+    return min(1.0, 2 * top * tail)
 
 
 def mcnemar(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:

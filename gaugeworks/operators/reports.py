@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gaugeworks.operators.packing import numbered
+from gaugeworks.operators.paired import draw
+
 #: Hourly prices of accelerators, in cost bounds.
 HOURLY = {"H100": 3.95, "H200": 4.54, "B200": 6.25, "T4": 0.59}
 
@@ -64,21 +67,43 @@ def matched_controls(rows: DataFrame, keys: Sequence[str], case: Column, control
     return a.join(b, [*keys, "_k"]).drop("_k")
 
 
-def repeated_splits(rows: DataFrame, splits: int, thresholds: Sequence[float], most_loss: float = 0.01) -> DataFrame:
-    """seed, tau, loss, saving: on each half split of every source choose tau by the first half (most saving with at most most_loss), judge it on the second.
+#: Ranges that a shuffle key's numbers are counted by.
+_RANGES = 4096
+
+
+def repeated_splits(rows: DataFrame, splits: int = 200, thresholds: Sequence[float] = (), most_loss: float = 0.01) -> DataFrame:
+    """seed, tau, loss, saving: on each half split of every source choose tau by the first half (most saving with at most most_loss, of equal ones the least tau), judge it on the second. A seed for which no tau keeps to most_loss has no row.
 
-    Rows are summed by (seed, half, tau) at once; the number of rows that travel does not grow with the table. rows: id, source, conf, ok, slow_ok, slow_cost.
+    rows: id, source, conf, ok, slow_ok, slow_cost. A source's rows are numbered by id once; for each seed a fixed congruence turns the numbers into distinct keys in another order, and the half with the lesser keys (less one of an
+    odd number) is the first. The key in the middle is found by counting keys in ranges, then in the one range it falls in, so rows x splits are never shuffled: they are read twice and summed by task.
     """
-    rank = F.percent_rank().over(W.partitionBy("seed", "source").orderBy(F.xxhash64("id", "seed"), "id"))
-    halves = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("dev", rank < 0.5)
-    taus = F.explode(F.array(*map(F.lit, thresholds)))
-    each = halves.withColumn("tau", taus).withColumn("low", F.col("conf") < F.col("tau"))
-    sums = each.groupBy("seed", "dev", "tau").agg(F.avg(F.when(F.col("low"), F.col("slow_ok")).otherwise(F.col("ok")).cast("double") - F.col("slow_ok").cast("double")).alias("gain"), (1 - F.sum(F.when(F.col("low"), F.col("slow_cost")).otherwise(0)) / F.sum("slow_cost")).alias("saving"))
+    numbers = numbered(rows, ["source"], ["id"], "slot")
+    size = numbers.groupBy("source").agg(F.floor(F.count("*") / 2).alias("half"))
+    prime = 2_147_483_647
+    seeds = numbers.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("key", draw(F.col("seed").cast("long"), F.col("slot"), F.lit(prime)))
+    place = F.floor(F.col("key") * _RANGES / prime).cast("int")
+    counts = seeds.groupBy("source", "seed", place.alias("range")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("source", "seed").orderBy("range"))
+    middle = counts.withColumn("upto", upto).join(size, "source").where((F.col("upto") > F.col("half")) & (F.col("upto") - F.col("n") <= F.col("half")))
+    middle = middle.select("source", "seed", "range", (F.col("half") - F.col("upto") + F.col("n")).alias("left"))
+    # the first key of the second half: as many keys of its range are below it as are left
+    near = seeds.withColumn("range", place).join(middle, ["source", "seed", "range"])
+    cut = near.groupBy("source", "seed").agg(F.get(F.array_sort(F.collect_list("key")), F.first("left").cast("int")).alias("cut"))
+    halves = seeds.join(cut, ["source", "seed"]).withColumn("dev", F.col("key") < F.col("cut"))
+    low = lambda t: F.col("conf") < t
+    sums = [F.struct(F.lit(t).alias("tau"), F.avg(F.when(low(t), F.col("slow_ok")).otherwise(F.col("ok")).cast("double") - F.col("slow_ok").cast("double")).alias("gain"), (1 - F.sum(F.when(low(t), F.col("slow_cost")).otherwise(0)) / F.sum("slow_cost")).alias("saving")) for t in thresholds]
+    sums = halves.groupBy("seed", "dev").agg(F.array(*sums).alias("t")).select("seed", "dev", F.explode("t").alias("t")).select("seed", "dev", "t.*")
     dev = sums.where("dev and gain >= " + repr(-most_loss)).groupBy("seed").agg(F.max_by("tau", F.struct("saving", -F.col("tau"))).alias("tau"))
-    test = sums.where("not dev").select("seed", "tau", (-F.col("gain")).alias("loss"), "saving")
+    test = sums.where("not dev").select("seed", "tau", (0.0 - F.col("gain")).alias("loss"), "saving")
     return dev.join(test, ["seed", "tau"])
 
 
+def split_summary(splits: DataFrame, most_loss: float = 0.01, bar: float = 0.3) -> DataFrame:
+    """splits, mean_loss, p90_loss, mean_saving, meeting of repeated_splits(): one row; p90 is the sorted loss at int(0.9 n), meeting the share that keeps to most_loss and saves the bar."""
+    s = F.sort_array(F.collect_list("loss"))  # a number a split
+    return splits.agg(F.count("*").alias("splits"), F.avg("loss").alias("mean_loss"), F.get(s, F.least(F.floor(0.9 * F.count("*")), F.count("*") - 1).cast("int")).alias("p90_loss"), F.avg("saving").alias("mean_saving"), F.avg(((F.col("loss") <= most_loss) & (F.col("saving") >= bar)).cast("double")).alias("meeting"))
+
+
 def cost_bound(jobs: DataFrame) -> DataFrame:
     """jobs with usd: hourly price * seconds / 3600 * trials * (1 + retries); an unknown accelerator has a null price."""
     price = F.try_element_at(F.create_map(*[F.lit(x) for kv in HOURLY.items() for x in kv]), F.col("gpu"))

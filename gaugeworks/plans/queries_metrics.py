@@ -137,7 +137,7 @@ def raw_of_served(spark, sf):
     return calibrate.raw(rows).select("id", F.round(F.array_max("p"), 6).alias("conf"), "inference_temperature")
 
 
-@query("a15_mcnemar", None)
+@query("a15_mcnemar", f"{WITH}, d AS (SELECT task, count(*) FILTER (ok AND NOT ok_b) AS b, count(*) FILTER (NOT ok AND ok_b) AS c FROM preds GROUP BY task) SELECT task, b, c, round(CASE WHEN b = c THEN 1.0 ELSE least(1, 2 * list_sum(list_transform(range(least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 9) AS p FROM d")
 def mcnemar(spark, sf):
     return rounded(paired.mcnemar(both(spark, sf), "ok", "ok_b", ["task"]), 9)
 

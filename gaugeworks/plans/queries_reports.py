@@ -52,10 +52,27 @@ def matched_controls(spark, sf):
     return reports.matched_controls(scored(spark, sf), ["task"], sure & ~F.col("ok"), sure & F.col("ok"), F.col("vec_id"))
 
 
-@query("a27_repeated_splits", None)
-def repeated_splits(spark, sf):
+TAUS = [k / 10 for k in range(2, 10)]
+SPLITS = f"""n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS slot, count(*) OVER (PARTITION BY source) // 2 AS half, length % 100 + 1 AS cost FROM preds),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, seed ORDER BY ((seed * 1000003 + slot * 7919 + 17) * 48271) % 2147483647 * 16807 % 2147483647) <= half AS dev FROM n, (SELECT unnest(generate_series(0, 199)) AS seed)),
+t AS (SELECT seed, dev, tau, avg(CASE WHEN conf < tau THEN 0 ELSE CAST(ok AS INT) - CAST(ok_b AS INT) END) AS gain, 1 - sum(CASE WHEN conf < tau THEN cost ELSE 0 END) / sum(cost) AS saving FROM k, (SELECT unnest({TAUS}::DOUBLE[]) AS tau) GROUP BY ALL),
+c AS (SELECT seed, arg_max(tau, struct_pack(s := saving, t := -tau)) AS tau FROM t WHERE dev AND gain >= -0.05 GROUP BY seed),
+s AS (SELECT seed, tau, 0.0::DOUBLE - gain AS loss, saving FROM c JOIN t USING (seed, tau) WHERE NOT dev)"""
+
+
+def splits_of(spark, sf):
     rows = both(spark, sf).select("id", "source", "conf", "ok", F.col("ok_b").alias("slow_ok"), (F.col("length") % 100 + 1).alias("slow_cost"))
-    return reports.repeated_splits(rows, 20, [k / 10 for k in range(2, 10)], 0.05)
+    return reports.repeated_splits(rows, 200, TAUS, 0.05)
+
+
+@query("a27_repeated_splits", f"{WITH}, {SPLITS} SELECT CAST(seed AS INTEGER) AS seed, tau, round(loss, 6) AS loss, round(saving, 6) AS saving FROM s")
+def repeated_splits(spark, sf):
+    return rounded(splits_of(spark, sf))
+
+
+@query("a27_split_summary", f"{WITH}, {SPLITS} SELECT count(*) AS splits, round(avg(loss), 6) AS mean_loss, round(list_sort(list(loss))[1 + least(CAST(floor(0.9 * count(*)) AS BIGINT), count(*) - 1)], 6) AS p90_loss, round(avg(saving), 6) AS mean_saving, round(avg(CAST(loss <= 0.1 AND saving >= 0.2 AS INT)), 6) AS meeting FROM s")
+def split_summary(spark, sf):
+    return rounded(reports.split_summary(splits_of(spark, sf), 0.1, 0.2))
 
 
 @query("a46_cost_bound", "SELECT o_orderkey AS job, round(CASE o_orderkey % 5 WHEN 0 THEN 3.95 WHEN 1 THEN 4.54 WHEN 2 THEN 6.25 WHEN 3 THEN 0.59 END * (o_custkey * 10) / 3600 * 3 * (1 + o_orderkey % 2), 6) AS usd FROM orders")

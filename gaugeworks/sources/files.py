@@ -25,10 +25,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), text of each line that is not blank. Files are read in splits; lines are numbered by split and place within it."""
+    """file, line (from 1), text of each line that is not blank. Files are read in splits: lines are counted by split, then numbered within it, so a large file is many tasks' work."""
     t = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_place"), F.col("value").alias("text"))
-    line = F.row_number().over(W.partitionBy("file").orderBy("_start", "_place"))
-    return t.select("file", line.alias("line"), "text").where(F.trim("text") != "")
+    counts = t.groupBy("file", "_start").agg(F.count("*").alias("_n"))
+    before = counts.select("file", "_start", F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy("file", "_start").orderBy("_place"))
+    return t.withColumn("_in", within).join(before, ["file", "_start"]).select("file", (F.col("_in") + F.col("_before")).cast("int").alias("line"), "text").where(F.trim("text") != "")
 
 
 def load_requests(spark: SparkSession, path: str, source: str = "custom") -> DataFrame:
