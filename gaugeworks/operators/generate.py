@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, *columns: Column | str) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1): the first 40 bits of an MD5 of seed and columns, so other engines draw the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])), 1, 10), 16, 10).cast("long") / float(1 << 40)
 
 
 def permuted(keys: Column, seed: int, id_: Column) -> Column:
-    """keys in an order by hash."""
-    return F.transform(F.array_sort(F.transform(keys, lambda k: F.struct(F.xxhash64(F.lit(seed), id_, k).alias("o"), k.alias("k")))), lambda s: s["k"])
+    """keys in the order of their MD5 with seed and id."""
+    return F.transform(F.array_sort(F.transform(keys, lambda k: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), id_.cast("string"), k)).alias("o"), k.alias("k")))), lambda s: s["k"])
 
 
 def augmented(records: DataFrame, seed: int = 0, p_none: float = 0.1, p_none_distract: float = 0.12, p_distract: float = 0.15, distractor: str = "something else") -> DataFrame:
@@ -25,7 +25,7 @@ def augmented(records: DataFrame, seed: int = 0, p_none: float = 0.1, p_none_dis
     kind = F.when(~plain, "permuted").when((u < p_none) & (F.size(keys) > 2), "none").when((u >= p_none) & (u < p_none + p_none_distract), "none_distractor").when((u >= p_none + p_none_distract) & (u < p_none + p_none_distract + p_distract), "distractor").otherwise("permuted")
     r = records.withColumn("gold", gold).withColumn("variant", kind)
     options = F.when(F.col("variant") == "none", F.concat(F.filter(keys, lambda k: k != F.col("gold")), F.array(F.lit("none")))).when(F.col("variant") == "none_distractor", F.concat(keys, F.array(F.lit("none")))).when(F.col("variant") == "distractor", F.concat(keys, F.array(F.lit(distractor)))).otherwise(keys)
-    r = r.withColumn("gold", F.when(F.col("variant") == "none", "none").otherwise(F.col("gold"))).withColumn("keys", permuted(options, seed + 1, F.col("id")))
+    r = r.withColumn("keys", permuted(options, seed + 1, F.col("id"))).withColumn("gold", F.when(F.col("variant") == "none", "none").otherwise(F.col("gold")))
     return r.select("id", "keys", (F.array_position("keys", F.col("gold")) - 1).cast("int").alias("label"), "variant")
 
 
