@@ -161,3 +161,14 @@ def date_facts(text: Column) -> Column:
 def neutral_tokens(text: Column) -> Column:
     """Control tokens <|name|> as <name>, so that a tokenizer takes them as text."""
     return F.regexp_replace(text, r"<\|([A-Za-z0-9_]+)\|>", "<$1>")
+
+
+def fitting_prefix(text: Column, budget: Column | int, parts_at: str = "\n\n") -> Column:
+    """The longest run of whole paragraphs from the start with at most ``budget`` words; null where the first is already too long, or for no text. Words do not reach over a paragraph's end, so counts add up and one pass finds the cut."""
+    budget = F.lit(budget) if isinstance(budget, int) else budget
+    parts = F.split(text, parts_at)
+    words = F.transform(parts, lambda p: F.regexp_count(p, F.lit(r"[^\x20\x09-\x0D]+")))
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    step = lambda a, w: F.when(a["open"] & (a["used"] + w <= budget), F.struct((a["used"] + w).alias("used"), (a["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(a["used"].alias("used"), a["n"].alias("n"), F.lit(False).alias("open")))
+    n = F.aggregate(words, start, step, lambda a: a["n"])
+    return let(n, lambda k: F.when(k > 0, F.array_join(F.slice(parts, F.lit(1), k), parts_at)))

@@ -138,3 +138,13 @@ def none_pairs(spark, sf):
 @query("g03_targets", f"WITH {RECORDS} SELECT id, array_to_string(list_transform(keys, lambda k, i: CAST(CAST(round(1000000 * CASE WHEN vec_id % 3 = 0 THEN i / (len(keys) * (len(keys) + 1) / 2) WHEN i = label + 1 THEN 1 ELSE 0 END) AS BIGINT) AS VARCHAR)), ' ') AS target FROM rec")
 def targets(spark, sf):
     return generate.targets(records(spark, sf)).select("id", F.array_join(F.transform("target", lambda x: F.round(1_000_000 * x).cast("long").cast("string")), " ").alias("target"))
+
+
+@query("o18_fitting_prefix", r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, list_transform(parts, lambda p: len(regexp_extract_all(p, '[^\x20\x09-\x0D]+'))) AS w FROM d),
+n AS (SELECT doc_id, parts, len(list_filter(range(1, len(parts) + 1), lambda k: list_sum(w[1:k]) <= 100)) AS n FROM w)
+SELECT doc_id, CASE WHEN n > 0 THEN sha256(array_to_string(parts[1:n], chr(10))) END AS prefix FROM n""")
+def fitting_prefix(spark, sf):
+    """Each document's longest run of whole lines with at most 100 words."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    return d.select("doc_id", F.sha2(T.fitting_prefix(F.col("text"), 100, "\n"), 256).alias("prefix"))

@@ -78,3 +78,14 @@ def test_reports(spark):
     claims = spark.createDataFrame([("a", "x", "0.83"), ("b", "x", "0.84"), ("c", "y", "1"), ("d", "z", "1")], "claim string, path string, printed string")
     facts = spark.createDataFrame([("x", 0.8301), ("y", 1.0), ("y", 1.0)], "path string, value double")
     assert {r["claim"]: r["ok"] for r in reports.checked_claims(claims, facts).collect()} == {"a": True, "b": False, "c": False, "d": False}
+
+
+def test_the_longest_fitting_run_of_paragraphs(spark):
+    from gaugeworks.functions import text as T
+
+    texts = ["a b\n\nc d e\n\nf", "a b c d e f", "", None, "a\n\n\n\nb c d\n\ne", "\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = lambda budget: [r[0] for r in df.orderBy("k").select(T.fitting_prefix(F.col("t"), budget)).collect()]
+    assert got(5) == ["a b\n\nc d e", None, "", None, "a\n\n\n\nb c d\n\ne", "\n\n"]
+    assert got(4) == ["a b", None, "", None, "a\n\n\n\nb c d", "\n\n"]
+    assert got(100)[:2] == texts[:2] and got(0) == [None, None, "", None, None, "\n\n"]
