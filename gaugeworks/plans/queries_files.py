@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import parsing
 from gaugeworks.functions import text as T
 from gaugeworks.operators import generate, reliability, reports
-from gaugeworks.plans.queries_scoring import work_folder
 from gaugeworks.plans.registry import query
 from gaugeworks.sources import files
+from gaugeworks.sources.files import work_folder
 from gaugeworks.sources.fixtures import SQL as PREDS
 from gaugeworks.sources.fixtures import prediction_rows
 

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import scoring
 from gaugeworks.plans.registry import query
-
-LANGS = ("de", "en", "es", "fr")
+from gaugeworks.sources.files import work_folder
+from gaugeworks.sources.fixtures import LANGS, predict
 
 
 def requests(spark, sf):
@@ -29,38 +24,6 @@ def requests(spark, sf):
     )
 
 
-def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Weights from the number of the document; every 17th lacks an answer, every 19th has an option too many, every 23rd is too heavy, every 29th below zero, every 31st is no answer at all."""
-    import json
-
-    for batch in batches:
-        out = []
-        for sha, id_, state in zip(batch["request_sha256"], batch["id"], batch["state"]):
-            n = json.loads(state)["doc_id"]
-            answers = []
-            for at, (qid, keys) in enumerate((("lang", list(LANGS)), ("long", ["true", "false"]), ("lines", [str(k) for k in range(5)]))):
-                w = [float((n * 7 + k * 3 + at) % 11 + 1) for k in range(len(keys))]
-                p = [x / sum(w) for x in w]
-                if n % 23 == 0 and at == 1:
-                    p = [x * 1.05 for x in p]
-                if n % 29 == 0 and at == 2:
-                    p[0] = -p[0]
-                if n % 19 == 0 and at == 0:
-                    keys, p = [*keys, "xx"], [*p, 0.0]
-                answers.append({"qid": qid, "keys": keys, "p": p, "logits": None})
-            error = "context overflow" if n % 31 == 0 else None
-            out.append((sha, id_, answers[:2] if n % 17 == 0 else answers, error, float(n % 100)))
-        yield pd.DataFrame(out, columns=["request_sha256", "id", "answers", "error", "latency_ms"])
-
-
-def work_folder(spark) -> str:
-    """A new folder in the one that executors and driver share; a temporary one where the session has none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{at or tempfile.mkdtemp(prefix='gaugeworks-')}/suite-{uuid.uuid4().hex}"
-
-
 def scored(spark, sf):
     asked, folder = requests(spark, sf), work_folder(spark)
     scoring.evaluate(asked, predict, folder, waves=4)
