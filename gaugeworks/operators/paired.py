@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.packing import numbered
 
 
+#: Numbers of clusters (rows x columns) up to which they are sent to every task: 16 MB.
+BROADCAST_CELLS = 2_000_000
+
+
 def join_problems(a: DataFrame, b: DataFrame, keys: Sequence[str], equal: Sequence[str]) -> DataFrame:
     """problem, n: doubled keys of either side, keys of one side only, rows that differ in a column that must be equal."""
     twice = lambda df, name: df.groupBy(*keys).count().where("count > 1").select(F.lit(name).alias("problem"))
@@ -38,7 +42,10 @@ def resampled(rows: DataFrame, sums: Mapping[str, Column], samples: int, keys: S
     size = each.groupBy(*by).agg(F.count("*").alias("_n"))
     b = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("b")
     drawn = each.select(*by, "slot").join(size, by).select(*by, "slot", "_n", b).select(*by, "b", draw(F.col("b"), F.col("slot"), F.col("_n")).alias("slot"))
-    return drawn.join(each.drop(cluster), [*by, "slot"]).groupBy(*keys, "b").agg(*[F.sum(n).alias(n) for n in sums])
+    # a table of clusters of a checked size goes to every task, and only sums are shuffled; a larger one is joined by shuffle
+    own = each.drop(cluster)
+    own = F.broadcast(own) if own.count() * len(own.columns) <= BROADCAST_CELLS else own
+    return drawn.join(own, [*by, "slot"]).groupBy(*keys, "b").agg(*[F.sum(n).alias(n) for n in sums])
 
 
 def bootstrap_ratios(rows: DataFrame, ratios: Mapping[str, tuple[Column, Column]], samples: int = 1000, keys: Sequence[str] = (), cluster: str = "grp", stratum: str = "source", level: float = 0.95) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import probability as P
 from gaugeworks.operators import answers as A
 from gaugeworks.operators import metrics
+from gaugeworks.operators.packing import cut_off
 
 ANSWERS = "array<struct<qid: string, keys: array<string>, p: array<double>, logits: array<double>>>"
 QUESTIONS = "array<struct<qid: string, type: string, criteria: array<string>, label: string, src: string>>"
@@ -99,37 +100,36 @@ LINE = f"request_sha256 string, id string, answers {ANSWERS}, error string, late
 
 
 def evaluate(requests: DataFrame, predict: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], folder: str, waves: int = 16) -> int:
-    """Scores every request that the folder has no answer to, and returns how many waves had any.
+    """Scores every request that the folder has no answer to, and returns how many there were.
 
-    predict maps batches of requests (request_sha256 and all columns) to LINE. Requests are dealt over waves by their digest; a wave's lines are committed together by the scored_lines sink, so a run that is killed has lost no more than its
-    wave, and the next run, which finds the digests of what was committed, scores only the rest. Requests that are alike are scored once.
+    predict maps batches of requests (request_sha256 and all columns) to LINE. Requests are dealt over waves by their id; a wave's lines are committed together by the scored_lines sink, so a run that is killed has lost no more than its
+    wave, and the next run, which finds the digests of what was committed, scores only the rest. Requests that are alike are scored once in a wave; of their lines, one is read.
     """
     from gaugeworks.sources.scored import ScoredLines
 
     spark = requests.sparkSession
     spark.dataSource.register(ScoredLines)
-    keyed = requests.withColumn("request_sha256", request_digest(requests))
-    done = spark.read.format("scored_lines").load(folder).select("request_sha256").distinct()
-    todo = keyed.join(done, "request_sha256", "left_anti").dropDuplicates(["request_sha256"])
+    lines = lambda: spark.read.format("scored_lines").load(folder)
+    done = cut_off(lines().select("request_sha256"))
+    before = done.count()
     # lines are strict JSON: what is no finite number is null in them, and is rejected like one
     finite = lambda xs: F.transform(xs, lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x))
     plain = lambda a: F.struct(a["qid"].alias("qid"), a["keys"].alias("keys"), finite(a["p"]).alias("p"), finite(a["logits"]).alias("logits"))
-    scored = 0
     for wave in range(waves):
-        part = todo.where(F.pmod(F.xxhash64("request_sha256"), F.lit(waves)) == wave)
-        if part.limit(1).count():
-            told = part.mapInPandas(predict, LINE).withColumn("answers", F.transform("answers", plain))
-            told.write.format("scored_lines").mode("append").save(folder)
-            scored += 1
-    return scored
+        # dealt by id, so that a wave digests its own requests only; what earlier runs committed is left out
+        part = requests.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave).withColumn("request_sha256", request_digest(requests))
+        part = part.join(done, "request_sha256", "left_anti").dropDuplicates(["request_sha256"])
+        told = part.mapInPandas(predict, LINE).withColumn("answers", F.transform("answers", plain))
+        told.write.format("scored_lines").mode("append").save(folder)
+    return lines().count() - before
 
 
 def evaluated(requests: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, rejected, report) of requests with the answers in the folder: rows scored, records rejected and why, and the metric block of each task, clean rows only."""
-    lines = _lines(requests.sparkSession, folder).select("request_sha256", "answers", "error")
+    lines = _lines(requests.sparkSession, folder).select("request_sha256", "answers", "error").dropDuplicates(["request_sha256"])
     keyed = requests.withColumn("request_sha256", request_digest(requests)).join(lines, "request_sha256")
     rows, rejected = prediction_rows(keyed)
-    rows = metrics.scored(rows, logits="logits")
+    rows = cut_off(metrics.scored(rows, logits="logits"))  # the report's aggregates read them several times
     return rows, rejected, metrics.metric_block(metrics.knowable(rows), ["task"])
 
 
