@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
     return add
 
 
-from gaugeworks.plans import queries_admission, queries_answers, queries_files, queries_metrics, queries_packing, queries_reports, queries_rounds, queries_routing, queries_scoring, queries_selection, queries_suite, queries_traces, queries_watching  # noqa: E402, F401
+from gaugeworks.plans import queries_admission, queries_answers, queries_bundles, queries_files, queries_metrics, queries_packing, queries_reports, queries_rounds, queries_routing, queries_scoring, queries_selection, queries_suite, queries_traces, queries_watching  # noqa: E402, F401
