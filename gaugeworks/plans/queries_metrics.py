@@ -171,7 +171,8 @@ def nll_floors(spark, sf):
 @query("a22_describe", f"{WITH} SELECT task, count(*) AS n, max(ties) AS largest_tie, CAST(sum(list_count(list_filter(p, lambda x: x = 0))) AS BIGINT) AS zeros FROM (SELECT *, list_filter(p, lambda x: x = 0) AS z, count(*) OVER (PARTITION BY task, round(conf, 2)) AS ties FROM preds) GROUP BY task".replace("list_count(list_filter(p, lambda x: x = 0))", "len(z)"))
 def describe(spark, sf):
     rows = scored(spark, sf)
-    ties = rows.groupBy("task", F.round("conf", 2)).count().groupBy("task").agg(F.max("count").alias("largest_tie"))
+    # the nearest hundredth of the double as it is: round("conf", 2) would go by its decimal text, in which 0.285 is a half
+    ties = rows.groupBy("task", F.round(F.col("conf") * 100)).count().groupBy("task").agg(F.max("count").alias("largest_tie"))
     return rows.groupBy("task").agg(F.count("*").alias("n"), F.sum(F.size(F.filter("p", lambda x: x == 0))).alias("zeros")).join(ties, "task")
 
 
