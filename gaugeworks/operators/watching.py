@@ -85,7 +85,7 @@ def next_attempts(ledger: DataFrame, leases: DataFrame, polls: DataFrame, now: C
     """trial, decision, used, adopted: whether the next attempt of each trial may be spawned.
 
     ledger (trial, number, nonce, call, at, abandoned: when given up, or null): an entry a spawned attempt; call is null where none was recorded. leases (trial, nonce, call, heartbeat, ended): the claim of a trial's container, at most one a trial.
-    polls (trial, call, status). In this order:
+    polls (trial, call, status): a call may be polled more than once, and has ended if one of its polls says so. In this order:
 
     * an entry without a call whose nonce the lease carries is adopted: its call is the lease's (``adopted`` says how many of a trial are);
     * ``pending``: the last entry has no call and is younger than stale, so it may still start; an older one counts as abandoned;
@@ -105,11 +105,12 @@ def next_attempts(ledger: DataFrame, leases: DataFrame, polls: DataFrame, now: C
         F.max(F.when(F.col("adopted") & fresh, F.col("call"))).alias("live"),
     )
     one = one.withColumn("call", F.coalesce("live", "last.call"))
-    one = one.join(polls.select("trial", "call", "status"), ["trial", "call"], "left")
+    over = polls.groupBy("trial", "call").agg(F.bool_or(F.coalesce(F.col("status").isin("timeout", "refused"), F.lit(False))).alias("over"))
+    one = one.join(over, ["trial", "call"], "left")
     waits = F.col("last.call").isNull() & F.col("last.abandoned").isNull() & (seconds("last.at") < stale)
     decision = (
         F.when(waits, "pending").when(F.col("used") >= allowed, "no attempt left")
-        .when(F.col("call").isNotNull() & ~F.coalesce(F.col("status").isin("timeout", "refused"), F.lit(False)), "not ended").when(F.col("fresh"), "lease").otherwise("spawn")
+        .when(F.col("call").isNotNull() & ~F.coalesce("over", F.lit(False)), "not ended").when(F.col("fresh"), "lease").otherwise("spawn")
     )
     return one.select("trial", decision.alias("decision"), "used", "adopted")
 

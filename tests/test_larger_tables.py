@@ -27,3 +27,13 @@ def test_hundredths_are_those_of_the_double(spark, tmp_path):
     got, want = both(spark, tmp_path, "a22_describe", embeddings=(rows, "vec_id long, embedding array<float>, label int"))
     assert got == want and want[0][want[0].index("t0") + 1] == 5
     assert 4 in want[0]
+
+
+def test_a_call_polled_twice_is_one_attempt(spark, tmp_path):
+    """The number of an adopted call (a million above its event's) is an event's own number too."""
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(n, at + datetime.timedelta(hours=n % 1000), 7, "click", 0.5, "{}") for n in (3, 1_000_003, 6, 1_000_006, 2_000_003, 45, 1_000_045)]
+    got, want = both(spark, tmp_path, "e08_next_attempts", events=(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"))
+    assert got == want and len({r[0] for r in got}) == len(got)
