@@ -217,6 +217,27 @@ def test_rules_are_all_combinations_that_hold(spark):
     assert few.count() <= 3
 
 
+def test_rules_of_wide_pages_are_all_there(spark, monkeypatch):
+    """More telling tokens than twelve a page: those that say least are in rules too. Any number of rules is judged."""
+    r = random.Random(8)
+    rows = []
+    for k in range(300):
+        bad = r.random() < 0.5
+        site = "site-" + "-".join(chr(97 + j) * 2 for j in range(14)) if bad else "other"
+        rows.append((f"http://{site}.net/{'a/' if bad and r.random() < 0.4 else ''}{'b/' if r.random() < 0.5 else ''}x", bad))
+    urls = spark.createDataFrame(rows, "url string, bad boolean")
+    tokens = [set(x[0]) for x in urls.select(url_filter.tokens(F.col("url"))).collect()]
+    rules = url_filter.mined(urls, support=0.02, least_pages=5, confidence=0.5)
+    got = {frozenset(x["items"]): x["confidence"] for x in rules.collect()}
+    alone = {t: (sum(b and t in ts for ts, (_, b) in zip(tokens, rows)), sum(t in ts for ts in tokens)) for t in set().union(*tokens)}
+    want = {frozenset([t]): b / n for t, (b, n) in alone.items() if b >= 6 and b / n >= 0.5}
+    assert {k: v for k, v in got.items() if len(k) == 1} == pytest.approx(want) and len(want) > 15 and frozenset(["part a"]) in got
+    pages = spark.createDataFrame([(k % 5, u) for k, (u, _) in enumerate(rows)] * 2 + [(None, None)], "page_id long, url string")
+    looked_up = sorted(map(str, url_filter.judged(pages, rules).collect()))
+    monkeypatch.setattr(url_filter, "INDEXED", 3)
+    assert sorted(map(str, url_filter.judged(pages, rules).collect())) == looked_up
+
+
 def test_labels_of_pages(spark):
     pages = spark.createDataFrame([(1, "u://a"), (2, "u://b"), (3, "u://c"), (4, None), (None, "u://d"), (1, "u://e")], "page_id long, url string")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, None), (2, 1, 0), (3, None, None), (4, 0, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
