@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+from pyspark.sql import functions as F
 
 from gaugeworks.plans.registry import ORACLE_SQL, QUERIES
 
@@ -37,3 +38,26 @@ def test_a_call_polled_twice_is_one_attempt(spark, tmp_path):
     rows = [(n, at + datetime.timedelta(hours=n % 1000), 7, "click", 0.5, "{}") for n in (3, 1_000_003, 6, 1_000_006, 2_000_003, 45, 1_000_045)]
     got, want = both(spark, tmp_path, "e08_next_attempts", events=(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"))
     assert got == want and len({r[0] for r in got}) == len(got)
+
+
+def test_resamples_by_blocks_are_the_draws_one_by_one(spark, monkeypatch):
+    """Blocks of a few clusters, sums that some clusters lack, a stratum without a name."""
+    from gaugeworks.operators import paired
+
+    monkeypatch.setattr(paired, "BLOCK_CELLS", 8)
+    rows = [(f"k{n % 2}", None if n == 40 else f"s{n % 3}", n // 2, float(n), n if n % 4 == 0 else None) for n in range(41)]
+    df = spark.createDataFrame(rows, "k string, source string, grp long, x double, y long")
+    got = {(r["k"], r["b"]): (r["x"], r["y"]) for r in paired.resampled(df, {"x": F.col("x"), "y": F.col("y")}, 37, ["k"]).collect()}
+    sums = {}
+    for k, source, grp, x, y in rows[:40]:
+        a, b = sums.setdefault((k, source), {}).get(grp, (0, None))
+        sums[k, source][grp] = (a + x, b if y is None else (b or 0) + y)
+    want = {}
+    for (k, _), groups in sums.items():
+        own, n = [groups[g] for g in sorted(groups)], len(groups)
+        for b in range(37):
+            drawn = [own[(((b * 1000003 + slot * 7919 + 17) * 48271) % 2147483647 * 16807) % 2147483647 % n] for slot in range(n)]
+            x, y = want.get((k, b), (0, None))
+            more = [v for _, v in drawn if v is not None]
+            want[k, b] = (x + sum(v for v, _ in drawn), y if not more else (y or 0) + sum(more))
+    assert got == want
