@@ -6,6 +6,7 @@ run that was killed) is never read. Folders are local or shared paths, or URIs t
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -52,12 +53,27 @@ class _Writer(DataSourceWriter):
 
     def write(self, rows: Iterator[Row]) -> Written:
         # strict JSON: a number that is none is refused, and text stays as it is; only a line feed ends a line
-        lines = [json.dumps(r.asDict(recursive=True), ensure_ascii=False, allow_nan=False) for r in rows]
-        data = "".join(x + "\n" for x in lines).encode()
-        name = f"{uuid.uuid4().hex}.jsonl"
-        if lines:
-            _put(f"{self.path}/lines/{name}", data)
-        return Written(name, len(lines), len(data))
+        name, lines, size = f"{uuid.uuid4().hex}.jsonl", 0, 0
+        store, at = _store(f"{self.path}/lines")
+        part = f"{at}/.{name}"
+        out = None
+        try:
+            for r in rows:  # line by line: a task holds none but the one it writes
+                if out is None:
+                    store.create_dir(at, recursive=True)
+                    out = store.open_output_stream(part, buffer_size=1 << 20)
+                line = (json.dumps(r.asDict(recursive=True), ensure_ascii=False, allow_nan=False) + "\n").encode()
+                out.write(line)
+                lines, size = lines + 1, size + len(line)
+        except BaseException:
+            if out is not None:
+                out.close()
+                store.delete_file(part)
+            raise
+        if out is not None:
+            out.close()
+            store.move(part, f"{at}/{name}")
+        return Written(name, lines, size)
 
     def commit(self, messages: list[Written | None]) -> None:
         files = [{"name": m.name, "lines": m.lines, "size": m.size} for m in messages if m and m.lines]
@@ -89,13 +105,12 @@ class _Reader(DataSourceReader):
     def read(self, partition: File) -> Iterator[tuple]:
         if partition.path:
             store, at = _store(partition.path)
-            with store.open_input_stream(at) as file:
-                data = file.read().decode()
-            for line in data.split("\n"):
-                if line:
-                    r = json.loads(line)
-                    answers = r["answers"] and [(a["qid"], a["keys"], a["p"], a["logits"]) for a in r["answers"]]
-                    yield (r["request_sha256"], r["id"], answers, r["error"], r["latency_ms"])
+            with store.open_input_stream(at, buffer_size=1 << 20) as file:
+                for line in io.BufferedReader(file):
+                    if line != b"\n":
+                        r = json.loads(line)
+                        answers = r["answers"] and [(a["qid"], a["keys"], a["p"], a["logits"]) for a in r["answers"]]
+                        yield (r["request_sha256"], r["id"], answers, r["error"], r["latency_ms"])
 
 
 class ScoredLines(DataSource):

@@ -61,3 +61,31 @@ def test_resamples_by_blocks_are_the_draws_one_by_one(spark, monkeypatch):
             more = [v for _, v in drawn if v is not None]
             want[k, b] = (x + sum(v for v, _ in drawn), y if not more else (y or 0) + sum(more))
     assert got == want
+
+
+def test_lines_are_written_as_they_come(tmp_path):
+    """A task's lines are in its file before the last one is made, and a task that fails leaves none."""
+    import os
+
+    import pytest
+    from pyspark.sql.types import Row
+
+    from gaugeworks.sources import scored
+
+    seen = []
+
+    def lines(fails):
+        for k in range(30_000):
+            yield Row(request_sha256=f"{k}" * 20, id=str(k), answers=None, error="a b", latency_ms=float("nan") if fails and k == 29_000 else 1.0)
+        seen.extend(os.path.getsize(tmp_path / "lines" / f) for f in os.listdir(tmp_path / "lines"))
+
+    w = scored._Writer(str(tmp_path))
+    done = w.write(lines(False))
+    assert seen and seen[0] > 1 << 20
+    w.commit([done])
+    r = scored._Reader(str(tmp_path), [])
+    got = [x for part in r.partitions() for x in r.read(part)]
+    assert done.lines == len(got) == 30_000 and got[-1][1] == "29999" and got[0][3] == "a b"
+    with pytest.raises(ValueError):
+        w.write(lines(True))
+    assert len(os.listdir(tmp_path / "lines")) == 1
