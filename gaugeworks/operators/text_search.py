@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gaugeworks.functions import text as T
+from gaugeworks.operators.packing import cut_off
 
 
 def gram_table(docs: DataFrame, key: str, text: str, size: int = 8) -> DataFrame:
@@ -49,19 +50,28 @@ def terms(docs: DataFrame, key: str, text: str, stop: Sequence[str] = T.STOP_WOR
     return each.select(key, "len", F.explode("w").alias("term")).groupBy(key, "term", "len").agg(F.count("*").alias("tf"))
 
 
+#: Pairs of a document and a query that one part of the documents may make.
+PART_PAIRS = 2_000_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """item_id, doc_id, score, rank: the k best documents of each query; query terms count once, ties go by doc_id.
 
-    Only terms of queries are kept of the index, so what is shuffled is postings of query terms.
+    Only terms of queries are kept of the index. Its postings are dealt by doc_id to as many parts as keep each to PART_PAIRS pairs, so a part scores its own documents and
+    passes on no more than its k best of each query; no pairs are shuffled, and what a task holds does not grow with the table.
     """
     sizes = docs.select(F.size(F.filter(T.word_list(F.col("text")), lambda x: (F.length(x) >= 2) & ~x.isin(*T.STOP_WORDS))).alias("len"))
     n, mean = sizes.agg(F.count("*"), F.avg("len")).first()
     asked = terms(queries, "item_id", "text").select("item_id", "term")
-    index = terms(docs, "doc_id", "text").join(asked.select("term").distinct(), "term", "left_semi")
+    parts = 1 + n * asked.agg(F.count_distinct("item_id")).first()[0] // PART_PAIRS
+    index = cut_off(terms(docs, "doc_id", "text").join(asked.select("term").distinct(), "term", "left_semi"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = index.join(df, "term").select("term", "doc_id", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / float(mean or 1.0)))).alias("w"))
-    scores = asked.join(weighed, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
+    wanted = asked.join(df, "term").select("item_id", "term", idf.alias("idf"))
+    # small tables of queries go to every part; larger ones are joined by shuffle, and postings dealt afterwards
+    wanted = F.broadcast(wanted) if asked.count() <= PART_PAIRS else wanted
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / float(mean or 1.0)))
+    scores = index.repartition(parts, "doc_id").join(wanted, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
     return scores.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
 
 

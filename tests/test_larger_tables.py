@@ -63,6 +63,16 @@ def test_resamples_by_blocks_are_the_draws_one_by_one(spark, monkeypatch):
     assert got == want
 
 
+def test_best_documents_are_the_same_in_any_number_of_parts(spark, monkeypatch):
+    from gaugeworks.operators import text_search
+
+    docs = spark.createDataFrame([(k, " ".join(f"word{(k * j) % 13}" for j in range(1, 3 + k % 9))) for k in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, f"word{k} word{k + 3} word{k}") for k in range(8)], "item_id long, text string")
+    want = sorted(map(tuple, text_search.bm25(docs, items, 3).collect()))
+    monkeypatch.setattr(text_search, "PART_PAIRS", 40)  # parts of a few documents, and a join by shuffle where terms are more
+    assert sorted(map(tuple, text_search.bm25(docs, items, 3).collect())) == want and len(want) == 24
+
+
 def test_lines_are_written_as_they_come(tmp_path):
     """A task's lines are in its file before the last one is made, and a task that fails leaves none."""
     import os
