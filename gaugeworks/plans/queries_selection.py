@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import text as T
 from gaugeworks.operators import selection
+from gaugeworks.operators.packing import cut_off
 from gaugeworks.plans.queries_suite import NORM
 from gaugeworks.plans.registry import query
 
@@ -104,5 +105,6 @@ def training_states(spark, sf):
     """Documents of the development part whose state the training or calibration part has."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
     digit = F.substring(F.sha2(F.concat(F.lit("split|"), F.col("doc_id").cast("string")), 256), 1, 1)
-    d = d.select("doc_id", T.digest(F.col("text")).alias("text_sha256"), F.when(digit < "8", "train").when(digit < "c", "calibration").otherwise("development").alias("split"))
+    # texts are read and digested once; what is joined are narrow rows
+    d = cut_off(d.select("doc_id", T.digest(F.col("text")).alias("text_sha256"), F.when(digit < "8", "train").when(digit < "c", "calibration").otherwise("development").alias("split")))
     return d.where("split = 'development'").join(selection.training_states(d), "text_sha256", "left_semi").select("doc_id")
