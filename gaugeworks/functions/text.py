@@ -20,6 +20,14 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
     return {a: b for a, b in pairs if len(b) == 1}, {a: b for a, b in pairs if len(b) > 1}
 
 
+#: A character over U+00FF, or the micro sign (whose fold is one).
+_WIDE = "[^\\x00-\u00b4\u00b6-\u00ff]"
+
+
+def _lowered(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def casefold(text: Column) -> Column:
     """Python's casefold. Where a text has no character over U+00FF (and no micro sign), lower case with sharp s as ss is the same, and quick."""
     one, several = _folds()
@@ -28,16 +36,21 @@ def casefold(text: Column) -> Column:
     folds = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     spelled = F.array_join(F.transform(F.split(whole, ""), lambda c: F.coalesce(F.try_element_at(folds, c), c)), "")
     whole = F.when(whole.rlike(f"[{''.join(several)}]"), spelled).otherwise(whole)
-    return F.when(text.rlike("[^\\x00-\u00b4\u00b6-\u00ff]"), whole).otherwise(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    return F.when(text.rlike(_WIDE), whole).otherwise(_lowered(text))
 
 
 #: White space that Python parts words at.
 WHITE = "[\\x09-\\x0d\\x1c-\\x20\\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
+#: Those up to U+00FF but the space, each named, since Java's classes look single characters up and try ranges one by one; runs of them and of spaces, other than one space.
+_NARROW = "\\x09\\x0a\\x0b\\x0c\\x0d\\x1c\\x1d\\x1e\\x1f\\x85\\xa0"
+_NARROW_RUNS = f"[{_NARROW}][{_NARROW}\\x20]*+|\\x20[{_NARROW}\\x20]++"
+
 
 def normalised(text: Column) -> Column:
-    """Case-folded, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(casefold(text), WHITE, " "))
+    """Case-folded, runs of white space as one space, trimmed. Where a text has no character over U+00FF, only its runs that are not one space already are replaced, which is quick."""
+    whole = F.trim(F.regexp_replace(casefold(text), WHITE, " "))
+    return F.when(text.rlike(_WIDE), whole).otherwise(F.trim(F.regexp_replace(_lowered(text), _NARROW_RUNS, " ")))
 
 
 def digest(text: Column) -> Column:

@@ -56,9 +56,10 @@ def admitted(spark, sf):
 @query("d13_refusals")
 def refused(spark, sf):
     """How many documents each pool chose, and how many it refused for what, where every tenth state fails in its final form: the choice is made again without those."""
-    rows = candidates(spark, sf)
+    rows = selection.written(candidates(spark, sf))  # texts are read and digested once
     pools = F.element_at(F.split("pool", r"\|"), 1)
     failing = rows.where(F.conv(F.substring(F.element_at("keys", 1), 1, 4), 16, 10).cast("long") % 10 == 0).select("id")
+    failing = selection.written(failing)
     rows = rows.withColumn("pool", pools)  # one pool a split, sources as strata
     offered = selection.choose(rows.withColumn("stratum", F.col("group")), ["ord"], PER_GROUP, lambda chosen: chosen.join(failing, "id"))
     return selection.refusals(offered)

@@ -76,6 +76,34 @@ def test_choice_is_that_of_a_loop_over_records(spark, monkeypatch, seed, per_gro
     assert len({x["id"] for x in got}) == len(got)
 
 
+@pytest.mark.parametrize("seed,strata,last", [(5, 40, 3), (6, 3, None)])
+def test_fronts_are_doubled_until_the_choice_asks_for_no_more(spark, monkeypatch, seed, strata, last):
+    """Quotas that need a stratum, or a number of strata, far beyond the first front; pools that stop at their last open record."""
+    r, fronts, judge = random.Random(seed), [], selection._judged
+    monkeypatch.setattr(selection, "SPARE", 1, raising=False)
+    monkeypatch.setattr(selection, "_judged", lambda turns, per_group: fronts.append(turns.count()) or judge(turns, per_group))
+    rows = []
+    for k in range(400):
+        pool, at = r.choice([0, 1, 1, 1, 2]), r.randrange(strata)
+        own = "context" if at < strata // 2 + 1 and r.random() < 0.95 else None
+        rows.append((k, pool, [2, 12, 0][pool], f"{at:02}", [r.choice(["hot", f"k{k % 90}", f"u{k}"])], f"g{r.randrange(60)}", own, str(r.randrange(40))))
+    rows += [(1000, 3, 2, "a", ["x"], None, None, "1"), (1001, 3, 2, "a", ["y"], None, None, "2"), (1002, 3, 2, "a", ["x"], None, None, "3"), (1003, 3, 2, "b", ["x"], None, None, "1")]  # just as many as the quota
+    final = None if last is None else (lambda chosen: chosen.where(F.col("id") % last == 0))
+    got = selection.choose(spark.createDataFrame(rows, SCHEMA), ["ord"], 2, final).collect()
+    assert {x["id"]: (x["status"], x["turn"]) for x in got} == by_turns(rows, 2, None if last is None else (lambda i: i % last == 0))
+    assert fronts[0] < fronts[-1]
+
+
+def test_rounds_judge_a_front_that_hangs_on_the_quota(spark, monkeypatch):
+    """d13_refusals and d13_admitted: a pool of many records with a small quota."""
+    judged, judge = [], selection._judged
+    monkeypatch.setattr(selection, "_judged", lambda turns, per_group: judged.append(turns.count()) or judge(turns, per_group))
+    rows = spark.range(20_000).selectExpr("id", "0 AS pool", "10L AS quota", "lpad(id div 5, 5, '0') AS stratum", "array(cast(id % 15000 AS string)) AS keys", "lpad(id div 5, 5, '0') AS `group`", "cast(null AS string) AS own", "lpad(id, 5, '0') AS ord")
+    got = selection.choose(rows, ["ord"], 2, lambda chosen: chosen.where("id % 10 = 0")).collect()
+    assert sorted((x["id"], x["status"]) for x in got if x["status"] == "chosen") == [(5 * k + (k % 2 == 0), "chosen") for k in range(10)]
+    assert max(judged) < 1000
+
+
 def test_long_chain_and_no_rows(spark):
     rows = [(k, 0, None, "s", [f"{k}", f"{k + 1}"], None, None, f"{k:03}") for k in range(5)]  # each record shares a key with the next
     got = selection.choose(spark.createDataFrame(rows, SCHEMA), ["ord"])
@@ -105,6 +133,19 @@ def test_fingerprints_and_reserved_rows(spark):
     assert sorted(x["id"] for x in selection.fresh(new, old, [["f"], ["repo", "row"]]).collect()) == [3, 4]
 
 
+def test_refusals_query_against_the_loop(spark, sf):
+    from collections import Counter
+
+    from gaugeworks.plans import queries_selection as Q
+
+    rows = [(r["id"], r["pool"].split("|")[0], r["quota"], r["group"], r["keys"], r["group"], r["own"], r["ord"]) for r in Q.candidates(spark, sf).collect()]
+    state = {r[0]: r[4][0] for r in rows}
+    want = by_turns(rows, Q.PER_GROUP, lambda i: state[i] is not None and int(state[i][:4], 16) % 10 == 0)
+    pool = {r[0]: r[1] for r in rows}
+    got = {(x["pool"], x["status"]): x["n"] for x in registry.QUERIES["d13_refusals"](spark, sf).collect()}
+    assert got == Counter((pool[i], why) for i, (why, _) in want.items()) and any(why == "final_record_rejected" for _, why in got)
+
+
 def test_pairs_query_against_the_loop(spark, sf):
     from gaugeworks.plans import queries_selection as Q
 
